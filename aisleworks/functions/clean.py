@@ -21,9 +21,14 @@ FESTIVAL_KEY = r"^FES\d+$"
 # ----------------------------------------------------------------------------
 
 # The JVM also reads "1d", "0x1p3" or "Infinity" as numbers; an export that says so is dirty.
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Texts a pattern refuses never reach a cast, where each would cost a caught exception.
+_NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 _INTEGER = r"^\s*[+-]?\d+\s*$"
-_ISO_START = r"^\s*\d{4}-\d{2}-\d{2}"
+_ISO_TIME = r"^\s*\d{4}-\d{2}-\d{2}.*$"
+_DAY_FIRST = r"^\s*\d{1,2}-\d{1,2}-\d{4}\s*$"
+_DAY_FIRST_TIME = r"^\s*\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}\s*$"
+
+# Missing markers are no numbers, flags or dates, so only text needs na_to_null.
 
 
 def na_to_null(text: Column) -> Column:
@@ -31,16 +36,16 @@ def na_to_null(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.trim(text)
+    return F.trim(na_to_null(text))
 
 
-def number(text: Column) -> Column:
-    """DOUBLE, NULL where the text is no plain number."""
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+def _matching(text: Column, pattern: str) -> Column:
+    return F.when(text.rlike(pattern), F.trim(text))
 
 
-def is_number(text: Column) -> Column:
-    return F.coalesce(number(text).isNotNull(), F.lit(False))
+def number(text: Column) -> Column:
+    """DOUBLE, NULL where the text is no plain number."""
+    return _matching(text, _NUMBER).try_cast("double")
 
 
 def truncated_int(text: Column) -> Column:
@@ -51,7 +56,7 @@ def truncated_int(text: Column) -> Column:
 def whole_int(text: Column) -> Column:
     """INT, NULL where the number has a fraction."""
     value = number(text)
-    return F.when(value == F.floor(value), value.try_cast("int"))
+    return F.when(value % 1 == 0, value.try_cast("int"))
 
 
 def int_or_zero(text: Column) -> Column:
@@ -60,7 +65,7 @@ def int_or_zero(text: Column) -> Column:
 
 def strict_int(text: Column) -> Column:
     """INT from digits only: ``5.0`` is not one."""
-    return F.when(text.rlike(_INTEGER), F.trim(text).try_cast("int"))
+    return _matching(text, _INTEGER).try_cast("int")
 
 
 def rounded_int(text: Column) -> Column:
@@ -68,19 +73,20 @@ def rounded_int(text: Column) -> Column:
     return F.bround(number(text), 0).try_cast("int")
 
 
+def _exact(text: Column) -> Column:
+    return _matching(text, _NUMBER).try_cast("decimal(38,18)")
+
+
 def money(text: Column) -> Column:
     """DECIMAL(18,2) rounded half-even, 0.00 where missing, NULL where malformed."""
-    blank = text.isNull() | (F.trim(text) == "")
-    exact = F.when(text.rlike(_NUMBER), F.trim(text).try_cast("decimal(38,18)"))
-    return F.when(blank, F.lit(0).cast("decimal(18,2)")).otherwise(
-        F.bround(exact, 2).try_cast("decimal(18,2)")
-    )
+    missing = text.isNull() | text.isin(NA_TOKENS) | (F.trim(text) == "")
+    amount = F.bround(_exact(text), 2).try_cast("decimal(18,2)")
+    return F.when(missing, F.lit(0).cast("decimal(18,2)")).otherwise(amount)
 
 
 def price(text: Column) -> Column:
     """DECIMAL(18,2), NULL where missing or malformed."""
-    exact = F.when(text.rlike(_NUMBER), F.trim(text).try_cast("decimal(38,18)"))
-    return F.round(exact, 2).try_cast("decimal(18,2)")
+    return F.round(_exact(text), 2).try_cast("decimal(18,2)")
 
 
 def flag(text: Column) -> Column:
@@ -99,7 +105,7 @@ def flag_or_null(text: Column) -> Column:
 
 
 def iso_timestamp(text: Column) -> Column:
-    return F.when(text.rlike(_ISO_START), F.trim(text).try_cast("timestamp_ntz"))
+    return _matching(text, _ISO_TIME).try_cast("timestamp_ntz")
 
 
 def iso_date(text: Column) -> Column:
@@ -108,27 +114,26 @@ def iso_date(text: Column) -> Column:
 
 def day_first_date(text: Column) -> Column:
     """``dd-MM-yyyy``."""
-    return F.try_to_timestamp(F.trim(text), F.lit("d-M-yyyy")).cast("date")
+    return F.try_to_timestamp(_matching(text, _DAY_FIRST), F.lit("d-M-yyyy")).cast("date")
 
 
 def day_first_timestamp(text: Column) -> Column:
     """``dd-MM-yyyy HH:mm``."""
-    return F.try_to_timestamp(F.trim(text), F.lit("d-M-yyyy H:mm")).cast("timestamp_ntz")
+    return F.try_to_timestamp(_matching(text, _DAY_FIRST_TIME), F.lit("d-M-yyyy H:mm")).cast("timestamp_ntz")
 
 
 def barcode(text: Column) -> Column:
     """Digits of a code a spreadsheet turned into ``6.94802E+12``."""
-    value = number(text).try_cast("decimal(38,6)")
-    return F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("string")
+    return F.substring_index(number(text).try_cast("decimal(38,6)").cast("string"), ".", 1)
 
 
 def phone(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"\.0$", "")
+    return F.regexp_replace(trimmed(text), r"\.0$", "")
 
 
 def list_items(text: Column) -> Column:
     """Comma list -> array of trimmed, non-blank items."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(na_to_null(text), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def paired(first: Column, second: Column) -> Column:

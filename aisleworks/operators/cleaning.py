@@ -35,7 +35,7 @@ class Cleaned(NamedTuple):
 
 
 class _Raw:
-    """Raw columns by name with missing markers as NULL; an absent column reads as NULL."""
+    """Raw columns by name; an absent column reads as NULL."""
 
     def __init__(self, df: DataFrame):
         self._present = set(df.columns)
@@ -43,34 +43,40 @@ class _Raw:
     def __getitem__(self, name: str) -> Column:
         if name not in self._present:
             return F.lit(None).cast("string")
-        return c.na_to_null(F.col(name))
+        return F.col(name)
 
 
-def _first_reason(rules: list[tuple[str, Column]]) -> Column:
-    """The first rule a row breaks; an undecided (NULL) rule counts as broken."""
-    reason = F.lit(None).cast("string")
+def _judge(rules: list[tuple[str, Column]]) -> tuple[Column, Column]:
+    """Whether a row keeps every rule, and the first it breaks; an undecided (NULL) rule counts as broken."""
+    keeps, reason = F.lit(True), F.lit(None).cast("string")
     for name, passes in reversed(rules):
-        reason = F.when(F.coalesce(passes, F.lit(False)), reason).otherwise(F.lit(name))
-    return reason
-
-
-def _run(raw: DataFrame, table: str, rules: list[tuple[str, Column]], values: dict[str, Column]) -> Cleaned:
-    judged = raw.withColumn(REASON, _first_reason(rules))
+        passes = F.coalesce(passes, F.lit(False))
+        keeps, reason = passes & keeps, F.when(passes, reason).otherwise(F.lit(name))
+    return keeps, reason
+
+
+def _run(
+    raw: DataFrame,
+    table: str,
+    rules: list[tuple[str, Column]],
+    values: dict[str, Column],
+    carry: list[str] | None,
+) -> Cleaned:
+    """``carry`` names raw columns, such as the ingest order, that valid rows take along."""
+    keeps, reason = _judge(rules)
     null = F.lit(None)
     typed = [
         values.get(field.name, null).cast(field.dataType).alias(field.name)
         for field in schemas.struct(table)
     ]
-    return Cleaned(
-        judged.where(F.col(REASON).isNull()).select(*typed), judged.where(F.col(REASON).isNotNull())
-    )
+    return Cleaned(raw.where(keeps).select(*typed, *(carry or [])), raw.where(~keeps).withColumn(REASON, reason))
 
 
 def _filled(text: Column) -> Column:
-    return F.trim(text) != ""
+    return c.trimmed(text) != ""
 
 
-def clean_brand(raw: DataFrame) -> Cleaned:
+def clean_brand(raw: DataFrame, carry: list[str] | None = None) -> Cleaned:
     r = _Raw(raw)
     key = c.whole_int(r["brand_id"])
     return _run(raw, "brand", [("key is not a whole number", key.isNotNull())], {
@@ -79,10 +85,10 @@ def clean_brand(raw: DataFrame) -> Cleaned:
         "brand_country": c.trimmed(r["brand_country"]),
         "is_active": c.true_false_or_null(r["is_active"]),
         "created_at": c.iso_timestamp(r["created_at"]),
-    })
+    }, carry)
 
 
-def clean_category(raw: DataFrame) -> Cleaned:
+def clean_category(raw: DataFrame, carry: list[str] | None = None) -> Cleaned:
     """Header case is ignored. Parents are not added here, see ``with_parent_categories``."""
     raw = raw.toDF(*[name.lower() for name in raw.columns])
     r = _Raw(raw)
@@ -90,7 +96,7 @@ def clean_category(raw: DataFrame) -> Cleaned:
     rules = [
         ("key is not a whole number", key.isNotNull()),
         # A parent that is no number at all just means "none"; a fraction is an error.
-        ("parent is a fraction", parent.isNotNull() | ~c.is_number(r["parent_category_id"])),
+        ("parent is a fraction", parent.isNotNull() | c.number(r["parent_category_id"]).isNull()),
     ]
     return _run(raw, "category", rules, {
         "category_id": key,
@@ -99,13 +105,15 @@ def clean_category(raw: DataFrame) -> Cleaned:
         "is_active": c.flag(r["is_active"]),
         "created_at": c.iso_timestamp(r["created_at"]),
         "updated_at": c.iso_timestamp(r["updated_at"]),
-    })
+    }, carry)
 
 
 def with_parent_categories(children: DataFrame) -> DataFrame:
     """The fixed parents followed by the exported children; a parent wins its id."""
     spark = children.sparkSession
     created = F.lit(PARENT_CREATED).cast("timestamp_ntz")
+    # Columns carried from the export have no value for a parent.
+    carried = [f for f in children.schema if f.name not in schemas.columns("category")]
     parents = spark.createDataFrame(PARENT_CATEGORIES, "category_id int, category_name string").select(
         "category_id",
         "category_name",
@@ -113,12 +121,13 @@ def with_parent_categories(children: DataFrame) -> DataFrame:
         F.lit(True).alias("is_active"),
         created.alias("created_at"),
         created.alias("updated_at"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in carried],
     )
     taken = [category_id for category_id, _ in PARENT_CATEGORIES]
     return parents.unionByName(children.where(~F.col("category_id").isin(taken)))
 
 
-def clean_supplier(raw: DataFrame) -> Cleaned:
+def clean_supplier(raw: DataFrame, carry: list[str] | None = None) -> Cleaned:
     r = _Raw(raw)
     created = c.iso_timestamp(r["created_at"])
     return _run(raw, "supplier", [("key is blank", _filled(r["supplier_id"]))], {
@@ -132,10 +141,10 @@ def clean_supplier(raw: DataFrame) -> Cleaned:
         "is_active": c.flag(r["is_active"]),
         "created_at": created,
         "updated_at": created,
-    })
+    }, carry)
 
 
-def clean_store(raw: DataFrame) -> Cleaned:
+def clean_store(raw: DataFrame, carry: list[str] | None = None) -> Cleaned:
     r = _Raw(raw)
     created = c.iso_timestamp(r["created_at"])
     texts = ["store_id", "store_name", "store_type", "city", "state", "region", "zone", "country"]
@@ -144,14 +153,14 @@ def clean_store(raw: DataFrame) -> Cleaned:
         "is_active": c.flag(r["is_active"]),
         "created_at": created,
         "updated_at": created,
-    })
+    }, carry)
 
 
-def clean_customer(raw: DataFrame) -> Cleaned:
+def clean_customer(raw: DataFrame, carry: list[str] | None = None) -> Cleaned:
     r = _Raw(raw)
     digits = F.replace(r["customer_id"], F.lit(CUSTOMER_PREFIX), F.lit(""))
     rules = [
-        ("key is not a numbered customer", c.is_number(digits)),
+        ("key is not a numbered customer", c.number(digits).isNotNull()),
         ("customer type is unknown", r["customer_type"].isin(CUSTOMER_TYPES)),
     ]
     return _run(raw, "customer", rules, {
@@ -161,16 +170,16 @@ def clean_customer(raw: DataFrame) -> Cleaned:
         "first_transaction_date": c.iso_date(r["first_transaction_date"]),
         "is_active": c.flag_or_null(r["is_active"]),
         "created_at": c.iso_timestamp(r["created_at"]),
-    })
+    }, carry)
 
 
-def clean_date(raw: DataFrame) -> Cleaned:
+def clean_date(raw: DataFrame, carry: list[str] | None = None) -> Cleaned:
     r = _Raw(raw)
     date_id, full_date, day = c.whole_int(r["date_id"]), c.iso_date(r["full_date"]), c.whole_int(r["day"])
     rules = [
         ("full_date is not a date", full_date.isNotNull()),
         ("date_id is not a whole number", date_id.isNotNull()),
-        ("day is a fraction", day.isNotNull() | ~c.is_number(r["day"])),
+        ("day is a fraction", day.isNotNull() | c.number(r["day"]).isNull()),
     ]
     return _run(raw, "date", rules, {
         "date_id": date_id,
@@ -179,10 +188,10 @@ def clean_date(raw: DataFrame) -> Cleaned:
         **{name: c.rounded_int(r[name]) for name in ["month_number", "quarter", "year", "week_number"]},
         **{name: c.flag(r[name]) for name in ["is_weekend", "is_month_start", "is_month_end"]},
         **{name: c.trimmed(r[name]) for name in ["season", "day_name", "month_name"]},
-    })
+    }, carry)
 
 
-def clean_festival(raw: DataFrame) -> Cleaned:
+def clean_festival(raw: DataFrame, carry: list[str] | None = None) -> Cleaned:
     r = _Raw(raw)
     texts = [
         "festival_id", "event_id", "event_name", "festival_name", "religion", "state", "region",
@@ -195,26 +204,27 @@ def clean_festival(raw: DataFrame) -> Cleaned:
         **{name: c.flag(r[name]) for name in ["is_national_holiday", "historically_consistent_uplift"]},
         **{name: c.iso_timestamp(r[name]) for name in ["created_at", "updated_at"]},
         "expected_demand_multiplier": c.number(r["expected_demand_multiplier"]),
-    })
+    }, carry)
 
 
-def festival_products(raw: DataFrame) -> DataFrame:
+def festival_products(raw: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """The festival export's two comma lists as ranked (festival, product) rows."""
     r = _Raw(raw)
     ids, names = c.list_items(r["top_product_ids"]), c.list_items(r["top_product_names"])
     lists = raw.where(r["festival_id"].rlike(c.FESTIVAL_KEY)).select(
-        F.trim("festival_id").alias("festival_id"), ids.alias("left"), names.alias("right")
+        F.trim("festival_id").alias("festival_id"), ids.alias("left"), names.alias("right"), *(carry or [])
     )
-    pairs = lists.select("festival_id", F.posexplode(c.paired(F.col("left"), F.col("right"))).alias("pos", "pair"))
+    pairs = lists.select("festival_id", *(carry or []), F.posexplode(c.paired(F.col("left"), F.col("right"))).alias("pos", "pair"))
     return pairs.select(
         "festival_id",
         F.col("pair.left").alias("product_id"),
         F.col("pair.right").alias("product_name"),
         (F.col("pos") + 1).alias("rank"),
+        *(carry or []),
     )
 
 
-def clean_external_factors(raw: DataFrame) -> Cleaned:
+def clean_external_factors(raw: DataFrame, carry: list[str] | None = None) -> Cleaned:
     r = _Raw(raw)
     created, key = c.iso_timestamp(r["created_at"]), c.truncated_int(r["date_id"])
     flags = [
@@ -229,15 +239,15 @@ def clean_external_factors(raw: DataFrame) -> Cleaned:
         **{name: c.flag(r[name]) for name in flags},
         "created_at": created,
         "updated_at": created,
-    })
+    }, carry)
 
 
-def clean_product(raw: DataFrame) -> Cleaned:
+def clean_product(raw: DataFrame, carry: list[str] | None = None) -> Cleaned:
     r = _Raw(raw)
     code = c.barcode(r["barcode"])
     rules = [
         ("key is blank", _filled(r["product_id"])),
-        ("barcode is not a number", code.isNotNull() | r["barcode"].isNull()),
+        ("barcode is not a number", code.isNotNull() | c.na_to_null(r["barcode"]).isNull()),
     ]
     texts = ["product_id", "sku_code", "product_name", "pack_size_unit", "supplier_id"]
     return _run(raw, "product", rules, {
@@ -249,14 +259,17 @@ def clean_product(raw: DataFrame) -> Cleaned:
         **{name: c.day_first_date(r[name]) for name in ["manufacturing_date", "expiry_date"]},
         **{name: c.day_first_timestamp(r[name]) for name in ["created_at", "updated_at"]},
         "is_active": c.flag(r["is_active"]),
-    })
+    }, carry)
 
 
 def _no_footer(key: Column) -> list[tuple[str, Column]]:
-    return [("key is missing", key.isNotNull()), ("row is a legend", ~key.rlike(c.FOOTER_KEY))]
+    return [
+        ("key is missing", c.na_to_null(key).isNotNull()),
+        ("row is a legend", ~key.rlike(c.FOOTER_KEY)),
+    ]
 
 
-def clean_inventory(raw: DataFrame) -> Cleaned:
+def clean_inventory(raw: DataFrame, carry: list[str] | None = None) -> Cleaned:
     r = _Raw(raw)
     created = c.iso_timestamp(r["created_at"])
     integers = [
@@ -266,17 +279,17 @@ def clean_inventory(raw: DataFrame) -> Cleaned:
     return _run(raw, "inventory", _no_footer(r["inventory_id"]), {
         "inventory_id": c.trimmed(r["inventory_id"]),
         # Loaded as exported, without trimming.
-        **{name: r[name] for name in ["batch_number", "product_id", "store_id"]},
+        **{name: c.na_to_null(r[name]) for name in ["batch_number", "product_id", "store_id"]},
         **{name: c.int_or_zero(r[name]) for name in integers},
         "unit_cost": c.price(r["unit_cost"]),
         "expiry_date": c.iso_date(r["expiry_date"]),
         "is_stockout": c.flag(r["is_stockout"]),
         "created_at": created,
         "updated_at": created,
-    })
+    }, carry)
 
 
-def clean_transaction(raw: DataFrame) -> Cleaned:
+def clean_transaction(raw: DataFrame, carry: list[str] | None = None) -> Cleaned:
     r = _Raw(raw)
     created = c.iso_timestamp(r["created_at"])
     amounts = ["mrp_per_unit", "unit_selling_price", "discount_amount", "tax_amount", "final_sale_value"]
@@ -290,11 +303,11 @@ def clean_transaction(raw: DataFrame) -> Cleaned:
         **{name: c.trimmed(r[name]) for name in texts},
         **{name: c.int_or_zero(r[name]) for name in ["date_id", "quantity_sold"]},
         **{name: c.money(r[name]) for name in amounts},
-        "customer_id": r["customer_id"],
+        "customer_id": c.na_to_null(r["customer_id"]),
         "is_return": c.flag(r["is_return"]),
         "created_at": created,
         "updated_at": created,
-    })
+    }, carry)
 
 
 JOBS = {

@@ -42,16 +42,12 @@ def latest_sale_date(tx: DataFrame, date: DataFrame) -> DataFrame:
 def sales_since(tx: DataFrame, date: DataFrame, cutoff: Column) -> DataFrame:
     """Completed sales on or after ``cutoff``, with ``full_date``.
 
-    The range of date ids inside the window is implied by the join; stated as a
-    filter it reaches the fact scan, where it prunes files and row groups.
+    The lowest date id of the window is implied by the join; stated as a filter it
+    reaches the fact scan, where it prunes files and row groups.
     """
     window = date.where(F.col("full_date") >= cutoff).select("date_id", "full_date")
-    first, last = window.agg(F.min("date_id")), window.agg(F.max("date_id"))
-    return (
-        completed_sales(tx)
-        .where((F.col("date_id") >= first.scalar()) & (F.col("date_id") <= last.scalar()))
-        .join(window, "date_id")
-    )
+    first_id = window.agg(F.min("date_id")).scalar()
+    return completed_sales(tx).where(F.col("date_id") >= first_id).join(window, "date_id")
 
 
 def recent_sales(tx: DataFrame, date: DataFrame, days: int) -> DataFrame:
@@ -89,8 +85,15 @@ def daily_by_store(tx: DataFrame, date: DataFrame, store: DataFrame, days: int)
 
 
 def last_day(daily: DataFrame) -> Column:
-    """Latest date of a daily relation, as a scalar subquery."""
-    return daily.agg(F.max("full_date")).scalar()
+    """Latest date of a daily relation, as a scalar subquery.
+
+    The maximum is taken over whole rows, led by the date: a subquery that needs
+    every column has the same exchanges as the query around it, so Spark runs
+    them once for both instead of scanning the sales again for the date alone.
+    """
+    measures = [c for c in daily.columns if c.startswith("daily_")]
+    latest_row = F.max(F.struct("full_date", *measures))
+    return daily.agg(latest_row["full_date"]).scalar()
 
 
 def orphan_sales(tx: DataFrame, date: DataFrame, product: DataFrame, store: DataFrame) -> DataFrame:

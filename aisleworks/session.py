@@ -18,7 +18,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    "spark.sql.parquet.filterPushdown": "true",
+    # Methods above 8 kB of bytecode are never JIT-compiled; wide cleaning projections
+    # would run interpreted. Past this limit Spark generates them in compilable pieces.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

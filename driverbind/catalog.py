@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,6 +132,7 @@ def orphan_sales(r: Roles):
 # --- forecasting ----------------------------------------------------------
 
 
+@lru_cache(maxsize=8)
 def _features(r: Roles) -> DataFrame:
     return features.feature_table(**r.forecast_tables())
 

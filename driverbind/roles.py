@@ -6,8 +6,11 @@ the driver tables; nothing is sampled.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 AS_OF = "2001-07-15"
 FESTIVAL_AS_OF = "2001-06-10"
@@ -21,15 +24,29 @@ def date_id(day: Column) -> Column:
     return F.year(day) * 10000 + F.month(day) * 100 + F.day(day)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def read_driver_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A driver table; its schema is read from the file footer once."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 class Roles:
+    """Roles over one folder; each is built once and shared by what a query needs it for."""
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_driver_table(self.spark, self.folder, name)
 
     # --- dimensions -------------------------------------------------------
 
+    @lru_cache
     def date(self) -> DataFrame:
         days = self.raw("orders").select(F.col("o_orderdate").cast("date").alias("full_date")).distinct()
         d, month = F.col("full_date"), F.month("full_date")
@@ -46,6 +63,7 @@ class Roles:
             .alias("season"),
         )
 
+    @lru_cache
     def external(self) -> DataFrame:
         d = F.col("full_date")
         day, month = F.day(d), F.month(d)
@@ -69,6 +87,7 @@ class Roles:
             )
         )
 
+    @lru_cache
     def product(self) -> DataFrame:
         first_supplier = self.raw("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
             F.min("l_suppkey").alias("supplier_id")
@@ -91,11 +110,13 @@ class Roles:
             )
         )
 
+    @lru_cache
     def category(self) -> DataFrame:
         return self.raw("part").select(F.col("p_type").alias("category_id")).distinct().select(
             "category_id", F.col("category_id").alias("category_name")
         )
 
+    @lru_cache
     def store(self) -> DataFrame:
         return (
             self.raw("nation")
@@ -108,6 +129,7 @@ class Roles:
             )
         )
 
+    @lru_cache
     def customer(self) -> DataFrame:
         segment = F.col("c_mktsegment")
         kind = None
@@ -117,6 +139,7 @@ class Roles:
             F.col("c_custkey").alias("customer_id"), kind.otherwise(segment).alias("customer_type")
         )
 
+    @lru_cache
     def supplier(self) -> DataFrame:
         return self.raw("supplier").select(
             F.col("s_suppkey").alias("supplier_id"),
@@ -127,6 +150,7 @@ class Roles:
 
     # --- facts ------------------------------------------------------------
 
+    @lru_cache
     def transaction(self, product: str = "l_partkey") -> DataFrame:
         """Order lines as sales; ``product`` is the column that plays the product."""
         lines = self.raw("lineitem")
@@ -156,6 +180,7 @@ class Roles:
             )
         )
 
+    @lru_cache
     def inventory(self) -> DataFrame:
         """Every part in the first six stores."""
         p, n = F.col("p_partkey"), F.col("store_id")
@@ -182,6 +207,7 @@ class Roles:
             (p % 97 == 0).alias("is_stockout"),
         )
 
+    @lru_cache
     def festival(self) -> DataFrame:
         """One festival in the middle of each month that has orders."""
         month = F.trunc(F.col("o_orderdate").cast("date"), "month")
@@ -203,6 +229,7 @@ class Roles:
             (F.lit(1.0) + (F.col("k") % 5) * 0.25).alias("expected_demand_multiplier"),
         )
 
+    @lru_cache
     def festival_products(self) -> DataFrame:
         parts = self.raw("part").agg(F.count(F.lit(1)))
         ranked = self.festival().select("festival_id", "k", F.explode(F.array(*map(F.lit, [1, 2, 3]))).alias("rank"))
@@ -212,6 +239,7 @@ class Roles:
 
     # --- the forecast's coarser grain: part type x nation ------------------
 
+    @lru_cache
     def forecast_tables(self) -> dict[str, DataFrame]:
         kinds = self.category().select(
             F.col("category_id").alias("product_id"),
@@ -227,6 +255,7 @@ class Roles:
             "external": self.external(),
         }
 
+    @lru_cache
     def stand_in_forecast(self) -> DataFrame:
         """A forecast that SQL can state too: a week's worth of the average units per sale."""
         return (

@@ -253,7 +253,7 @@ statement("future_features", "SELECT * REPLACE (CAST(forecast_date AS VARCHAR) A
 EXTRA["daily_fc"] = f"""
     SELECT product_id, store_id, product_name, category_name AS category, forecast_date AS date,
            dayname(forecast_date) AS day_name,
-           GREATEST({half_even("rolling_7d_avg * 1.05::DOUBLE + day_of_week * 0.3::DOUBLE - 20.0::DOUBLE", 1)}, 0.0::DOUBLE) AS predicted_qty,
+           GREATEST({half_even("rolling_7d_avg * 1.05::DOUBLE + day_of_week * 0.3::DOUBLE - 20.0::DOUBLE", 1)}, 0.0::DOUBLE) + 0.0::DOUBLE AS predicted_qty,
            is_weekend = 1 AS is_weekend
     FROM future"""
 EXTRA["total_fc"] = """
@@ -304,7 +304,7 @@ statement("restock_candidates", f"""
 def _quantity(closing: str, safety: str, reorder: str, lead: str, f: str) -> str:
     c, s, r = dbl(closing), dbl(safety), dbl(reorder)
     raw = f"CASE WHEN {f} <= 0 THEN ({r} - {c}) + {s} ELSE GREATEST({f} / 7.0::DOUBLE * {lead} + {s} - {c}, {r} - {c}) END"
-    return f"GREATEST(0.0::DOUBLE, {half_even(raw, 0)})"
+    return f"(GREATEST(0.0::DOUBLE, {half_even(raw, 0)}) + 0.0::DOUBLE)"
 
 
 statement("restock_quantity", f"""

@@ -62,7 +62,7 @@ if __name__ == "__main__":
 
     folder = sys.argv[1]
     wanted = sys.argv[2:]
-    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"})
+    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, statements, failed = connect(folder), entry.oracle_sql(), 0
     for name, run in entry.queries().items():
