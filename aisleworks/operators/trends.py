@@ -19,11 +19,10 @@ def _mean_where(condition: Column) -> Column:
 
 
 def _week_over_week(daily: DataFrame, key: str, *extra: Column) -> DataFrame:
-    latest = sales.last_day(daily)
-    day = F.col("full_date")
-    this_week = day > F.date_sub(latest, 7)
-    week_before = (day <= F.date_sub(latest, 7)) & (day > F.date_sub(latest, 14))
-    periods = daily.groupBy(key).agg(
+    age = F.col("age")
+    this_week, week_before = age < 7, (age >= 7) & (age < 14)
+    aged = daily.withColumn("age", F.datediff(sales.last_day(daily), "full_date"))
+    periods = aged.groupBy(key).agg(
         _mean_where(this_week).alias("last_avg"), _mean_where(week_before).alias("prev_avg"), *extra
     )
     last, prev = F.col("last_avg"), F.col("prev_avg")

@@ -16,6 +16,9 @@ from aisleworks.sources.tables import Tables
 
 @dataclass
 class RestockRun:
+    """``lines`` are the written order lines, ``orders`` the same in presentation order."""
+
+    lines: DataFrame
     orders: DataFrame
     summary: DataFrame
     totals: DataFrame
@@ -44,6 +47,7 @@ def restock_run(
     lines = materialize(orders.restock_orders(candidates, forecast, top_n, stores, as_of), "restock-orders")
     scanned = t.store if stores is None else t.store.where(t.store["store_id"].isin(list(stores)))
     return RestockRun(
+        lines,
         present("restock_orders", lines),
         orders.restock_run_summary(lines, scanned),
         orders.restock_run_totals(lines, as_of),
@@ -63,8 +67,8 @@ def restock_notify(
     ``letter`` takes the ``sender`` and ``signature`` printed in the messages.
     """
     run = restock_run(tables, forecast, stores, as_of=as_of)
-    routed = alerts.route_alerts(alerts.restock_alerts(run.orders, as_of), dry_run)
-    messages = orders.supplier_messages(run.orders, as_of, dry_run=dry_run, **letter)
+    routed = alerts.route_alerts(alerts.restock_alerts(run.lines, as_of), dry_run)
+    messages = orders.supplier_messages(run.lines, as_of, dry_run=dry_run, **letter)
     return RestockNotice(run, routed, present("supplier_orders", messages))
 
 

@@ -10,20 +10,17 @@ from pyspark.sql import functions as F
 _INFO = (
     "mae double, rmse double, mape_pct double, mean_actual_qty double, train_rows bigint, test_rows bigint, "
     "features_used array<string>, model_type string, "
-    "feature_importance array<struct<feature: string, importance: double>>, saved_at timestamp"
+    "feature_importance array<struct<importance: double, feature: string>>, saved_at timestamp"
 )
 
 
 def save_model(model: PipelineModel, metrics: DataFrame, importance: DataFrame, path: str) -> None:
     """Model directory plus one metadata row."""
     model.write().overwrite().save(f"{path}/model")
-    entry = F.struct((-F.col("importance")).alias("_down"), "feature", "importance")
-    weights = importance.agg(F.array_sort(F.collect_list(entry)))
+    heaviest_first = F.sort_array(F.collect_list(F.struct("importance", "feature")), asc=False)
     info = metrics.withColumns(
         {
-            "feature_importance": F.transform(
-                weights.scalar(), lambda x: F.struct(x["feature"].alias("feature"), x["importance"].alias("importance"))
-            ),
+            "feature_importance": importance.agg(heaviest_first).scalar(),
             "saved_at": F.current_timestamp(),
         }
     )

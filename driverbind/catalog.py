@@ -23,6 +23,7 @@ from aisleworks.operators import (
     taste,
     trends,
 )
+from aisleworks.session import materialize
 from aisleworks.sources import snapshots
 from driverbind.exports import export_frame
 from driverbind.roles import AS_OF, FESTIVAL_AS_OF, STOCK_AS_OF, STORES, Roles
@@ -296,6 +297,11 @@ def _orders(r: Roles) -> DataFrame:
     return orders.restock_orders(_candidates(r), r.stand_in_forecast(), top_n=50, as_of=STOCK_AS_OF)
 
 
+def _order_lines(r: Roles) -> DataFrame:
+    """Orders written once, as the restock run does, for queries that read them several times."""
+    return materialize(_orders(r), "restock-orders")
+
+
 @query
 def restock_orders(r: Roles):
     return _orders(r)
@@ -317,7 +323,7 @@ def _listing(name: str, item: str) -> Column:
 
 @query
 def restock_alerts(r: Roles):
-    built = alerts.restock_alerts(_orders(r), as_of=STOCK_AS_OF)
+    built = alerts.restock_alerts(_order_lines(r), as_of=STOCK_AS_OF)
     return built.withColumn("data", _listing("data", "product_id"))
 
 
@@ -329,7 +335,7 @@ def expiry_alert_rollup(r: Roles):
 
 @query
 def route_alerts(r: Roles):
-    built = alerts.route_alerts(alerts.restock_alerts(_orders(r), as_of=STOCK_AS_OF))
+    built = alerts.route_alerts(alerts.restock_alerts(_order_lines(r), as_of=STOCK_AS_OF))
     return built.withColumn("channels", F.array_join("channels", ",")).drop("data")
 
 
@@ -340,17 +346,17 @@ def alert_outbox(r: Roles):
 
 @query
 def supplier_orders(r: Roles):
-    return orders.supplier_orders(_orders(r)).withColumn("lines", _listing("lines", "product_id"))
+    return orders.supplier_orders(_order_lines(r)).withColumn("lines", _listing("lines", "product_id"))
 
 
 @query
 def supplier_order_lines(r: Roles):
-    return orders.supplier_order_lines(_orders(r))
+    return orders.supplier_order_lines(_order_lines(r))
 
 
 @query
 def supplier_messages(r: Roles):
-    return orders.supplier_messages(_orders(r), as_of=STOCK_AS_OF)
+    return orders.supplier_messages(_order_lines(r), as_of=STOCK_AS_OF)
 
 
 # --- ingestion ------------------------------------------------------------
