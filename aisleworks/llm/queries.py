@@ -8,8 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from aisleworks.llm.common import table
+from aisleworks.llm.mixing import mix_sources
 from aisleworks.llm.packing import pack
 from aisleworks.llm.token_counts import token_counts
+from aisleworks.llm.warc import archive_round_trip
+
+
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_round_trip(table(spark, folder, "pages"))
+
+
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"))
 
 
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,9 +31,22 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
+    "op5_mixing": op5_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
 
 #: SQL for DuckDB, where SQL can express the query.
-STATEMENTS: dict[str, str] = {}
+STATEMENTS: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (
+            SELECT page_id, sha1(coalesce(html, '')) AS digest,
+                   octet_length(encode(coalesce(html, '')))::BIGINT AS bytes
+            FROM pages),
+        k AS (SELECT digest, max(page_id) AS keeper FROM p WHERE bytes >= 1000 GROUP BY digest)
+        SELECT page_id, bytes AS payload_bytes, p.digest AS payload_digest,
+               CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+        FROM p LEFT JOIN k ON p.digest = k.digest AND bytes >= 1000""",
+}
