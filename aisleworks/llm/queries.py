@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from aisleworks.llm.common import table
 from aisleworks.llm.mixing import mix_sources
+from aisleworks.llm.ngram_join import near_copies
 from aisleworks.llm.packing import pack
 from aisleworks.llm.token_counts import token_counts
 from aisleworks.llm.warc import archive_round_trip
@@ -22,6 +23,10 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(table(spark, folder, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,6 +38,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op5_mixing": op5_mixing,
+    "op7_ngram_join": op7_ngram_join,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
@@ -49,4 +55,24 @@ STATEMENTS: dict[str, str] = {
                CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN keeper <> page_id THEN keeper END AS refers_to
         FROM p LEFT JOIN k ON p.digest = k.digest AND bytes >= 1000""",
+    "op7_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+            FROM w, unnest(range(1, greatest(len(words) - 3, 2))) AS u(i) WHERE len(words) > 0),
+        n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+        l AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+            FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+        e AS (
+            SELECT a, b FROM l JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+            WHERE 100 * common >= 80 * (p.size + q.size - common)),
+        r(doc_id, reached) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+        SELECT r.doc_id, any_value(coalesce(n.size, 0)) AS n_shingles, min(reached) AS component_id
+        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
 }
