@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aisleworks.llm.common import table
+from aisleworks.llm.common import crc_mod, table
+from aisleworks.llm.language_id import identify
 from aisleworks.llm.mixing import mix_sources
 from aisleworks.llm.ngram_join import near_copies
 from aisleworks.llm.packing import pack
@@ -19,6 +20,11 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_round_trip(table(spark, folder, "pages"))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = identify(table(spark, folder, "documents"), crc_mod("doc_id", 4) != 2)
+    return found.withColumn("held_out", crc_mod("doc_id", 4) == 2).drop("learns")
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"))
 
@@ -37,6 +43,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
+    "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op7_ngram_join": op7_ngram_join,
     "op9_token_counts": op9_token_counts,
