@@ -12,10 +12,17 @@ from aisleworks.llm.language_id import identify
 from aisleworks.llm.mixing import mix_sources
 from aisleworks.llm.ngram_join import near_copies
 from aisleworks.llm.packing import pack
+from aisleworks.llm.quality import quality
 from aisleworks.llm.token_counts import token_counts
+from aisleworks.llm.toxicity import held_out_third, toxicity
 from aisleworks.llm.warc import archive_round_trip
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out_third())
+    return found.withColumn("held_out", held_out_third())
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_round_trip(table(spark, folder, "pages"))
 
@@ -29,6 +36,11 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"))
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out_third())
+    return found.withColumn("held_out", held_out_third())
+
+
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"))
 
@@ -42,9 +54,11 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op7_ngram_join": op7_ngram_join,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
