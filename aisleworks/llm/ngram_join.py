@@ -9,8 +9,9 @@ Pairs that meet are kept if their sizes allow and the Hamming distance of their
 then verified on the whole sets.
 
 Texts with equal sets are one class from the start. In a bucket of equal parts every class is first held against
-the smallest one; only classes that verified links have not joined yet are then held against each other, so a large
-group of copies costs one pair per copy and no link between different texts is lost.
+one of them, drawn by a hash of class and part; only classes that verified links have not joined yet are then held against
+each other, inside the bucket's task. So a large group of copies costs one pair per copy and part, and no link between
+different texts is lost.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def corpus_facts(docs: DataFrame) -> DataFrame:
             yield facts_batch(0, batch.column(0).cast(pa.int64()), sizes, classes)
             seen.extend(sets)
             held += int(sizes.sum())
-            if held > 8_000_000:
+            if held > 2_000_000:
                 yield repeated()
                 seen, held = [], 0
         yield repeated()
@@ -170,7 +171,7 @@ def bucket_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 
 
 def meetings(parts: DataFrame) -> DataFrame:
-    """Kind 0: pair of a bucket's smallest class ``a`` and another ``b``; kind 1: class ``b`` of a bucket of three or more."""
+    """Kind 0: pair of a bucket's drawn class ``a`` and another ``b``; kind 1: class ``b`` of a bucket of three or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (part, own) in bucket_runs(batches):
@@ -178,7 +179,9 @@ def meetings(parts: DataFrame) -> DataFrame:
             part, own = part[new], own[new]
             starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             sizes = np.diff(np.append(starts, len(part)))
-            first = np.repeat(own[starts], sizes)
+            lot = mix64(own.view(np.uint64) ^ part.view(np.uint64))  # one-to-one within a part
+            drawn = own[lot == np.repeat(np.minimum.reduceat(lot, starts), sizes)]
+            first = np.repeat(drawn, sizes)
             size = np.repeat(sizes, sizes)
             star = (size > 1) & (first != own)
             rest = size > 2
@@ -252,6 +255,12 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return fitting.select(*columns, *sketches).mapInArrow(run, "a long, b long, rep_a long, rep_b long, shared long")
 
 
+def sets_link(first: bytes | pa.Buffer, second: bytes | pa.Buffer) -> bool:
+    x, y = np.frombuffer(first, dtype=np.uint64), np.frombuffer(second, dtype=np.uint64)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return SCALE * common >= LEVEL * (len(x) + len(y) - common)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``a, b`` representatives of those pairs whose whole sets link."""
     for side in ("a", "b"):
@@ -262,9 +271,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in bounded_batches(batches):
             keep = []
             for first, second in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (first, second))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(SCALE * common >= LEVEL * (len(x) + len(y) - common))
+                keep.append(sets_link(first.as_buffer(), second.as_buffer()))
             yield batch.select(["rep_a", "rep_b"]).filter(pa.array(keep, pa.bool_())).rename_columns(["a", "b"])
 
     chosen = pairs.select("rep_a", "rep_b", "members_a", "members_b")
@@ -280,38 +287,54 @@ def unjoined(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return pairs.where(differ).select("a", "b", "rep_a", "rep_b", "shared")
 
 
-def bucket_pairs(buckets: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of classes ``a, b`` that share a bucket, are not joined yet, and whose sizes and bit sketches allow a link.
+def linked_in_bucket(labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, members: list[bytes]) -> list[tuple[int, int]]:
+    """Positions of verified pairs that join the groups of a bucket, at most one fewer than there are groups.
 
-    A bucket's classes of other components are held against each other by sketches inside its task, in blocks;
-    only pairs within the bound leave it. The pairs with the bucket's smallest class were dealt with before.
+    Each class is held against those of other groups: sizes, bit sketches, then whole sets; groups that a link joins
+    need no more pairs between them.
     """
-    light = sets.select("class", "rep", "size", "sketch", "lower_sketch")
-    rows = buckets.join(light, buckets["b"] == light["class"]).join(joined, F.col("rep") == F.col("node"), "left")
-    rows = rows.select("part", F.coalesce("component", "rep").alias("component"), "size", "b", "sketch", "lower_sketch")
-    several = rows.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    several = several.where("low <> high").select(F.col("part").alias("open_part"))
-    rows = rows.join(several, rows["part"] == several["open_part"], "left_semi")
+    labels = labels.copy()
+    out = []
+    for i in range(len(labels) - 1):
+        others = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+        small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[SCALE * small >= LEVEL * large]
+        distance = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        for j in others[distance <= (SCALE - LEVEL) * (sizes[others] + sizes[i]) // (SCALE + LEVEL)].tolist():
+            if labels[j] != labels[i] and sets_link(members[i], members[j]):
+                out.append((i, j))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def links_within_buckets(buckets: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFrame:
+    """Verified ``a, b`` representatives that join classes of a bucket which are not in one component yet."""
+    rows = buckets.join(sets, buckets["b"] == sets["class"]).join(joined, F.col("rep") == F.col("node"), "left")
+    rows = rows.withColumn("component", F.coalesce("component", "rep"))
+    open_parts = (
+        rows.groupBy("part")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low <> high")
+        .select(F.col("part").alias("open_part"))
+    )
+    rows = rows.join(open_parts, rows["part"] == F.col("open_part"), "left_semi")
+    rows = rows.select("part", "component", "rep", "size", "members", "sketch", "lower_sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, (_, component, size, own, sketch, lower) in bucket_runs(batches):
-            found: list[tuple[int, int]] = []
-            for start, end in zip(starts, np.append(starts[1:], len(own)), strict=True):
-                for i in range(start + 1, end):
-                    for j in range(i + 1, end):
-                        if component[i] == component[j] or own[i] == own[j]:
-                            continue
-                        a, b = int(size[i]), int(size[j])
-                        if SCALE * min(a, b) < LEVEL * max(a, b):
-                            continue
-                        if sketch_distance(a, (sketch[i], lower[i]), b, (sketch[j], lower[j])) <= most_different(a + b):
-                            found.append((min(own[i], own[j]), max(own[i], own[j])))
-            unique = sorted(set(found))
-            columns = [pa.array([pair[k] for pair in unique], pa.int64()) for k in (0, 1)]
+        for starts, (_, component, rep, size, members, sketch, lower) in bucket_runs(batches):
+            found: set[tuple[int, int]] = set()
+            for start, end in zip(starts, np.append(starts[1:], len(rep)), strict=True):
+                bands = [band_of(int(n)) for n in size[start:end]]
+                low = min(bands)
+                own = [(sketch if band == low else lower)[start + k] for k, band in enumerate(bands)]
+                table = np.frombuffer(b"".join(own), dtype=np.uint8).reshape(len(own), -1)
+                pairs = linked_in_bucket(component[start:end], size[start:end], table, members[start:end])
+                found.update((int(rep[start + i]), int(rep[start + j])) for i, j in pairs)
+            columns = [pa.array([pair[k] for pair in sorted(found)], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
-    dealt = rows.repartition("part").sortWithinPartitions("part", "b")
-    return dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    dealt = rows.repartition("part").sortWithinPartitions("part", "rep")
+    return written(dealt.mapInArrow(run, "a long, b long").distinct(), "bucket-links")
 
 
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -352,8 +375,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     joined = components(links)
     links = links.union(verified(unjoined(marked.where("a <> best").drop("best", "best_b"), joined), sets))
     joined = components(links)
-    rest = bucket_pairs(met.where("kind = 1").select("part", "b"), sets, joined)
-    links = links.union(verified(possible(rest, sets), sets))
+    links = links.union(links_within_buckets(met.where("kind = 1").select("part", "b"), sets, joined))
     joined = components(links)
 
     # every id stands with its class's representative, which stands with its component
