@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from aisleworks.llm.common import crc_mod, table
 from aisleworks.llm.language_id import identify
@@ -15,6 +16,8 @@ from aisleworks.llm.packing import pack
 from aisleworks.llm.quality import quality
 from aisleworks.llm.token_counts import token_counts
 from aisleworks.llm.toxicity import held_out_third, toxicity
+from aisleworks.llm.vector_dedup import near_vectors
+from aisleworks.llm.vector_search import nearest_vectors
 from aisleworks.llm.warc import archive_round_trip
 
 
@@ -23,6 +26,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("held_out", held_out_third())
 
 
+def op2_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_vectors(table(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_round_trip(table(spark, folder, "pages"))
 
@@ -45,6 +52,10 @@ def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"))
 
 
+def op8_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -55,11 +66,13 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_nearest": op2_nearest,
     "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_ngram_join": op7_ngram_join,
+    "op8_vector_dedup": op8_vector_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
