@@ -39,6 +39,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows of a few numbers up to which a table is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast only if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def crc_mod(id_column: str | Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as empty text."""
     column = F.col(id_column) if isinstance(id_column, str) else id_column

@@ -291,7 +291,8 @@ def identify(
     for lang, model in models.items():
         chance = F.when(F.col("best") == lang, math.log(len(model["k1"]))).otherwise(chance)
     most = F.greatest("bulk", (F.col("bulk") + chance) / 2)
-    joined = values.join(bulk, F.col("best") == F.col("of"), "left")
+    # one row for each learnt language at most, all of whose models are in memory already
+    joined = values.join(F.broadcast(bulk), F.col("best") == F.col("of"), "left")
     at = F.array_position("entropies", lowest).cast("int")
     best = F.col("best").isNotNull()
     return joined.select(

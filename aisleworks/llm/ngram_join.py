@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aisleworks.llm.common import bounded_batches, mix64, two_columns, written
+from aisleworks.llm.common import bounded_batches, mix64, small_or_shuffled, two_columns, written
 from aisleworks.llm.graph import components
 from aisleworks.llm.shingles import set_fingerprint, shingle_sets
 
@@ -34,8 +34,6 @@ LEVEL, SCALE = 80, 100
 LEAST_FREQUENT, MOST_FREQUENT = 100, 1_000_000
 #: Times a task must see a shingle to report it, and classes of which a task remembers that it has given their parts.
 LOCAL_REPEATS, REMEMBERED = 4, 200_000
-#: Rows up to which the texts to fetch are looked up by broadcast; beyond, by a shuffled join.
-BROADCAST_ROWS = 500_000
 
 FACTS = "kind int, doc_id long, size long, class long"
 PARTS = "part long, class long"
@@ -194,10 +192,7 @@ def meetings(parts: DataFrame) -> DataFrame:
 
 def fetched_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Whole sets and bit sketches of the wanted ``doc_id, class, size`` rows."""
-    wanted = written(wanted, "wanted")
-    lookup = wanted.select(F.col("doc_id").alias("rep"), "class", "size")
-    if lookup.count() <= BROADCAST_ROWS:
-        lookup = F.broadcast(lookup)
+    lookup = small_or_shuffled(written(wanted.select(F.col("doc_id").alias("rep"), "class", "size"), "wanted"))
     texts = docs.join(lookup, docs["doc_id"] == F.col("rep")).select("class", "rep", "size", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

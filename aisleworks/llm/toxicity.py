@@ -108,9 +108,11 @@ def toxicity(
     threshold: float = 0.7,
     id_column: str = "doc_id",
     text_column: str = "text",
+    result_column: str | None = None,
 ) -> DataFrame:
     """Per row: ``doc_id, score, predicted`` (score of at least ``threshold``).
 
+    Labels meet documents by ``id_column``; the result's ``doc_id`` has the values of ``result_column`` if that is given.
     ``learns`` is a condition on ``doc_id`` of the labels; labels that are null or neither 0 nor 1 teach nothing. A null
     or empty text has the score of a text without listed words. If there is nothing to learn from, all scores are
     low. Equal texts have equal scores; an empty table gives no row. Other columns are not read.
@@ -118,7 +120,8 @@ def toxicity(
     texts = two_columns(docs, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     learns = F.lit(True) if learns is None else learns
     rows = written(feature_rows(learning_rows(texts, labels, F.col(label), learns)), "toxic-features")
-    scores = scored(texts, *fitted_scorer(rows, votes, []))
+    named = two_columns(docs, result_column or id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
+    scores = scored(named, *fitted_scorer(rows, votes, []))
     return scores.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

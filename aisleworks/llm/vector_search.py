@@ -28,37 +28,49 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 class SortedLines:
-    """Projections of a block on each line, sorted, with the rows they belong to."""
+    """Projections of a block on each line, sorted, with the rows they belong to.
+
+    The lines' arrays lie one behind the other, each shifted into a stretch of its own, so one binary search finds the
+    window ends of a query on all lines.
+    """
 
     def __init__(self, vectors: np.ndarray, lines: np.ndarray):
         self.vectors = vectors
-        projected = vectors @ lines
-        self.order = np.argsort(projected, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(projected, self.order, axis=0)
+        projected = (vectors @ lines).T
+        self.least, self.most = projected.min() - 1, projected.max() + 1
+        self.shift = np.arange(lines.shape[1]) * (self.most - self.least + 2) - self.least
+        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32).ravel()
+        self.sorted = (np.sort(projected, axis=1) + self.shift[:, None]).ravel()
+
+    def _ends(self, at: np.ndarray, side: str) -> np.ndarray:
+        return np.searchsorted(self.sorted, np.clip(at, self.least, self.most) + self.shift, side=side)
 
     def nearest(self, query: np.ndarray, at: np.ndarray, wanted: int, first_radius: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows and distances of what was verified for a query with projections ``at``."""
         rows = len(self.vectors)
         needed = math.ceil(COLLISIONS * len(at))
-        counts = np.zeros(rows, dtype=np.int16)
-        distance = np.full(rows, np.nan)
-        low = high = np.array([np.searchsorted(self.sorted[:, k], at[k]) for k in range(len(at))])
+        counts = np.zeros(rows, dtype=np.int64)
+        distance = np.full(rows, np.inf)
+        verified = np.zeros(rows, dtype=bool)
+        low = high = self._ends(at, "left")
         radius = first_radius
         while True:
-            half = HALF_WIDTH * radius
-            new_low = np.array([np.searchsorted(self.sorted[:, k], at[k] - half) for k in range(len(at))])
-            new_high = np.array([np.searchsorted(self.sorted[:, k], at[k] + half, side="right") for k in range(len(at))])
-            for k in range(len(at)):
-                counts[self.order[new_low[k] : low[k], k]] += 1
-                counts[self.order[high[k] : new_high[k], k]] += 1
+            new_low = self._ends(at - HALF_WIDTH * radius, "left")
+            new_high = self._ends(at + HALF_WIDTH * radius, "right")
+            starts = np.concatenate([new_low, high])
+            sizes = np.concatenate([low - new_low, new_high - high])
+            before = np.cumsum(sizes) - sizes
+            covered = np.arange(sizes.sum()) + np.repeat(starts - before, sizes)
+            counts += np.bincount(self.order[covered], minlength=rows)
             low, high = new_low, new_high
-            fresh = np.flatnonzero((counts >= needed) & np.isnan(distance))
+            fresh = np.flatnonzero((counts >= needed) & ~verified)
             if len(fresh):
                 difference = self.vectors[fresh] - query
                 distance[fresh] = np.sqrt((difference * difference).sum(axis=1))
-            verified = np.flatnonzero(~np.isnan(distance))
-            if len(verified) == rows or (distance[verified] <= radius / INSIDE).sum() >= wanted:
-                return verified, distance[verified]
+                verified[fresh] = True
+            if verified.all() or (distance <= radius / INSIDE).sum() >= wanted:
+                found = np.flatnonzero(verified)
+                return found, distance[found]
             radius *= GROWTH
 
 
@@ -74,7 +86,7 @@ def search_block(data: pa.Table, queries: pa.Table, wanted: int) -> pa.Table:
         scale = float(np.sqrt(((vectors - vectors.mean(axis=0)) ** 2).sum(axis=1).mean())) or 1.0
         for query, own, at in zip(points, query_ids, points @ lines, strict=True):
             # one more than wanted, as the query's own row may be among them
-            rows, distances = index.nearest(query, at, wanted + 1, scale / 16)
+            rows, distances = index.nearest(query, at, wanted + 1, scale / 8)
             other = ids[rows] != own
             rows, distances = rows[other], distances[other]
             best = np.lexsort((ids[rows], distances))[:wanted]
