@@ -19,9 +19,15 @@ def round_half_up(value: Column, digits: int) -> Column:
 
 
 def round_half_even(value: Column, digits: int) -> Column:
-    # format_number rounds half-even and looks at the exact binary value, bround at its decimal text.
-    text = F.format_number(value.cast("double"), digits)
-    return F.translate(text, ",", "").cast("double")
+    """NaN and infinities pass through."""
+    number = value.cast("double")
+    scaled = F.abs(number) * 10.0**digits
+    # bround looks at a double's shortest decimal text, which is on the wrong side of some ties (2.675); format_number
+    # looks at the exact binary value, but by way of text, so it only judges what is close to a tie or very large.
+    near_tie = F.abs(scaled - F.floor(scaled).cast("double") - 0.5) < 1e-6
+    finite = ~F.isnan(number) & (F.abs(number) < 1e15)
+    exact = F.translate(F.format_number(number, digits), ",", "").cast("double")
+    return F.when(~finite, number).when(scaled >= 1e9, exact).when(near_tie, exact).otherwise(F.bround(number, digits))
 
 
 def average(total: Column, count: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +28,30 @@ CUSTOMER_PREFIX = "CUST"
 # ----------------------------------------------------------------------------
 
 
-class Cleaned(NamedTuple):
-    """Typed rows in table order, and the raw rows left out with the reason."""
+@dataclass
+class Cleaned:
+    """Judged rows: the reason a row is left out (none for valid ones), its raw and its typed values.
 
-    valid: DataFrame
-    rejects: DataFrame
+    ``rows`` can be written once and read for both outcomes: ``over`` gives the same view of the written rows.
+    """
+
+    rows: DataFrame
+
+    @property
+    def valid(self) -> DataFrame:
+        """Typed rows in table order."""
+        return self.rows.where(F.col(REASON).isNull()).select("typed.*")
+
+    @property
+    def rejects(self) -> DataFrame:
+        """The raw rows left out, with the reason."""
+        return self.rows.where(F.col(REASON).isNotNull()).select("raw.*", REASON)
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        return iter((self.valid, self.rejects))
+
+    def over(self, written: DataFrame) -> Cleaned:
+        return Cleaned(written)
 
 
 class _Raw:
@@ -69,7 +89,13 @@ def _run(
         values.get(field.name, null).cast(field.dataType).alias(field.name)
         for field in schemas.struct(table)
     ]
-    return Cleaned(raw.where(keeps).select(*typed, *(carry or [])), raw.where(~keeps).withColumn(REASON, reason))
+    return Cleaned(
+        raw.select(
+            F.when(~keeps, reason).alias(REASON),
+            F.struct(*[F.col(f"`{name}`") for name in raw.columns]).alias("raw"),
+            F.struct(*typed, *[F.col(name) for name in carry or []]).alias("typed"),
+        )
+    )
 
 
 def _filled(text: Column) -> Column:

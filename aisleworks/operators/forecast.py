@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from aisleworks.functions.rounding import round_half_even
 from aisleworks.operators.features import FEATURES, KEY, TARGET
-from aisleworks.session import materialize
+from aisleworks.session import materialized
 
 # --- fixed values -----------------------------------------------------------
 MIN_ROWS = 50
 MIN_CLEAN_ROWS = 30
 HOLDOUT_DAYS = 14
 FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 3, "seed": 42}
+# Node ids are kept between levels instead of walking every tree from its root again; memory bounds the statistics
+# that one task gathers for a group of nodes (a few such tasks run at once in an executor).
+TRAINING = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 512}
 TOO_FEW_ROWS = "Not enough data to train. Need at least 50 rows."
 TOO_FEW_CLEAN_ROWS = "Too many NaN rows after cleaning. Check your data."
 # ----------------------------------------------------------------------------
@@ -51,14 +54,18 @@ def forecast_pipeline(**forest) -> Pipeline:
         featuresCol="features",
         predictionCol="prediction",
         featureSubsetStrategy="all",
-        **{**FOREST, **forest},
+        **{**FOREST, **TRAINING, **forest},
     )
     return Pipeline(stages=[assembler, regressor])
 
 
 def train_forecast(features: DataFrame, **forest) -> Trained:
     """Fit on all but the last two weeks and measure on those."""
-    kept = materialize(features.select("full_date", TARGET, *FEATURES), "forecast-features")
+    with materialized(features.select("full_date", TARGET, *FEATURES), "forecast-features") as kept:
+        return _trained_on(kept, **forest)
+
+
+def _trained_on(kept: DataFrame, **forest) -> Trained:
     complete = F.lit(True)
     for column in [*FEATURES, TARGET]:
         complete = complete & F.col(column).isNotNull()
@@ -70,13 +77,15 @@ def train_forecast(features: DataFrame, **forest) -> Trained:
 
     train, test = split_by_date(clean_rows(kept))
     model = forecast_pipeline(**forest).fit(train)
-    train_rows = train.agg(F.count(F.lit(1)))
-    metrics = forecast_metrics(model.transform(test)).select(
+    train_rows = train.count()
+    measured = forecast_metrics(model.transform(test))
+    # one row, taken before the training table is released
+    metrics = kept.sparkSession.createDataFrame([measured.first()], measured.schema).select(
         "mae",
         "rmse",
         "mape_pct",
         "mean_actual_qty",
-        train_rows.scalar().alias("train_rows"),
+        F.lit(train_rows).cast("long").alias("train_rows"),
         "test_rows",
         F.array(*[F.lit(name) for name in FEATURES]).alias("features_used"),
         F.lit("RandomForestRegressor").alias("model_type"),
@@ -143,15 +152,17 @@ def forecast_totals(daily: DataFrame) -> DataFrame:
     )
 
 
-def top_demand_forecast(
-    features: DataFrame, totals: DataFrame, store_id=None, top_n: int = 10
-) -> DataFrame:
-    """Forecast of each store's best sellers by units sold so far."""
+def leaders(features: DataFrame, store_id=None, top_n: int = 10) -> DataFrame:
+    """Keys of each store's best sellers by units sold so far; a forecast of these alone is cheaper than of all."""
     history = features if store_id is None else features.where(F.col("store_id") == store_id)
     sold = history.groupBy(*KEY).agg(F.sum(TARGET).alias("units"))
     best = Window.partitionBy("store_id").orderBy(F.desc("units"), "product_id")
-    leaders = sold.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= top_n)
-    return leaders.select(*KEY).join(totals, KEY).select(
+    return sold.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= top_n).select(*KEY)
+
+
+def top_demand_forecast(best: DataFrame, totals: DataFrame) -> DataFrame:
+    """Forecast totals of the leading keys."""
+    return best.join(totals, KEY).select(
         "store_id",
         "product_id",
         "product_name",

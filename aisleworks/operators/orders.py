@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,18 @@ from aisleworks.operators.decisions import with_restock_quantity
 TOP_N = 50
 MESSAGE_LINES = 10
 
+# --- fixed values: the wording of a purchase-order message --------------------
+ORDER_TITLE = "🏪 {sender} — Purchase Order Request"
+ORDER_DATE, ORDER_DATE_FORMAT = "📅 Date: ", "dd MMM yyyy"
+ORDER_SUPPLIER, NO_SUPPLIER = "📦 Supplier: ", "None"
+ORDER_CONFIRM = "⏰ Please confirm by: "
+ORDER_DETAILS = "ORDER DETAILS:"
+LINE_NUMBER, LINE_STORE, LINE_QUANTITY, LINE_UNITS, LINE_URGENCY = ". ", " | Store: ", " | Qty: ", " units", " | Urgency: "
+ORDER_MORE = "... and %d more items."
+ORDER_VALUE = "💰 Estimated Order Value: ₹"
+ORDER_CLOSING = "Please reply to confirm or call us."
+# ----------------------------------------------------------------------------
+
 ORDER_COLUMNS = [
     "product_id", "product_name", "category", "store_id", "store_name", "supplier_id", "supplier_name",
     "supplier_phone", "current_stock", "reorder_level", "restock_qty", "order_deadline", "lead_time_days",
@@ -24,14 +37,15 @@ ORDER_COLUMNS = [
 
 def restock_orders(
     candidates: DataFrame,
-    forecast: DataFrame,
+    forecast: DataFrame | Callable[[DataFrame], DataFrame],
     top_n: int = TOP_N,
     stores: list | None = None,
     as_of: dt.date | str | None = None,
 ) -> DataFrame:
     """Each store's most pressing candidates as order lines.
 
-    ``forecast`` holds (product_id, store_id, forecast_7d_qty), one row per key.
+    ``forecast`` holds (product_id, store_id, forecast_7d_qty), one row per key, or is a function that gives
+    those rows for the (product_id, store_id) keys of the chosen lines, so that no other key is scored.
     ``order_seq`` numbers a store's lines from the most pressing one.
     """
     if stores is not None:
@@ -42,6 +56,8 @@ def restock_orders(
     chosen = candidates.withColumn("order_seq", F.row_number().over(pressing)).where(
         F.col("order_seq") <= top_n
     )
+    if not isinstance(forecast, DataFrame):
+        forecast = forecast(chosen.select("product_id", "store_id").distinct())
     demand = forecast.select("product_id", "store_id", F.col("forecast_7d_qty").cast("double"))
     lines = chosen.join(demand, ["product_id", "store_id"], "left").withColumn(
         "forecast_7d_qty", F.coalesce("forecast_7d_qty", F.lit(0.0))
@@ -98,35 +114,31 @@ def restock_run_totals(orders: DataFrame, as_of: dt.date | str | None = None) ->
     ).select(as_date(as_of).alias("run_date"), "*")
 
 
-def supplier_orders(orders: DataFrame, preview: int = MESSAGE_LINES) -> DataFrame:
-    """One row per supplier: totals, earliest deadline and the first lines of the order.
+def supplier_orders(orders: DataFrame) -> DataFrame:
+    """One row per supplier: totals over every line and the earliest deadline.
 
-    Totals cover every line. The nested list holds the lines a message prints; the
-    whole order stays relational in ``supplier_order_lines``, so a supplier with a
-    third of all orders never becomes one giant row.
+    The lines themselves stay relational in ``supplier_order_lines``, so a supplier with
+    a third of all orders never becomes one giant row.
     """
-    totals = orders.groupBy("supplier_id").agg(
+    first = F.struct(*order_position())
+    return orders.groupBy("supplier_id").agg(
+        F.min_by("supplier_name", first).alias("supplier_name"),
+        F.min_by("supplier_phone", first).alias("supplier_phone"),
         F.count(F.lit(1)).alias("total_items"),
         _value().alias("total_value"),
         F.min("order_deadline").alias("earliest_deadline"),
     )
+
+
+def printed_lines(orders: DataFrame, shown: int = MESSAGE_LINES) -> DataFrame:
+    """The first lines of each supplier's order, as a message prints them; the rest it only counts."""
     place = F.row_number().over(Window.partitionBy("supplier_id").orderBy(*order_position()))
-    line = F.struct("line_no", *ORDER_COLUMNS)
-    first_lines = (
+    line = F.struct("line_no", "product_name", "store_id", "restock_qty", "urgency")
+    return (
         orders.withColumn("line_no", place)
-        .where(F.col("line_no") <= preview)
-        .groupBy("supplier_id")
+        .where(F.col("line_no") <= shown)
+        .groupBy(F.col("supplier_id").alias("_supplier"))
         .agg(F.array_sort(F.collect_list(line)).alias("lines"))
-        .withColumnRenamed("supplier_id", "_supplier")
-    )
-    return totals.join(first_lines, F.col("supplier_id").eqNullSafe(F.col("_supplier"))).select(
-        "supplier_id",
-        F.col("lines")[0]["supplier_name"].alias("supplier_name"),
-        F.col("lines")[0]["supplier_phone"].alias("supplier_phone"),
-        "total_items",
-        "total_value",
-        "earliest_deadline",
-        "lines",
     )
 
 
@@ -150,31 +162,33 @@ def supplier_messages(
     """Purchase-order text per supplier: head, the first lines, the rest as a count, the total."""
     def printed(line: Column) -> Column:
         return F.concat(
-            line["line_no"].cast("string"), F.lit(". "), line["product_name"],
-            F.lit(" | Store: "), line["store_id"].cast("string"),
-            F.lit(" | Qty: "), line["restock_qty"].cast("bigint").cast("string"), F.lit(" units"),
-            F.lit(" | Urgency: "), F.coalesce(line["urgency"], F.lit("")),
+            line["line_no"].cast("string"), F.lit(LINE_NUMBER), line["product_name"],
+            F.lit(LINE_STORE), line["store_id"].cast("string"),
+            F.lit(LINE_QUANTITY), line["restock_qty"].cast("bigint").cast("string"), F.lit(LINE_UNITS),
+            F.lit(LINE_URGENCY), F.coalesce(line["urgency"], F.lit("")),
         )
 
     hidden = F.col("total_items") - MESSAGE_LINES
     text = F.concat_ws(
         "\n",
-        F.lit(f"🏪 {sender} — Purchase Order Request"),
-        F.concat(F.lit("📅 Date: "), F.date_format(as_date(as_of), "dd MMM yyyy")),
-        F.concat(F.lit("📦 Supplier: "), F.coalesce("supplier_name", F.lit("None"))),
-        F.concat(F.lit("⏰ Please confirm by: "), F.col("earliest_deadline").cast("string")),
+        F.lit(ORDER_TITLE.format(sender=sender)),
+        F.concat(F.lit(ORDER_DATE), F.date_format(as_date(as_of), ORDER_DATE_FORMAT)),
+        F.concat(F.lit(ORDER_SUPPLIER), F.coalesce("supplier_name", F.lit(NO_SUPPLIER))),
+        F.concat(F.lit(ORDER_CONFIRM), F.col("earliest_deadline").cast("string")),
         F.lit(""),
-        F.lit("ORDER DETAILS:"),
+        F.lit(ORDER_DETAILS),
         F.array_join(F.transform("lines", printed), "\n"),
         # concat_ws skips a NULL line.
-        F.when(hidden > 0, F.format_string("... and %d more items.", hidden)),
+        F.when(hidden > 0, F.format_string(ORDER_MORE, hidden)),
         F.lit(""),
-        F.concat(F.lit("💰 Estimated Order Value: ₹"), grouped_integer(F.col("total_value"))),
+        F.concat(F.lit(ORDER_VALUE), grouped_integer(F.col("total_value"))),
         F.lit(""),
-        F.lit("Please reply to confirm or call us."),
+        F.lit(ORDER_CLOSING),
         F.lit(signature),
     )
-    return supplier_orders(orders).select(
+    heads = supplier_orders(orders)
+    shown = printed_lines(orders)
+    return heads.join(shown, F.col("supplier_id").eqNullSafe(F.col("_supplier"))).select(
         "supplier_id",
         "supplier_name",
         "supplier_phone",

@@ -14,7 +14,8 @@ STATUS_THRESHOLD = 2.0
 
 
 def _unit_statistics(tx, date, product, category) -> DataFrame:
-    daily = sales.daily_by_category(tx, date, product, category, WINDOW_DAYS)
+    # Units alone, so that the last day's subquery needs the same columns and reuses this exchange.
+    daily = sales.daily_by_category(tx, date, product, category, WINDOW_DAYS).drop("daily_revenue")
     on_last_day = F.when(F.col("full_date") == sales.last_day(daily), F.col("daily_units"))
     return daily.groupBy("category_name").agg(
         average(F.sum("daily_units"), F.count("daily_units")).alias("mean"),

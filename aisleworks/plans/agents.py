@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,19 +11,22 @@ from pyspark.sql import DataFrame
 from aisleworks.operators import alerts, decisions, orders
 from aisleworks.plans.presentation import present
 from aisleworks.plans.reports import within
-from aisleworks.session import materialize
+from aisleworks.session import materialize, release
 from aisleworks.sources.tables import Tables
 
 
 @dataclass
 class RestockRun:
-    """``lines`` are the written order lines, ``orders`` the same in presentation order."""
+    """``lines`` are the written order lines, ``orders`` the same in presentation order; ``close`` deletes them."""
 
     lines: DataFrame
     orders: DataFrame
     summary: DataFrame
     totals: DataFrame
 
+    def close(self) -> None:
+        release(self.lines)
+
 
 @dataclass
 class RestockNotice:
@@ -33,12 +37,15 @@ class RestockNotice:
 
 def restock_run(
     tables: Tables,
-    forecast: DataFrame,
+    forecast: DataFrame | Callable[[DataFrame], DataFrame],
     stores: list | None = None,
     top_n: int = orders.TOP_N,
     as_of: dt.date | str | None = None,
 ) -> RestockRun:
-    """Orders of all (or the named) stores in one plan, written once for the summaries to read."""
+    """Orders of all (or the named) stores in one plan, written once for the summaries to read.
+
+    ``Forecasting.weekly_quantity`` given as it stands (a function of keys) is only asked for the chosen lines.
+    """
     within("top_n", top_n, 1, 200)
     t = tables
     candidates = decisions.restock_candidates(
@@ -56,7 +63,7 @@ def restock_run(
 
 def restock_notify(
     tables: Tables,
-    forecast: DataFrame,
+    forecast: DataFrame | Callable[[DataFrame], DataFrame],
     stores: list | None = None,
     as_of: dt.date | str | None = None,
     dry_run: bool = True,
@@ -77,7 +84,5 @@ def expiry_notify(
 ) -> tuple[DataFrame, DataFrame]:
     """Expiring items and the routed alerts about them."""
     t = tables
-    items = materialize(
-        decisions.expiry_alerts(t.inventory, t.product, t.category, t.store, as_of, days_window), "expiring"
-    )
+    items = decisions.expiry_alerts(t.inventory, t.product, t.category, t.store, as_of, days_window)
     return present("expiry_alerts", items), alerts.route_alerts(alerts.expiry_alert_rollup(items, as_of), dry_run)

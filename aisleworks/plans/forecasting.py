@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from aisleworks.operators import features, forecast
 from aisleworks.plans.presentation import present
 from aisleworks.plans.reports import within
-from aisleworks.session import materialize
+from aisleworks.session import materialize, release
 from aisleworks.sources import models
 from aisleworks.sources.tables import Tables
 
@@ -41,22 +41,32 @@ class Forecasting:
     def model_info(self, spark: SparkSession) -> DataFrame:
         return models.model_info(spark, self.model_path)
 
-    def daily(self, days_ahead: int = 7, product_id=None, store_id=None) -> DataFrame:
+    def daily(self, days_ahead: int = 7, product_id=None, store_id=None, of: DataFrame | None = None) -> DataFrame:
+        """Forecast of every key, of the ones asked for, or of the (product_id, store_id) rows ``of``."""
         within("days_ahead", days_ahead, 1, 30)
         model = models.load_model(self.model_path)
-        future = features.future_features(self.features(), self.as_of, days_ahead)
+        table = self.features()
+        if of is not None:
+            table = table.join(of.select(*features.KEY), features.KEY, "left_semi")
+        future = features.future_features(table, self.as_of, days_ahead)
         return forecast.predict_demand(model, future, product_id, store_id)
 
-    def demand(self, days_ahead: int = 7, product_id=None, store_id=None) -> DataFrame:
-        return forecast.forecast_totals(self.daily(days_ahead, product_id, store_id))
+    def demand(self, days_ahead: int = 7, product_id=None, store_id=None, of: DataFrame | None = None) -> DataFrame:
+        return forecast.forecast_totals(self.daily(days_ahead, product_id, store_id, of))
+
+    def close(self) -> None:
+        """Delete the written feature table."""
+        if self._table is not None:
+            release(self._table)
+            self._table = None
 
     def top_demand(self, store_id=None, top_n: int = 10) -> DataFrame:
         within("top_n", top_n, 1, 50)
-        best = forecast.top_demand_forecast(self.features(), self.demand(7, store_id=store_id), store_id, top_n)
-        return present("top_demand_forecast", best)
+        best = forecast.leaders(self.features(), store_id, top_n)
+        return present("top_demand_forecast", forecast.top_demand_forecast(best, self.demand(7, of=best)))
 
-    def weekly_quantity(self) -> DataFrame:
-        """(product_id, store_id, forecast_7d_qty), as restock orders want it."""
-        return self.demand(7).select("product_id", "store_id", "total_predicted_qty").withColumnRenamed(
+    def weekly_quantity(self, of: DataFrame | None = None) -> DataFrame:
+        """(product_id, store_id, forecast_7d_qty), as restock orders want it; ``of`` names the keys that are needed."""
+        return self.demand(7, of=of).select("product_id", "store_id", "total_predicted_qty").withColumnRenamed(
             "total_predicted_qty", "forecast_7d_qty"
         )

@@ -1,59 +1,63 @@
-"""Loading exports: scan, clean, merge with the current snapshot, write the next one."""
+"""Loading exports: scan, clean, merge into the table in place."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aisleworks import schemas
 from aisleworks.operators import cleaning
+from aisleworks.session import materialize, materialized, release
 from aisleworks.sources import snapshots
 from aisleworks.sources.exports import INGEST_ORDER, read_export
-from aisleworks.sources.tables import empty_table
 
+#: Key buckets of an overwritten table; a batch rewrites those it touches.
+BUCKETS = 64
 
-def merge(table: str, current: DataFrame, batch: DataFrame, order: str | None = None) -> DataFrame:
+
+def merge_into(spark: SparkSession, table: str, path: str, batch: DataFrame, order: str | Column, buckets: int = BUCKETS) -> None:
     """The table's own conflict rule: overwrite for dates and transactions, keep for the rest."""
-    keys = schemas.KEYS[table]
+    keys, schema = schemas.KEYS[table], schemas.struct(table)
     if table not in schemas.OVERWRITTEN:
-        return snapshots.insert_if_absent(current, batch, keys, order)
-    stamped = "updated_at" in current.columns
-    return snapshots.upsert(
-        current,
+        snapshots.append_new(spark, path, schema, batch, keys, order)
+        return
+    snapshots.overwrite_touched(
+        spark,
+        path,
+        schema,
         batch,
         keys,
+        order,
+        buckets,
         keep=schemas.OVERWRITTEN[table],
-        touched="updated_at" if stamped else None,
+        touched="updated_at" if "updated_at" in schema.names else None,
         now=F.current_timestamp().cast("timestamp_ntz"),
-        order=order,
     )
 
 
-def ingest(
-    spark: SparkSession, table: str, export: str, target: str, current: str | None = None
-) -> DataFrame:
-    """Load one export; returns the rejected rows with their reason.
+def ingest(spark: SparkSession, table: str, export: str, target: str) -> DataFrame:
+    """Load one export into the table at ``target``; returns the rejected rows with their reason.
 
-    Reads the snapshot at ``current`` (none yet: an empty table) and writes the
-    next one to ``target``.
+    The export is parsed and judged once: the judged rows are written to the shared folder, from where the merge
+    reads the valid ones. The rejects stay written there until ``release`` is called on them.
     """
     raw = read_export(spark, export, lower_header=table == "category")
-    cleaned = cleaning.JOBS[table](raw, carry=[INGEST_ORDER])
-    valid = cleaned.valid
-    if table == "category":
-        valid = cleaning.with_parent_categories(valid)
-    before = spark.read.schema(schemas.SCHEMAS[table]).parquet(current) if current else empty_table(spark, table)
-    snapshots.write_snapshot(merge(table, before, valid, INGEST_ORDER), target)
-    return cleaned.rejects
-
-
-def ingest_festival_products(
-    spark: SparkSession, export: str, target: str, current: str | None = None
-) -> None:
+    judged = cleaning.JOBS[table](raw, carry=[INGEST_ORDER])
+    with materialized(judged.rows, "judged") as written:
+        outcome = judged.over(written)
+        valid = outcome.valid
+        if table == "category":
+            valid = cleaning.with_parent_categories(valid)
+        merge_into(spark, table, target, valid, INGEST_ORDER)
+        return materialize(outcome.rejects, "rejects")
+
+
+def ingest_festival_products(spark: SparkSession, export: str, target: str) -> None:
     """The product lists of the festival export."""
-    raw = read_export(spark, export)
-    links = cleaning.festival_products(raw, carry=[INGEST_ORDER])
-    table = "festival_products"
-    before = spark.read.schema(schemas.SCHEMAS[table]).parquet(current) if current else empty_table(spark, table)
+    links = cleaning.festival_products(read_export(spark, export), carry=[INGEST_ORDER])
     ordered = links.withColumn(INGEST_ORDER, F.struct(INGEST_ORDER, "rank"))
-    snapshots.write_snapshot(merge(table, before, ordered, INGEST_ORDER), target)
+    with materialized(ordered, "links") as written:
+        merge_into(spark, "festival_products", target, written, INGEST_ORDER)
+
+
+__all__ = ["BUCKETS", "ingest", "ingest_festival_products", "merge_into", "release"]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,26 +35,19 @@ def build_session(app_name: str = "aisleworks", master: str | None = None, **con
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    A private temporary folder is used only where the setting is absent and the
-    session runs in local mode; a cluster has to name one.
-    """
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if configured:
-        return configured
-    if not context.master.startswith("local"):
+    """Folder every executor can reach, as named by ``spark.checkpoint.dir``."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="aisleworks-"))
-    return context.getCheckpointDir()
+    return configured
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage with a table that outlives any executor, keeps column pruning
-    and filter pushdown for its readers, and gives Catalyst real sizes.
+    and filter pushdown for its readers, and gives Catalyst real sizes. The caller
+    owns the table and gives it to ``release`` when nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
@@ -61,4 +55,29 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(table)] = (table, path)
+    return table
+
+
+#: Tables written here and not yet released, with their folders.
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(table: DataFrame) -> None:
+    """Delete the folder of a table that ``materialize`` wrote; a table it did not write is left alone."""
+    known = _WRITTEN.pop(id(table), None)
+    if known is not None:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(known[1])
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def materialized(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``materialize`` for the time of a ``with`` block."""
+    table = materialize(df, label)
+    try:
+        yield table
+    finally:
+        release(table)

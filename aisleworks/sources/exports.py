@@ -28,7 +28,3 @@ def read_export(
     )
     return raw.withColumn(INGEST_ORDER, position)
 
-
-def pick_columns(raw: DataFrame, wanted: dict[str, str]) -> DataFrame:
-    """The wanted columns that exist, renamed; absent ones are left out."""
-    return raw.select(*[F.col(old).alias(new) for old, new in wanted.items() if old in raw.columns])

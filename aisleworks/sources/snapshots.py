@@ -1,15 +1,16 @@
-"""Merging a batch into a table snapshot: current snapshot in, next snapshot out.
+"""Merging a batch into a table: by plan (current rows in, next rows out) or in place, by the files it touches.
 
-Both merges look up only the *keys* of the current table against the batch, so a
-batch below the broadcast threshold merges without shuffling the table, and a
-larger one falls back to a sort-merge join that AQE can split on skew.
+The plans evaluate the batch once and read the current rows once (an insert reads their keys a second time).
+In place, an insert appends the batch's new rows and an overwrite rewrites the touched key buckets alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from aisleworks.session import materialized
 from aisleworks.sources.exports import INGEST_ORDER
 
 
@@ -35,20 +36,12 @@ def _same_key(keys: list[str]):
 
 def new_keys_only(current: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Batch rows whose key the current table lacks."""
-    known = current.select(*keys).join(batch.select(*keys), keys, "left_semi")
-    return batch.join(known, keys, "left_anti")
+    return batch.join(current.select(*keys), keys, "left_anti")
 
 
-def insert_if_absent(
-    current: DataFrame, batch: DataFrame, keys: list[str], order: str | Column | None = None
-) -> DataFrame:
-    """Existing rows stay as they are; of equal new keys the first wins.
-
-    Without ``order`` the batch must already be unique per key.
-    """
-    if order is not None:
-        batch = one_per_key(batch, keys, "first", order)
-    fresh = new_keys_only(current, batch, keys)
+def insert_if_absent(current: DataFrame, batch: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
+    """Existing rows stay as they are; of equal new keys the first by ``order`` wins."""
+    fresh = new_keys_only(current, one_per_key(batch, keys, "first", order), keys)
     return current.unionByName(fresh.select(*current.columns))
 
 
@@ -56,44 +49,75 @@ def upsert(
     current: DataFrame,
     batch: DataFrame,
     keys: list[str],
+    order: str | Column,
     keep: list[str] | None = None,
     touched: str | None = None,
     now: Column | None = None,
-    order: str | Column | None = None,
 ) -> DataFrame:
     """Matching rows take the batch's values, new NULLs included; the rest is inserted.
 
     ``keep`` names columns a match leaves alone, ``touched`` a timestamp column a
-    match sets to ``now``. Of equal new keys the last wins.
+    match sets to ``now``. Of equal batch keys the last by ``order`` wins.
     """
-    if order is not None:
-        batch = one_per_key(batch, keys, "last", order)
     stamp = F.current_timestamp() if now is None else now
-    untouched = set(keys) | set(keep or [])
-    marked = batch.withColumn("_matched", F.lit(True))
-    hit = F.col("b._matched")
+    kept = set(keep or [])
+    marked = one_per_key(batch, keys, "last", order).withColumn("_new", F.lit(True)).alias("b")
+    old = current.withColumn("_old", F.lit(True)).alias("c")
+    is_new, is_old = F.col("b._new"), F.col("c._old")
 
     def merged(field) -> Column:
         name = field.name
-        if name in untouched:
-            value = F.col(f"c.{name}")
+        mine, theirs = F.col(f"c.{name}"), F.col(f"b.{name}")
+        if name in keys:
+            value = F.coalesce(mine, theirs)
+        elif name in kept:
+            value = F.when(is_old, mine).otherwise(theirs)
         elif name == touched:
-            value = F.when(hit, stamp).otherwise(F.col(f"c.{name}"))
+            value = F.when(is_new & is_old, stamp).when(is_new, theirs).otherwise(mine)
         else:
-            value = F.when(hit, F.col(f"b.{name}")).otherwise(F.col(f"c.{name}"))
+            value = F.when(is_new, theirs).otherwise(mine)
         return value.cast(field.dataType).alias(name)
 
-    updated = current.alias("c").join(marked.alias("b"), _same_key(keys), "left").select(
-        *[merged(field) for field in current.schema]
-    )
-    fresh = new_keys_only(current, batch, keys)
-    return updated.unionByName(fresh.select(*current.columns))
+    return old.join(marked, _same_key(keys), "full").select(*[merged(field) for field in current.schema])
+
+
+#: Column of an overwritten table's key bucket, by which its files are laid out.
+BUCKET = "key_bucket"
+
 
+def with_bucket(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
 
-def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write the next snapshot to a path of its own; an existing one is never replaced."""
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        # Rows of one partition value may still go to several tasks, so a hot day is not one file.
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+
+def append_new(spark: SparkSession, path: str, schema: StructType, batch: DataFrame, keys: list[str], order: str | Column) -> None:
+    """Adds the batch's new keys to the table at ``path`` as files of their own; a replay finds them there and adds nothing."""
+    fresh = new_keys_only(stored(spark, path, schema), one_per_key(batch, keys, "first", order), keys)
+    fresh.select(*schema.names).write.mode("append").parquet(path)
+
+
+def overwrite_touched(
+    spark: SparkSession, path: str, schema: StructType, batch: DataFrame, keys: list[str], order: str | Column, buckets: int, **rule
+) -> None:
+    """Upserts the batch into the table at ``path``, rewriting the key buckets it touches and reading no other.
+
+    The new buckets are written aside first, as a folder can't be read and replaced at once; a replay after a
+    failure rewrites the same buckets from the same batch.
+    """
+    laid_out = StructType([*schema.fields, StructField(BUCKET, IntegerType())])
+    incoming = with_bucket(batch, keys, buckets)
+    touched = [r[0] for r in incoming.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return
+    current = stored(spark, path, laid_out).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    merged = with_bucket(upsert(current, batch, keys, order, **rule), keys, buckets)
+    with materialized(merged, "touched") as table:
+        writer = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(BUCKET).parquet(path)
+
+
+def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at ``path``, empty where nothing has been written yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)

@@ -1,35 +1,29 @@
-"""A feed of exports merged batch by batch, each batch writing its own snapshot."""
+"""A feed of exports merged batch by batch into a table in place."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
-from aisleworks import schemas
-from aisleworks.plans.ingest import merge
-from aisleworks.sources.tables import empty_table
+from aisleworks.plans.ingest import BUCKETS, merge_into
 
 
-def snapshot_path(root: str, version: int) -> str:
-    return f"{root}/version={version}"
+def merge_batches(
+    table: str, path: str, order: str | Column, buckets: int = BUCKETS
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that merges cleaned rows into the table at ``path``.
 
-
-def merge_batches(table: str, root: str, first: str | None = None, order: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that merges cleaned rows into versioned snapshots of ``table``.
-
-    Batch *n* reads version *n-1* (batch 0: ``first`` or an empty table) and writes
-    version *n*. A batch replayed after a failure rewrites its own version only, so
-    the result is the same as if it had run once.
+    ``order`` decides between rows of one key in a batch. A batch is computed once and kept for the merge's readers.
+    One replayed after a failure changes nothing it has already done: an insert finds its keys, an overwrite
+    writes the same buckets again.
     """
 
     def merge_one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        source = snapshot_path(root, batch_id - 1) if batch_id > 0 else first
-        if source is None:
-            current = empty_table(spark, table)
-        else:
-            current = spark.read.schema(schemas.SCHEMAS[table]).parquet(source)
-        merge(table, current, batch, order).write.mode("overwrite").parquet(snapshot_path(root, batch_id))
+        kept = batch.persist()
+        try:
+            merge_into(batch.sparkSession, table, path, kept, order, buckets)
+        finally:
+            kept.unpersist()
 
     return merge_one

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aisleworks.functions.pricing import clearance_price, expiry_discount
@@ -23,10 +23,9 @@ from aisleworks.operators import (
     taste,
     trends,
 )
-from aisleworks.session import materialize
 from aisleworks.sources import snapshots
 from driverbind.exports import export_frame
-from driverbind.roles import AS_OF, FESTIVAL_AS_OF, STOCK_AS_OF, STORES, Roles
+from driverbind.roles import AS_OF, FESTIVAL_AS_OF, STOCK_AS_OF, Roles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,7 +104,7 @@ def festival_uplift(r: Roles):
 
 @query
 def store_category_preferences(r: Roles):
-    return taste.store_category_preferences(r.transaction(), r.store(), r.product(), r.category(), STORES)
+    return taste.store_category_preferences(r.transaction(), r.store(), r.product(), r.category())
 
 
 @query
@@ -115,12 +114,12 @@ def seasonal_category_mix(r: Roles):
 
 @query
 def payment_preference(r: Roles):
-    return taste.payment_preference(r.transaction(), r.store(), STORES)
+    return taste.payment_preference(r.transaction(), r.store())
 
 
 @query
 def customer_type_breakdown(r: Roles):
-    return taste.customer_type_breakdown(r.transaction(), r.store(), r.customer(), STORES)
+    return taste.customer_type_breakdown(r.transaction(), r.store(), r.customer())
 
 
 @query
@@ -168,9 +167,10 @@ def future_features(r: Roles):
     return features.future_features(_features(r), as_of=AS_OF)
 
 
-def _stand_in_daily(r: Roles) -> DataFrame:
-    """Forecast lines from a formula SQL can repeat in place of a model."""
-    future = features.future_features(_features(r), as_of=AS_OF)
+def _stand_in_daily(r: Roles, of: DataFrame | None = None) -> DataFrame:
+    """Forecast lines, of the keys asked for, from a formula SQL can repeat in place of a model."""
+    table = _features(r) if of is None else _features(r).join(of, features.KEY, "left_semi")
+    future = features.future_features(table, as_of=AS_OF)
     formula = F.col("rolling_7d_avg") * 1.05 + F.col("day_of_week") * 0.3 - 20.0
     return forecast.daily_forecast(future, formula)
 
@@ -192,41 +192,60 @@ def forecast_totals(r: Roles):
 @query
 def top_demand(r: Roles):
     """Best sellers per store with the formula forecast."""
-    return forecast.top_demand_forecast(_features(r), forecast.forecast_totals(_stand_in_daily(r)), top_n=3)
+    best = forecast.leaders(_features(r), top_n=3)
+    return forecast.top_demand_forecast(best, forecast.forecast_totals(_stand_in_daily(r, best)))
 
 
-_TRAINED: dict[tuple[str, str], forecast.Trained] = {}
+#: Trees and depth of the registered model queries; the defaults of ``train_forecast`` are the production values.
+FOREST: dict[str, int] = {}
 
 
 def _trained(r: Roles) -> forecast.Trained:
-    key = (r.spark.sparkContext.applicationId, r.folder)
-    if key not in _TRAINED:
-        _TRAINED[key] = forecast.train_forecast(_features(r))
-    return _TRAINED[key]
+    return forecast.train_forecast(_features(r), **FOREST)
 
 
 @query
 def train_forecast(r: Roles):
-    """Error measures of the trained forest."""
-    return _trained(r).metrics.drop("features_used")
+    """What training has seen, and facts that any trained model must meet."""
+    m = F.col
+    finite = ~F.isnan("mae") & ~F.isnan("rmse") & (F.greatest("mae", "rmse") < float("inf"))
+    return _trained(r).metrics.select(
+        "train_rows", "test_rows", "mean_actual_qty",
+        (finite & (m("mae") >= 0) & (m("mape_pct") >= 0)).alias("errors_finite"),
+        (m("mae") <= m("rmse")).alias("mae_within_rmse"),
+    )
 
 
 @query
 def feature_importance(r: Roles):
-    return forecast.feature_importance(r.spark, _trained(r).model)
+    """Names of the inputs and facts about their weights."""
+    weights = forecast.feature_importance(r.spark, _trained(r).model)
+    whole = F.abs(F.sum("importance").over(Window.partitionBy()) - 1.0) <= 0.001
+    return weights.select("feature", (F.col("importance") >= 0).alias("not_negative"), whole.alias("sums_to_one"))
 
 
 @query
 def predict_demand(r: Roles):
-    future = features.future_features(_features(r), as_of=AS_OF)
-    return forecast.predict_demand(_trained(r).model, future)
+    """Forecast lines with facts about their quantities: a forest can't leave the range it was trained on."""
+    table = _features(r)
+    past, _ = forecast.split_by_date(table)
+    daily = forecast.predict_demand(_trained(r).model, features.future_features(table, as_of=AS_OF))
+    largest = past.agg(F.max("quantity_sold")).scalar()
+    within = (F.col("predicted_qty") >= 0) & (F.col("predicted_qty") <= largest)
+    return daily.withColumn("within_range", within).drop("predicted_qty")
 
 
 @query
 def top_demand_forecast(r: Roles):
+    """Each store's best sellers with their model forecast; only their days are scored."""
     table = _features(r)
-    daily = forecast.predict_demand(_trained(r).model, features.future_features(table, as_of=AS_OF))
-    return forecast.top_demand_forecast(table, forecast.forecast_totals(daily))
+    best = forecast.leaders(table, top_n=10)
+    future = features.future_features(table.join(best, features.KEY, "left_semi"), as_of=AS_OF)
+    daily = forecast.predict_demand(_trained(r).model, future)
+    totals = forecast.top_demand_forecast(best, forecast.forecast_totals(daily))
+    days = daily.groupBy(*features.KEY).agg(F.sum(F.col("predicted_qty").cast("decimal(18,1)")).alias("days_qty"))
+    same = F.abs(F.col("total_7d_forecast") - F.col("days_qty").cast("double")) < 0.05
+    return totals.join(days, features.KEY).withColumn("total_of_days", same).drop("total_7d_forecast", "days_qty")
 
 
 # --- decisions ------------------------------------------------------------
@@ -297,11 +316,6 @@ def _orders(r: Roles) -> DataFrame:
     return orders.restock_orders(_candidates(r), r.stand_in_forecast(), top_n=50, as_of=STOCK_AS_OF)
 
 
-def _order_lines(r: Roles) -> DataFrame:
-    """Orders written once, as the restock run does, for queries that read them several times."""
-    return materialize(_orders(r), "restock-orders")
-
-
 @query
 def restock_orders(r: Roles):
     return _orders(r)
@@ -323,7 +337,7 @@ def _listing(name: str, item: str) -> Column:
 
 @query
 def restock_alerts(r: Roles):
-    built = alerts.restock_alerts(_order_lines(r), as_of=STOCK_AS_OF)
+    built = alerts.restock_alerts(_orders(r), as_of=STOCK_AS_OF)
     return built.withColumn("data", _listing("data", "product_id"))
 
 
@@ -335,7 +349,7 @@ def expiry_alert_rollup(r: Roles):
 
 @query
 def route_alerts(r: Roles):
-    built = alerts.route_alerts(alerts.restock_alerts(_order_lines(r), as_of=STOCK_AS_OF))
+    built = alerts.route_alerts(alerts.restock_alerts(_orders(r), as_of=STOCK_AS_OF))
     return built.withColumn("channels", F.array_join("channels", ",")).drop("data")
 
 
@@ -346,17 +360,17 @@ def alert_outbox(r: Roles):
 
 @query
 def supplier_orders(r: Roles):
-    return orders.supplier_orders(_order_lines(r)).withColumn("lines", _listing("lines", "product_id"))
+    return orders.supplier_orders(_orders(r))
 
 
 @query
 def supplier_order_lines(r: Roles):
-    return orders.supplier_order_lines(_order_lines(r))
+    return orders.supplier_order_lines(_orders(r))
 
 
 @query
 def supplier_messages(r: Roles):
-    return orders.supplier_messages(_order_lines(r), as_of=STOCK_AS_OF)
+    return orders.supplier_messages(_orders(r), as_of=STOCK_AS_OF)
 
 
 # --- ingestion ------------------------------------------------------------
@@ -426,5 +440,5 @@ def upsert(r: Roles):
         latest.alias("updated_at"),
     )
     return snapshots.upsert(
-        current, batch, ["entry"], keep=["created_at"], touched="updated_at", now=F.lit("2026-01-01").cast("date")
+        current, batch, ["entry"], F.col("amount"), keep=["created_at"], touched="updated_at", now=F.lit("2026-01-01").cast("date")
     )

@@ -37,12 +37,11 @@ ROLES: dict[str, str] = {
         FROM date_dim JOIN region ON r_regionkey = day(full_date) % 5
         WHERE day(full_date) % 10 <> 0""",
     "product_dim": """
-        SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category_id, f.supplier_id,
+        SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category_id,
+               p_partkey % (SELECT COUNT(*) FROM supplier) AS supplier_id,
                retail AS mrp, CAST(ROUND(retail * 0.95, 2) AS DECIMAL(18,2)) AS selling_price,
                CAST(ROUND(CAST(retail * CAST(80 + p_partkey % 30 AS DECIMAL(4,0)) AS DECIMAL(28,4)) * 0.01, 2) AS DECIMAL(18,2)) AS cost_price
-        FROM (SELECT *, CAST(ROUND(CAST(p_retailprice AS DECIMAL(18,4)), 2) AS DECIMAL(18,2)) AS retail FROM part)
-        LEFT JOIN (SELECT l_partkey, MIN(l_suppkey) AS supplier_id FROM lineitem GROUP BY l_partkey) f
-          ON l_partkey = p_partkey""",
+        FROM (SELECT *, CAST(ROUND(CAST(p_retailprice AS DECIMAL(18,4)), 2) AS DECIMAL(18,2)) AS retail FROM part)""",
     "category_dim": "SELECT DISTINCT p_type AS category_id, p_type AS category_name FROM part",
     "store_dim": """
         SELECT n_nationkey AS store_id, n_name AS store_name, r_name AS city, r_name AS region
@@ -78,7 +77,8 @@ ROLES: dict[str, str] = {
                CASE WHEN p_partkey % 11 <> 0
                     THEN DATE '{STOCK_AS_OF}' + CAST((p_partkey*3 + n*5) % 120 - 10 AS INTEGER) END AS expiry_date,
                p_partkey % 97 = 0 AS is_stockout
-        FROM part, (SELECT unnest([0,1,2,3,4,5]) AS n)""",
+        FROM (SELECT DISTINCT l_partkey, s_nationkey AS n FROM lineitem, supplier WHERE l_suppkey = s_suppkey)
+        JOIN part ON p_partkey = l_partkey""",
     "fest": """
         SELECT k, 'FES' || lpad(CAST(k AS VARCHAR), 3, '0') AS festival_id, 'Festival ' || k AS festival_name,
                ['North','South','East'][k % 3 + 1] AS religion,

@@ -15,7 +15,6 @@ from pyspark.sql.types import StructType
 AS_OF = "2001-07-15"
 FESTIVAL_AS_OF = "2001-06-10"
 STOCK_AS_OF = "2001-08-02"
-STORES = [0, 1, 2, 3, 4, 5]
 SEGMENTS = {"MACHINERY": "NEW", "FURNITURE": "REPEAT", "BUILDING": "INACTIVE"}
 MONEY = "decimal(18,2)"
 
@@ -89,18 +88,15 @@ class Roles:
 
     @lru_cache
     def product(self) -> DataFrame:
-        first_supplier = self.raw("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
-            F.min("l_suppkey").alias("supplier_id")
-        )
+        suppliers = self.raw("supplier").agg(F.count(F.lit(1)))
         retail = F.round(F.col("p_retailprice").cast("decimal(18,4)"), 2).cast(MONEY)
         return (
             self.raw("part")
-            .join(first_supplier, "p_partkey", "left")
             .select(
                 F.col("p_partkey").alias("product_id"),
                 F.col("p_name").alias("product_name"),
                 F.col("p_type").alias("category_id"),
-                "supplier_id",
+                (F.col("p_partkey") % suppliers.scalar()).alias("supplier_id"),
                 F.col("p_size").alias("pack_size"),
                 retail.alias("mrp"),
                 F.round(retail * F.lit("0.95").cast("decimal(4,2)"), 2).cast(MONEY).alias("selling_price"),
@@ -151,11 +147,9 @@ class Roles:
     # --- facts ------------------------------------------------------------
 
     @lru_cache
-    def transaction(self, product: str = "l_partkey") -> DataFrame:
-        """Order lines as sales; ``product`` is the column that plays the product."""
+    def transaction(self) -> DataFrame:
+        """Order lines as sales."""
         lines = self.raw("lineitem")
-        if product != "l_partkey":
-            lines = lines.join(self.raw("part").select("p_partkey", product), F.col("l_partkey") == F.col("p_partkey"))
         orders = self.raw("orders").select(
             "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
         )
@@ -169,7 +163,7 @@ class Roles:
                 date_id(F.col("o_orderdate")).alias("date_id"),
                 F.col("s_nationkey").alias("store_id"),
                 F.col("o_custkey").alias("customer_id"),
-                F.col(product).alias("product_id"),
+                F.col("l_partkey").alias("product_id"),
                 F.col("l_quantity").cast("int").alias("quantity_sold"),
                 F.round(net.cast("decimal(28,8)"), 2).cast(MONEY).alias("final_sale_value"),
                 F.col("o_orderpriority").alias("payment_mode"),
@@ -182,11 +176,19 @@ class Roles:
 
     @lru_cache
     def inventory(self) -> DataFrame:
-        """Every part in the first six stores."""
+        """Every part in the stores that have sold it."""
         p, n = F.col("p_partkey"), F.col("store_id")
-        stocked = self.raw("part").select(
-            "p_partkey", "p_size", "p_retailprice", F.explode(F.array(*map(F.lit, STORES))).alias("store_id")
+        sellers = self.raw("supplier").select("s_suppkey", F.col("s_nationkey").alias("store_id"))
+        sold = (
+            self.raw("lineitem")
+            .select("l_partkey", "l_suppkey")
+            .distinct()
+            .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+            .select("l_partkey", "store_id")
+            .distinct()
         )
+        parts = self.raw("part").select("p_partkey", "p_size", "p_retailprice")
+        stocked = parts.join(sold, F.col("p_partkey") == F.col("l_partkey"))
         today = F.lit(STOCK_AS_OF).cast("date")
         closing = ((p * 7 + n * 13) % 120).cast("int")
         return stocked.select(
@@ -237,19 +239,12 @@ class Roles:
             "festival_id", ((F.col("k") * 7 + F.col("rank")) % parts.scalar()).alias("product_id"), "rank"
         )
 
-    # --- the forecast's coarser grain: part type x nation ------------------
-
     @lru_cache
     def forecast_tables(self) -> dict[str, DataFrame]:
-        kinds = self.category().select(
-            F.col("category_id").alias("product_id"),
-            F.col("category_name").alias("product_name"),
-            "category_id",
-        )
         return {
-            "tx": self.transaction(product="p_type"),
+            "tx": self.transaction(),
             "date": self.date(),
-            "product": kinds,
+            "product": self.product(),
             "category": self.category(),
             "store": self.store(),
             "external": self.external(),

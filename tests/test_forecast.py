@@ -109,4 +109,4 @@ def test_top_demand_breaks_ties_by_product(spark):
     totals = spark.createDataFrame([(p, "S1", p, "c", 1.0) for p in "ABC"],
                                    "product_id string, store_id string, product_name string, category string, "
                                    "total_predicted_qty double")
-    assert [r["product_id"] for r in rows(forecast.top_demand_forecast(history, totals, top_n=1))] == ["A"]
+    assert [r["product_id"] for r in rows(forecast.top_demand_forecast(forecast.leaders(history, top_n=1), totals))] == ["A"]

@@ -1,13 +1,15 @@
 import datetime as dt
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from aisleworks import schemas
 from aisleworks.plans import ingest
+from aisleworks.session import shared_folder
 from aisleworks.sources import snapshots
-from aisleworks.sources.exports import INGEST_ORDER, pick_columns, read_export
+from aisleworks.sources.exports import INGEST_ORDER, read_export
 from aisleworks.sources.tables import empty_table
-from aisleworks.streaming.feed import merge_batches, snapshot_path
+from aisleworks.streaming.feed import merge_batches
 from tests.conftest import by, rows
 
 DDL = "k string, v int, created_at timestamp_ntz, updated_at timestamp_ntz"
@@ -15,9 +17,9 @@ OLD = dt.datetime(2025, 1, 1)
 NEW = dt.datetime(2026, 1, 1)
 
 
-def merged(spark, current, batch, **options):
+def merged(spark, current, batch, order=None):
     now = F.lit("2026-05-05 00:00:00").cast("timestamp_ntz")
-    return snapshots.upsert(current, batch, ["k"], keep=["created_at"], touched="updated_at", now=now, **options)
+    return snapshots.upsert(current, batch, ["k"], keep=["created_at"], touched="updated_at", now=now, order=F.col("v") if order is None else order)
 
 
 def test_insert_keeps_existing_and_first_of_batch(spark):
@@ -53,32 +55,69 @@ def test_hot_key_in_a_batch_stays_one_row(spark):
     assert kept.count() == 2001 and kept.where("k = 'hot'").first()["v"] == 999
 
 
+def test_repeated_keys_never_multiply(spark):
+    current = spark.createDataFrame([(1, "a")], "k int, v string")
+    batch = spark.createDataFrame([(1, "b"), (1, "c"), (2, "d"), (2, "e")], "k int, v string")
+    order = F.col("v")
+    assert sorted(map(tuple, snapshots.upsert(current, batch, ["k"], order).collect())) == [(1, "c"), (2, "e")]
+    assert sorted(map(tuple, snapshots.insert_if_absent(current, batch, ["k"], order).collect())) == [(1, "a"), (2, "d")]
+
+
+def scans(df, name):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count(name)
+
+
+def test_merge_plans_evaluate_the_batch_once(spark, tmp_path):
+    for name in ("current", "batch"):
+        spark.createDataFrame([("a", 1, OLD, OLD)], DDL).write.parquet(str(tmp_path / name))
+    current, batch = (spark.read.parquet(str(tmp_path / name)) for name in ("current", "batch"))
+    assert scans(merged(spark, current, batch, order=F.col("v")), "/batch]") == 1
+    assert scans(snapshots.insert_if_absent(current, batch, ["k"], F.col("v")), "/batch]") == 1
+
+
 def test_ingest_export_end_to_end(spark, tmp_path):
-    export = tmp_path / "brand.csv"
+    export, table = tmp_path / "brand.csv", str(tmp_path / "brand")
     export.write_text('brand_id,brand_name,brand_country,is_active,created_at\n'
                       '1,"A, ""quoted""",India,TRUE,2025-01-02\n2,B,nan,maybe,\n1,Late,India,TRUE,\nLegend: x,,,,\n')
-    rejects = ingest.ingest(spark, "brand", str(export), str(tmp_path / "v1"))
-    got = by(spark.read.parquet(str(tmp_path / "v1")), "brand_id")
+    rejects = ingest.ingest(spark, "brand", str(export), table)
+    got = by(spark.read.parquet(table), "brand_id")
     assert got[1]["brand_name"] == 'A, "quoted"' and got[2]["brand_country"] is None and len(got) == 2
     assert [r["reject_reason"] for r in rows(rejects)] == ["key is not a whole number"]
-    ingest.ingest(spark, "brand", str(export), str(tmp_path / "v2"), str(tmp_path / "v1"))
-    assert rows(spark.read.parquet(str(tmp_path / "v2")).orderBy("brand_id")) == [got[1], got[2]]
+    ingest.release(rejects)
+    files = sorted(p.name for p in (tmp_path / "brand").glob("part-*"))
+    ingest.release(ingest.ingest(spark, "brand", str(export), table))
+    assert rows(spark.read.parquet(table).orderBy("brand_id")) == [got[1], got[2]]
+    assert set(files) <= {p.name for p in (tmp_path / "brand").glob("part-*")}  # appended to, not rewritten
 
 
 def test_ingest_dates_overwrite_all_but_the_id(spark, tmp_path):
-    first, second = tmp_path / "a.csv", tmp_path / "b.csv"
+    first, second, table = tmp_path / "a.csv", tmp_path / "b.csv", str(tmp_path / "date")
     first.write_text("date_id,full_date,day,season\n7,2025-01-02,2,Winter\n")
     second.write_text("date_id,full_date,day,season\n99,2025-01-02,,Summer \n8,2025-01-03,3,\n9,bad,3,\n")
-    ingest.ingest(spark, "date", str(first), str(tmp_path / "v1"))
-    ingest.ingest(spark, "date", str(second), str(tmp_path / "v2"), str(tmp_path / "v1"))
-    got = by(spark.read.parquet(str(tmp_path / "v2")), "date_id")
+    for export in (first, second, second):  # the last is a replay
+        ingest.release(ingest.ingest(spark, "date", str(export), table))
+    got = by(spark.read.parquet(table), "date_id")
     assert set(got) == {7, 8} and got[7]["season"] == "Summer" and got[7]["day"] is None
 
 
+def test_overwrite_leaves_untouched_buckets_alone(spark, tmp_path):
+    table, schema = str(tmp_path / "t"), spark.createDataFrame([], "k string, v int").schema
+    first = spark.createDataFrame([(f"k{n}", n) for n in range(40)], schema)
+    snapshots.overwrite_touched(spark, table, schema, first, ["k"], F.col("v"), 8)
+    before = {p for p in (tmp_path / "t").rglob("part-*")}
+    snapshots.overwrite_touched(spark, table, schema, spark.createDataFrame([("k1", 99)], schema), ["k"], F.col("v"), 8)
+    kept = before & {p for p in (tmp_path / "t").rglob("part-*")}
+    assert len({p.parent for p in before - kept}) == 1
+    got = {r["k"]: r["v"] for r in spark.read.parquet(table).collect()}
+    assert got == {**{f"k{n}": n for n in range(40)}, "k1": 99}
+
+
 def test_ingest_category_and_festival_products(spark, tmp_path):
     export = tmp_path / "category.csv"
     export.write_text("CATEGORY_ID,Category_Name,PARENT_CATEGORY_ID,IS_ACTIVE\n1,Tea,33,yes\n33,Mine,,1\n")
-    ingest.ingest(spark, "category", str(export), str(tmp_path / "c1"))
+    ingest.release(ingest.ingest(spark, "category", str(export), str(tmp_path / "c1")))
     got = by(spark.read.parquet(str(tmp_path / "c1")), "category_id")
     assert len(got) == 7 and got[33]["category_name"] == "Snacks & Beverages" and got[1]["parent_category_id"] == 33
     fest = tmp_path / "festival.csv"
@@ -88,29 +127,38 @@ def test_ingest_category_and_festival_products(spark, tmp_path):
     assert kept == {"P1": 1, "P2": 2}
 
 
+def test_nothing_is_left_in_the_shared_folder(spark, tmp_path):
+    shared = Path(shared_folder(spark).removeprefix("file://"))
+    before = {p.name for p in shared.iterdir()}
+    export = tmp_path / "brand.csv"
+    export.write_text("brand_id,brand_name\n1,A\n")
+    ingest.release(ingest.ingest(spark, "brand", str(export), str(tmp_path / "brand")))
+    assert {p.name for p in shared.iterdir()} == before
+
+
 def test_export_scan_and_column_choice(spark, tmp_path):
     (tmp_path / "x.csv").write_text("B,a\n1,x\n2,y\n")
     raw = read_export(spark, str(tmp_path / "x.csv"), lower_header=True)
     assert raw.columns == ["b", "a", INGEST_ORDER] and dict(raw.dtypes)["b"] == "string"
     assert [r["a"] for r in raw.orderBy(INGEST_ORDER).collect()] == ["x", "y"]
-    assert pick_columns(raw, {"a": "first", "missing": "m"}).columns == ["first"]
 
 
 def test_stream_of_batches_and_replay(spark, tmp_path):
-    source, root = tmp_path / "in", str(tmp_path / "out")
+    source, table = tmp_path / "in", str(tmp_path / "out")
     schema = schemas.struct("brand")
-    for n, (k, name) in enumerate([(1, "first"), (1, "again"), (2, "second")]):
+    for k, name in [(1, "first"), (1, "again"), (2, "second")]:
         spark.createDataFrame([(k, name, None, True, None)], schema).coalesce(1).write.mode("append").parquet(
             str(source))
         feed = (spark.readStream.schema(schema).parquet(str(source)).writeStream
-                .foreachBatch(merge_batches("brand", root)).option("checkpointLocation", str(tmp_path / "state"))
+                .foreachBatch(merge_batches("brand", table, F.col("brand_name")))
+                .option("checkpointLocation", str(tmp_path / "state"))
                 .trigger(availableNow=True).start())
         feed.awaitTermination()
-    last = rows(spark.read.parquet(snapshot_path(root, 2)).orderBy("brand_id"))
+    last = rows(spark.read.parquet(table).orderBy("brand_id"))
     assert {r["brand_id"]: r["brand_name"] for r in last} == {1: "first", 2: "second"}
     replay = spark.createDataFrame([(2, "second", None, True, None)], schema)
-    merge_batches("brand", root)(replay, 2)
-    assert rows(spark.read.parquet(snapshot_path(root, 2)).orderBy("brand_id")) == last
+    merge_batches("brand", table, F.col("brand_name"))(replay, 2)
+    assert rows(spark.read.parquet(table).orderBy("brand_id")) == last
 
 
 def test_empty_table_has_the_declared_schema(spark):

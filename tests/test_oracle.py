@@ -2,7 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from driverbind.catalog import QUERIES
+from driverbind.statements import STATEMENTS
 from tests.oracle_check import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,6 +14,6 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(STATEMENTS))
 def test_query(spark, duck, name):
-    assert compare(spark, duck, FOLDER, entry.queries()[name], entry.oracle_sql()[name]) is None
+    assert compare(spark, duck, FOLDER, QUERIES[name], STATEMENTS[name]) is None

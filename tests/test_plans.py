@@ -11,6 +11,7 @@ from aisleworks.plans import agents
 from aisleworks.plans.presentation import present
 from aisleworks.plans.reports import Reports
 from aisleworks.sources.tables import Tables
+from driverbind.catalog import QUERIES
 from tests.conftest import day, rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,7 +25,7 @@ def plan_of(df) -> str:
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - TRAINED))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - TRAINED))
 def test_no_cross_join_and_no_python(spark, name):
     plan = plan_of(entry.queries()[name](spark, FOLDER))
     for operator in ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"]:

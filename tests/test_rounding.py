@@ -16,6 +16,12 @@ def test_half_even_equals_python_round(spark):
         assert [row[f"r{n}"] for n in range(4)] == [round(row["x"], n) for n in range(4)]
 
 
+def test_half_even_passes_what_is_not_finite(spark):
+    df = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (None,), (1e12 + 0.125,)], "x double")
+    got = [r[0] for r in df.select(round_half_even(F.col("x"), 2)).collect()]
+    assert got[:2] == [float("inf"), float("-inf")] and got[2] != got[2] and got[3] is None and got[4] == round(1e12 + 0.125, 2)
+
+
 def test_half_up_rounds_away_from_zero(spark):
     df = spark.createDataFrame([(2.675,), (-2.675,), (0.005,), (1.1 * 1.1 * 100,)], "x double")
     assert [r[0] for r in df.select(round_half_up(F.col("x"), 2)).collect()] == [2.68, -2.68, 0.01, 121.0]
