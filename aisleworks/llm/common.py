@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aisleworks.session import shared_folder
+
 #: White space between words, as every word contract of this package has it.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def run_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which all executors share.
-
-    Local sessions without the setting (tests) get one below the warehouse folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/llm-scratch"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder name in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to Python workers that would not find it: those started elsewhere than in its root."""
+    root = Path(__file__).resolve().parents[2]
+    found = str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root
+    if not found and spark.sparkContext.applicationId not in _SHIPPED:
+        _SHIPPED.add(spark.sparkContext.applicationId)
+        archive = Path(tempfile.mkdtemp()) / "aisleworks"
+        spark.sparkContext.addPyFile(shutil.make_archive(str(archive), "zip", root, "aisleworks"))
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleworks.llm.common import crc_mod, table
+from aisleworks.llm.common import crc_mod, ship_package, table
 from aisleworks.llm.language_id import identify
 from aisleworks.llm.mixing import mix_sources
 from aisleworks.llm.ngram_join import near_copies
@@ -64,7 +64,18 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def with_package(run: Query) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return run(spark, folder)
+
+    return query
+
+
+QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_nearest": op2_nearest,
     "op3_warc": op3_warc,
@@ -76,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
+QUERIES = {name: with_package(run) for name, run in QUERIES.items()}
 
 #: SQL for DuckDB, where SQL can express the query.
 STATEMENTS: dict[str, str] = {

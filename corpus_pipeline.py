@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleworks.llm.common import small_or_shuffled, table, written
+from aisleworks.llm.common import ship_package, small_or_shuffled, table, written
 from aisleworks.llm.language_id import identify
 from aisleworks.llm.mixing import mix_sources
 from aisleworks.llm.ngram_join import near_copies
@@ -86,6 +86,7 @@ STAGES = [
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written and read again by the next."""
+    ship_package(spark)
     docs = table(spark, folder, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, folder), name.replace(" ", "-"))
