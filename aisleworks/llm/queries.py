@@ -101,6 +101,20 @@ STATEMENTS: dict[str, str] = {
                CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN keeper <> page_id THEN keeper END AS refers_to
         FROM p LEFT JOIN k ON p.digest = k.digest AND bytes >= 1000""",
+    "op8_vector_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+            WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+        n AS (SELECT a, count(*) AS links FROM l GROUP BY a),
+        r(vec_id, reached) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached)
+        SELECT r.vec_id, any_value(coalesce(n.links, 0)) AS n_links, min(reached) AS component_id,
+               r.vec_id = min(reached) AS kept
+        FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY r.vec_id""",
     "op7_ngram_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
