@@ -282,20 +282,51 @@ def unjoined(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return pairs.where(differ).select("a", "b", "rep_a", "rep_b", "shared")
 
 
-def linked_in_bucket(labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, members: list[bytes]) -> list[tuple[int, int]]:
+def possible_partners(i: int, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """Later positions of other groups whose sizes and bit sketches allow a link with position ``i``."""
+    others = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+    small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+    others = others[SCALE * small >= LEVEL * large]
+    distance = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+    return others[distance <= (SCALE - LEVEL) * (sizes[others] + sizes[i]) // (SCALE + LEVEL)]
+
+
+def band_sketches(sizes: np.ndarray, sketches: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """The bit sketches of a bucket's classes in its lowest band, as rows of bytes."""
+    bands = [band_of(int(n)) for n in sizes]
+    low = min(bands)
+    own = [(sketches if band == low else lower)[k] for k, band in enumerate(bands)]
+    return np.frombuffer(b"".join(own), dtype=np.uint8).reshape(len(own), -1)
+
+
+def contested(rows: DataFrame) -> DataFrame:
+    """``part, b`` of the classes that sizes and bit sketches allow to link with one of another component in their bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, (part, own, component, size, sketch, lower) in bucket_runs(batches):
+            marked = np.zeros(len(part), dtype=bool)
+            for start, end in zip(starts, np.append(starts[1:], len(part)), strict=True):
+                table = band_sketches(size[start:end], sketch[start:end], lower[start:end])
+                for i in range(end - start - 1):
+                    others = possible_partners(i, component[start:end], size[start:end], table)
+                    if len(others):
+                        marked[start + i] = True
+                        marked[start + others] = True
+            yield pa.RecordBatch.from_arrays([pa.array(part[marked]), pa.array(own[marked])], names=["part", "b"])
+
+    light = rows.select("part", "b", "component", "size", "sketch", "lower_sketch")
+    return light.repartition("part").sortWithinPartitions("part", "b").mapInArrow(run, "part long, b long")
+
+
+def linked_in_bucket(labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, members: np.ndarray) -> list[tuple[int, int]]:
     """Positions of verified pairs that join the groups of a bucket, at most one fewer than there are groups.
 
-    Each class is held against those of other groups: sizes, bit sketches, then whole sets; groups that a link joins
-    need no more pairs between them.
+    Groups that a link joins need no more pairs between them.
     """
     labels = labels.copy()
     out = []
     for i in range(len(labels) - 1):
-        others = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
-        small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-        others = others[SCALE * small >= LEVEL * large]
-        distance = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-        for j in others[distance <= (SCALE - LEVEL) * (sizes[others] + sizes[i]) // (SCALE + LEVEL)].tolist():
+        for j in possible_partners(i, labels, sizes, sketches).tolist():
             if labels[j] != labels[i] and sets_link(members[i], members[j]):
                 out.append((i, j))
                 labels[labels == labels[j]] = labels[i]
@@ -303,9 +334,13 @@ def linked_in_bucket(labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray
 
 
 def links_within_buckets(buckets: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFrame:
-    """Verified ``a, b`` representatives that join classes of a bucket which are not in one component yet."""
-    rows = buckets.join(sets, buckets["b"] == sets["class"]).join(joined, F.col("rep") == F.col("node"), "left")
-    rows = rows.withColumn("component", F.coalesce("component", "rep"))
+    """Verified ``a, b`` representatives that join classes of a bucket which are not in one component yet.
+
+    Sketches go to buckets that still have several components; whole sets only to their contested classes.
+    """
+    of_class = sets.select("class", "rep").join(joined, F.col("rep") == F.col("node"), "left")
+    placed = written(of_class.select("class", F.coalesce("component", "rep").alias("component")), "placed")
+    rows = buckets.join(placed, buckets["b"] == placed["class"]).select("part", "b", "component")
     open_parts = (
         rows.groupBy("part")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -313,16 +348,16 @@ def links_within_buckets(buckets: DataFrame, sets: DataFrame, joined: DataFrame)
         .select(F.col("part").alias("open_part"))
     )
     rows = rows.join(open_parts, rows["part"] == F.col("open_part"), "left_semi")
+    sketches = sets.select(F.col("class").alias("of"), "size", "sketch", "lower_sketch")
+    left = written(contested(rows.join(sketches, F.col("b") == F.col("of"))), "contested")
+    rows = left.join(placed, left["b"] == placed["class"]).drop("class").join(sets, F.col("b") == sets["class"])
     rows = rows.select("part", "component", "rep", "size", "members", "sketch", "lower_sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, (_, component, rep, size, members, sketch, lower) in bucket_runs(batches):
             found: set[tuple[int, int]] = set()
             for start, end in zip(starts, np.append(starts[1:], len(rep)), strict=True):
-                bands = [band_of(int(n)) for n in size[start:end]]
-                low = min(bands)
-                own = [(sketch if band == low else lower)[start + k] for k, band in enumerate(bands)]
-                table = np.frombuffer(b"".join(own), dtype=np.uint8).reshape(len(own), -1)
+                table = band_sketches(size[start:end], sketch[start:end], lower[start:end])
                 pairs = linked_in_bucket(component[start:end], size[start:end], table, members[start:end])
                 found.update((int(rep[start + i]), int(rep[start + j])) for i, j in pairs)
             columns = [pa.array([pair[k] for pair in sorted(found)], pa.int64()) for k in (0, 1)]
