@@ -169,25 +169,42 @@ def bucket_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 
 
 def meetings(parts: DataFrame) -> DataFrame:
-    """Kind 0: pair of a bucket's drawn class ``a`` and another ``b``; kind 1: class ``b`` of a bucket of three or more."""
+    """Kind 0: pair of a bucket's drawn class ``a`` and another ``b``; kind 1: class ``b`` of a bucket of three or more.
+
+    Buckets pass through their task as a stream sorted by the drawing's lot, of which two classes and a count are kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (part, own) in bucket_runs(batches):
-            new = np.append(True, (part[1:] != part[:-1]) | (own[1:] != own[:-1]))
+        at, drawn, second, last, count = None, 0, 0, 0, 0  # of the bucket that the batch before ended in
+        for batch in batches:
+            part, own = (batch.column(i).to_numpy() for i in (0, 1))
+            new = np.append(True, (part[1:] != part[:-1]) | (own[1:] != own[:-1]))[: len(part)]
+            if len(part) and part[0] == at and own[0] == last:
+                new[0] = False
             part, own = part[new], own[new]
+            if not len(part):
+                continue
             starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             sizes = np.diff(np.append(starts, len(part)))
-            lot = mix64(own.view(np.uint64) ^ part.view(np.uint64))  # one-to-one within a part
-            drawn = own[lot == np.repeat(np.minimum.reduceat(lot, starts), sizes)]
-            first = np.repeat(drawn, sizes)
-            size = np.repeat(sizes, sizes)
-            star = (size > 1) & (first != own)
-            rest = size > 2
-            kind = np.repeat(np.array([0, 1], dtype=np.int32), [star.sum(), rest.sum()])
-            columns = [kind] + [np.concatenate([c[star], c[rest]]) for c in (part, first, own)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "part", "a", "b"])
-
-    return parts.repartition("part").sortWithinPartitions("part", "class").mapInArrow(run, MEETINGS)
+            firsts, seconds = own[starts].copy(), own[np.minimum(starts + 1, len(own) - 1)].copy()
+            before = np.zeros(len(starts), dtype=np.int64)
+            if part[0] == at:
+                before[0], firsts[0], seconds[0] = count, drawn, second if count > 1 else own[0]
+            place = np.arange(len(part)) + np.repeat(before - starts, sizes)
+            centre, next_one = np.repeat(firsts, sizes), np.repeat(seconds, sizes)
+            star, third, rest = place > 0, place == 2, place > 1
+            kind = np.repeat(np.array([0, 1], dtype=np.int32), [star.sum(), 2 * third.sum() + rest.sum()])
+            columns = [
+                np.concatenate([part[star], part[third], part[third], part[rest]]),
+                np.concatenate([centre[star], centre[third], centre[third], centre[rest]]),
+                np.concatenate([own[star], centre[third], next_one[third], own[rest]]),
+            ]
+            at, drawn, second, last, count = part[-1], firsts[-1], seconds[-1], own[-1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns)], names=["kind", "part", "a", "b"])
+
+    drawing = parts.withColumn("lot", F.xxhash64("part", "class"))
+    dealt = drawing.repartition("part").sortWithinPartitions("part", "lot", "class").select("part", "class")
+    return dealt.mapInArrow(run, MEETINGS)
 
 
 def fetched_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aisleworks.llm.graph import components
-from aisleworks.llm.ngram_join import most_different, near_copies, parts_of
+from aisleworks.llm.ngram_join import meetings, most_different, near_copies, parts_of
 from aisleworks.llm.vector_dedup import near_vectors
 from aisleworks.llm.vector_search import nearest_vectors
 
@@ -95,6 +95,21 @@ def test_linked_sets_share_a_part_whatever_is_frequent():
                 assert set(parts_of(whole, frequent)) & set(parts_of(larger, frequent))
 
 
+def test_meetings_of_buckets_over_many_batches(spark):
+    sizes = {1: 1, 2: 2, 3: 3, 4: 700, 5: 2, 6: 40}
+    rows = [(part, c) for part, n in sizes.items() for c in range(n) for _ in range(1 + c % 2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = meetings(spark.createDataFrame(rows, "part long, class long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for part, n in sizes.items():
+        pairs = [(r["a"], r["b"]) for r in got if r["part"] == part and r["kind"] == 0]
+        assert len({a for a, _ in pairs}) == (n > 1) and sorted({*dict(pairs), *(b for _, b in pairs)}) == (list(range(n)) if n > 1 else [])
+        assert len(pairs) == n - 1
+        assert sorted(r["b"] for r in got if r["part"] == part and r["kind"] == 1) == (list(range(n)) if n > 2 else [])
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (200, 199)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
