@@ -231,7 +231,8 @@ def scored(texts: DataFrame, models: dict[str, dict[str, np.ndarray]]) -> DataFr
         for batch in bounded_batches(batches, 2 << 20):
             values = scorer.entropies(texts_of(batch.column(1)))
             symbols = values[:, -1].astype(np.int64)
-            best = [langs[k] if n and langs else None for k, n in zip(values[:, :-1].argmin(axis=1) if langs else symbols, symbols, strict=True)]
+            lowest = values[:, :-1].argmin(axis=1) if langs else symbols
+            best = [langs[k] if n and langs else None for k, n in zip(lowest, symbols, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -274,10 +275,9 @@ def identify(
         own = F.element_at("entropies", at)
         return 1.0 / F.aggregate("entropies", F.lit(0.0), lambda s, x: s + F.exp((own - x) * temperature))
 
-    fit = known.where("own_place > 0").select(
-        *[F.log(F.greatest(probability(F.col("own_place").cast("int"), t), F.lit(1e-12))).alias(f"t{k}") for k, t in enumerate(TEMPERATURES)]
-    )
-    sums = fit.agg(*[F.avg(f"t{k}").alias(f"t{k}") for k in range(len(TEMPERATURES))]).first()
+    own_place = F.col("own_place").cast("int")
+    likelihoods = [F.avg(F.log(F.greatest(probability(own_place, t), F.lit(1e-12)))) for t in TEMPERATURES]
+    sums = known.where("own_place > 0").agg(*[x.alias(f"t{k}") for k, x in enumerate(likelihoods)]).first()
     temperature = max(zip([s if s is not None else 0.0 for s in sums], TEMPERATURES, strict=True))[1]
 
     lowest = F.array_min("entropies")

@@ -12,7 +12,6 @@ pyarrow can open.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 from urllib.parse import quote
