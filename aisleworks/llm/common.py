@@ -70,7 +70,7 @@ def two_columns(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 
-def bounded_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def bounded_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most_bytes`` (one row at least), so working memory doesn't follow row width."""
     for batch in batches:
         rows, size = batch.num_rows, max(batch.nbytes, 1)

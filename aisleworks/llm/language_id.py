@@ -30,7 +30,9 @@ UNDETERMINED = "und"
 #: n-grams of the full order that a language's model keeps, most frequent first: its size bound.
 MOST_GRAMS = 2_000_000
 #: Distinct chunks a learning task holds before it emits counts, and chunks whose scores a worker keeps.
-HELD_CHUNKS, KEPT_CHUNKS = 400_000, 800_000
+HELD_CHUNKS, KEPT_CHUNKS = 400_000, 400_000
+#: Chunks whose symbols are laid out in arrays at once.
+SLICE = 25_000
 #: Quantile of the learning texts' cross-entropy that counts as their bulk.
 BULK = 0.999
 TEMPERATURES = tuple(2.0**k for k in range(8))
@@ -76,18 +78,28 @@ def gram_keys(symbols: np.ndarray, order: int, skip: int = 0) -> np.ndarray:
     return mix64(total + np.uint64(order))
 
 
+def summed(symbols: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of symbols with the sums of their numbers."""
+    _, first, inverse = np.unique(gram_keys(symbols, ORDER), return_index=True, return_inverse=True)
+    return symbols[first], np.bincount(inverse, weights=numbers, minlength=len(first)).astype(np.int64)
+
+
 def gram_counts(texts: DataFrame) -> DataFrame:
     """``lang, s0.., n``: counts of full-order n-grams over all rows of ``lang, text``."""
 
     def emitted(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, counter in held.items():
-            symbols, chunk = predicted_symbols(list(counter))
-            weights = np.fromiter(counter.values(), dtype=np.int64, count=len(counter))[chunk]
-            _, first, inverse = np.unique(gram_keys(symbols, ORDER), return_index=True, return_inverse=True)
-            sums = np.bincount(inverse, weights=weights, minlength=len(first)).astype(np.int64)
-            grams = symbols[first].astype(np.int32)
+            chunks, numbers = list(counter), np.fromiter(counter.values(), dtype=np.int64, count=len(counter))
+            found = []
+            for start in range(0, len(chunks), SLICE):
+                symbols, chunk = predicted_symbols(chunks[start : start + SLICE])
+                found.append(summed(symbols, numbers[start + chunk]))
+            if not found:
+                continue
+            grams, sums = summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            grams = grams.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(first), pa.string())] + [pa.array(grams[:, k]) for k in range(ORDER)] + [pa.array(sums)],
+                [pa.array([lang] * len(sums), pa.string())] + [pa.array(grams[:, k]) for k in range(ORDER)] + [pa.array(sums)],
                 names=["lang", *SYMBOLS, "n"],
             )
 
@@ -210,8 +222,8 @@ class ChunkScorer:
         if len(self.place) > KEPT_CHUNKS:
             self.clear()
         new = list(set().union(*cut) - self.place.keys())
-        if new:
-            self._learn(new)
+        for start in range(0, len(new), SLICE):
+            self._learn(new[start : start + SLICE])
         look = self.place.__getitem__
         out = np.zeros((len(texts), len(self.models) + 1))
         for row, chunks in enumerate(cut):

@@ -22,7 +22,7 @@ from aisleworks.llm.common import bounded_batches, texts_of, two_columns, writte
 from aisleworks.llm.weak_labels import Hits, fitted_scorer, learning_rows
 
 STATISTICS = ("capitals", "symbols", "digits", "symbol words", "repeats", "distinct", "length", "lines", "words")
-KEPT_CHUNKS = 800_000
+KEPT_CHUNKS = 400_000
 #: Shares of the text of a shape or pair of shapes are told apart by powers of two down to this one.
 LEAST_SHARE = 2.0**-10
 

@@ -24,7 +24,7 @@ LEXICON_SHARE, VOTERS_EACH = 0.8, 16
 #: Lengths of word beginnings; a word's kind is 0, a beginning's kind its place here plus 1.
 BEGINNINGS = (4, 5, 6)
 KINDS = 1 + len(BEGINNINGS)
-KEPT_CHUNKS = 800_000
+KEPT_CHUNKS = 400_000
 _LETTERS = regex.compile(r"\p{L}+")
 
 
