@@ -3,7 +3,8 @@
 Method: words of the learning texts are padded with start symbols and an end symbol, and n-grams of the full order are
 counted per language over all of them; lower orders follow as continuation counts. A language's model is a pair of
 sorted hash arrays for every order (interpolated probabilities of n-grams, back-off weights of contexts), looked up
-by binary search. A text gets the language with the lowest cross-entropy per predicted symbol.
+by binary search. Models too large to broadcast are estimated and kept as tables over all n-grams, with which the distinct
+n-grams of the texts are joined order by order. A text gets the language with the lowest cross-entropy per predicted symbol.
 
 Scores and rejection are calibrated on all learning texts: one temperature turns cross-entropies into probabilities,
 and a text is rejected if its best cross-entropy is nearer to that of chance (all symbols of the language alike)
@@ -27,7 +28,7 @@ from aisleworks.llm.common import bounded_batches, mix64, texts_of, written
 ORDER = 5
 START, END = 1, 2
 UNDETERMINED = "und"
-#: n-grams of the full order that a language's model keeps, most frequent first: its size bound.
+#: n-grams of the full order up to which a language's model is broadcast; with more, all models stay tables and are joined.
 MOST_GRAMS = 2_000_000
 #: Distinct chunks a learning task holds before it emits counts, and chunks whose scores a worker keeps.
 HELD_CHUNKS, KEPT_CHUNKS = 400_000, 400_000
@@ -117,6 +118,10 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, schema).groupBy("lang", *SYMBOLS).agg(F.sum("n").alias("n"))
 
 
+def discount_of(once: float, twice: float) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+
 def kneser_ney(symbols: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     """Sorted arrays of a model from the distinct full-order n-grams and their counts.
 
@@ -133,8 +138,7 @@ def kneser_ney(symbols: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]
     lower = np.full(len(levels[1][0]), 1.0 / alphabet)
     for order in range(1, ORDER + 1):
         grams, number = levels[order]
-        once, twice = float((number == 1).sum()), float((number == 2).sum())
-        discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+        discount = discount_of(float((number == 1).sum()), float((number == 2).sum()))
         if order > 1:
             below = gram_keys(grams, order - 1)
             lower = np.exp(model[f"p{order - 1}"][np.searchsorted(model[f"k{order - 1}"], below)])
@@ -153,13 +157,8 @@ def kneser_ney(symbols: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]
     return model
 
 
-def trained_models(texts: DataFrame) -> dict[str, dict[str, np.ndarray]]:
+def trained_models(counts: DataFrame) -> dict[str, dict[str, np.ndarray]]:
     """A model per language. A language's n-grams (``MOST_GRAMS`` at most) are turned into arrays in one task."""
-    counts = written(gram_counts(texts), "grams")
-    ranked = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MOST_GRAMS)
-    for row in ranked.collect():  # only languages beyond the bound: the count that bounds them
-        at = counts.where(F.col("lang") == row["lang"]).orderBy(F.desc("n"), *SYMBOLS).offset(MOST_GRAMS).first()["n"]
-        counts = counts.where((F.col("lang") != row["lang"]) | (F.col("n") > at))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         symbols = frame[SYMBOLS].to_numpy().astype(np.uint32)
@@ -175,6 +174,76 @@ def trained_models(texts: DataFrame) -> dict[str, dict[str, np.ndarray]]:
     return dict(sorted(models.items()))
 
 
+class ModelTables:
+    """Kneser-Ney models over all n-grams as tables of each order, for models that are too large for a broadcast.
+
+    ``probabilities[order]``: ``lang``, the order's symbols, ``value``; ``weights[order]``: ``lang``, the symbols of the
+    context, ``value`` (both logs). ``floors``, ``alphabets``: numbers of each language. A join's key has at most as many
+    rows as there are symbols and languages.
+    """
+
+    def __init__(self, counts: DataFrame):
+        levels = {ORDER: counts}
+        for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct symbols before each n-gram
+            grams = levels[order + 1].groupBy("lang", *SYMBOLS[ORDER - order :]).agg(F.count(F.lit(1)).alias("n"))
+            levels[order] = written(grams, "lower-grams")
+        self.floors: dict[str, float] = {}
+        self.alphabets: dict[str, int] = {}
+        self.probabilities: dict[int, DataFrame] = {}
+        self.weights: dict[int, DataFrame] = {}
+        for order in range(1, ORDER + 1):
+            own, grams = SYMBOLS[ORDER - order :], levels[order]
+            facts = grams.groupBy("lang").agg(
+                F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"), F.count(F.lit(1)).alias("kinds")
+            )
+            # one row per learnt language
+            discounts = []
+            for r in facts.collect():
+                discounts.append((r["lang"], discount_of(r["once"], r["twice"])))
+                if order == 1:
+                    self.alphabets[r["lang"]] = r["kinds"]
+            given = F.broadcast(counts.sparkSession.createDataFrame(discounts, "lang string, discount double"))
+            context = ["lang", *own[:-1]]
+            totals = grams.groupBy(*context).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).join(given, "lang")
+            totals = totals.withColumn("weight", F.col("discount") * F.col("kinds") / F.col("total"))
+            self.weights[order] = written(totals.select(*context, F.log("weight").alias("value")), "weights")
+            rows = grams.join(totals.drop("kinds"), context)
+            if order == 1:
+                for r in self.weights[1].collect():
+                    self.floors[r["lang"]] = r["value"] - math.log(self.alphabets[r["lang"]] + 1)
+                below = [(lang, 1.0 / (n + 1)) for lang, n in self.alphabets.items()]
+                rows = rows.join(F.broadcast(counts.sparkSession.createDataFrame(below, "lang string, below double")), "lang")
+            else:
+                lower = self.probabilities[order - 1].withColumn("below", F.exp("value")).drop("value")
+                rows = rows.join(lower, ["lang", *own[1:]])
+            value = F.log((F.col("n") - F.col("discount")) / F.col("total") + F.col("weight") * F.col("below"))
+            self.probabilities[order] = written(rows.select("lang", *own, value.alias("value")), "probabilities")
+        self.alphabets = dict(sorted(self.alphabets.items()))
+
+    def gram_scores(self, asked: DataFrame) -> DataFrame:
+        """``s0.., values``: natural log of each distinct asked n-gram's last symbol under each language."""
+
+        def by_lang(table: DataFrame, symbols: list[str], name: str) -> DataFrame:
+            return table.groupBy(*symbols).agg(F.map_from_entries(F.collect_list(F.struct("lang", "value"))).alias(name))
+
+        asked = written(asked.select(*SYMBOLS).distinct(), "asked")
+        scores = None
+        for order in range(1, ORDER + 1):
+            own = SYMBOLS[ORDER - order :]
+            rows = asked.select(*own).distinct().join(by_lang(self.probabilities[order], own, "p"), own, "left")
+            if scores is not None:
+                rows = rows.join(by_lang(self.weights[order], own[:-1], "g"), own[:-1], "left").join(scores, own[1:])
+            values = []
+            for k, lang in enumerate(self.alphabets):
+                if scores is None:
+                    lower = F.lit(self.floors[lang])
+                else:
+                    lower = F.col("values")[k] + F.coalesce(F.try_element_at("g", F.lit(lang)), F.lit(0.0))
+                values.append(F.coalesce(F.try_element_at("p", F.lit(lang)), lower))
+            scores = written(rows.select(*own, F.array(*values).alias("values")), "gram-scores")
+        return scores
+
+
 def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return at, keys[at] == wanted
@@ -261,6 +330,60 @@ def scored(texts: DataFrame, models: dict[str, dict[str, np.ndarray]]) -> DataFr
     return texts.mapInArrow(run, schema)
 
 
+def text_chunks(texts: DataFrame) -> DataFrame:
+    """``key, chunk, times`` of ``key, text`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded_batches(batches):
+            counted = [Counter(text.split()) for text in texts_of(batch.column(1))]
+            keys = np.repeat(batch.column(0).to_numpy(), [len(c) for c in counted])
+            chunks = pa.array([chunk for c in counted for chunk in c], pa.string())
+            times = pa.array([n for c in counted for n in c.values()], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), chunks, times], names=["key", "chunk", "times"])
+
+    return texts.mapInArrow(run, "key long, chunk string, times long")
+
+
+def chunk_grams(chunks: DataFrame) -> DataFrame:
+    """``chunk_key, s0..`` of every symbol that a model predicts in ``chunk_key, chunk`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded_batches(batches, 1 << 18):
+            symbols, owner = predicted_symbols(texts_of(batch.column(1)))
+            columns = [pa.array(symbols[:, k].astype(np.int32)) for k in range(ORDER)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(batch.column(0).to_numpy()[owner], pa.int64()), *columns], names=["chunk_key", *SYMBOLS]
+            )
+
+    return chunks.mapInArrow(run, ", ".join(["chunk_key long", *(f"{s} int" for s in SYMBOLS)]))
+
+
+def scored_by_joins(texts: DataFrame, models: ModelTables) -> DataFrame:
+    """As ``scored``, with every distinct n-gram, chunk and text scored once by shuffled joins."""
+    langs = list(models.alphabets)
+    keyed = texts.withColumn("key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    pairs = text_chunks(keyed.where("text IS NOT NULL").select("key", "text").dropDuplicates(["key"]))
+    chunks = pairs.select("chunk").distinct().select(F.xxhash64("chunk").alias("chunk_key"), "chunk")
+    grams = written(chunk_grams(chunks), "chunk-grams")
+
+    def sums(times: Column) -> list[Column]:
+        return [F.sum(F.col("values")[k] * times).alias(f"v{k}") for k in range(len(langs))]
+
+    own = [F.col(f"v{k}") for k in range(len(langs))]
+    of_chunk = grams.join(models.gram_scores(grams), SYMBOLS).groupBy("chunk_key")
+    of_chunk = of_chunk.agg(*sums(F.lit(1)), F.count(F.lit(1)).alias("in_chunk"))
+    of_chunk = written(of_chunk.select("chunk_key", F.array(*own).alias("values"), "in_chunk"), "chunk-scores")
+    times = F.col("times")
+    of_text = pairs.select("key", F.xxhash64("chunk").alias("chunk_key"), "times").join(of_chunk, "chunk_key").groupBy("key")
+    of_text = of_text.agg(*sums(times), F.sum(F.col("in_chunk") * times).alias("n"))
+    rows = keyed.drop("text").join(of_text, "key", "left")
+    rows = rows.withColumn("symbols", F.coalesce("n", F.lit(0)))
+    rows = rows.withColumn("entropies", F.array(*[F.coalesce(-v / F.col("n"), F.lit(0.0)) for v in own]))
+    place = F.array_position("entropies", F.array_min("entropies")).cast("int")
+    best = F.when(F.col("symbols") > 0, F.element_at(F.array(*[F.lit(x) for x in langs]), place))
+    return rows.select("doc_id", "lang", "learns", best.alias("best"), "entropies", "symbols")
+
+
 def identify(
     docs: DataFrame, learns: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang"
 ) -> DataFrame:
@@ -276,11 +399,19 @@ def identify(
         F.col(lang_column).cast("string").alias("lang"),
         F.coalesce(learns, F.lit(False)).alias("learns"),
     )
-    models = trained_models(rows.where("learns AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "text"))
-    values = written(scored(rows, models), "entropies")
+    counts = written(gram_counts(rows.where("learns AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")), "grams")
+    kinds = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
+    if (kinds.agg(F.max("kinds")).first()[0] or 0) > MOST_GRAMS:
+        tables = ModelTables(counts)
+        alphabets = tables.alphabets
+        values = written(scored_by_joins(rows, tables), "entropies")
+    else:
+        models = trained_models(counts)
+        alphabets = {lang: len(model["k1"]) for lang, model in models.items()}
+        values = written(scored(rows, models), "entropies")
 
     known = values.where("learns AND symbols > 0").withColumn(
-        "own_place", F.array_position(F.array(*[F.lit(x) for x in models]).cast("array<string>"), F.col("lang"))
+        "own_place", F.array_position(F.array(*[F.lit(x) for x in alphabets]).cast("array<string>"), F.col("lang"))
     )
 
     def probability(at: Column, temperature: float) -> Column:
@@ -300,10 +431,10 @@ def identify(
         .select(F.col("best").alias("of"), "bulk")
     )
     chance = F.lit(None).cast("double")
-    for lang, model in models.items():
-        chance = F.when(F.col("best") == lang, math.log(len(model["k1"]))).otherwise(chance)
+    for lang, letters in alphabets.items():
+        chance = F.when(F.col("best") == lang, math.log(letters)).otherwise(chance)
     most = F.greatest("bulk", (F.col("bulk") + chance) / 2)
-    # one row for each learnt language at most, all of whose models are in memory already
+    # one row for each learnt language at most
     joined = values.join(F.broadcast(bulk), F.col("best") == F.col("of"), "left")
     at = F.array_position("entropies", lowest).cast("int")
     best = F.col("best").isNotNull()

@@ -74,6 +74,20 @@ def test_languages_and_rejection(spark, docs, awkward):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_models_beyond_the_broadcast_bound_keep_every_gram(spark, docs, awkward, monkeypatch):
+    rows = [(n, t, "en") for n, t in enumerate(sentences(ENGLISH, 30, 1, 8))] + [(n, t, "en") for n, t in awkward]
+    rows += [(100 + n, t, "de") for n, t in enumerate(sentences(GERMAN, 30, 2, 8))] + [(200, "zur qxzv the", None)]
+    once = [(300 + n, f"{a}{b}x", "fr") for n, (a, b) in enumerate(["kü", "mo", "la"])]  # all of its grams tie at any cut
+    small = sorted(map(tuple, identify(docs(rows + once), F.coalesce(F.col("doc_id") != 3, F.lit(True))).collect()), key=str)
+    monkeypatch.setattr("aisleworks.llm.language_id.MOST_GRAMS", 10)
+    large = sorted(map(tuple, identify(docs(rows + once), F.coalesce(F.col("doc_id") != 3, F.lit(True))).collect()), key=str)
+    assert len(large) == len(rows + once)
+    for mine, other in zip(large, small, strict=True):
+        assert mine[:3] == other[:3] and mine[5] == other[5]
+        assert np.allclose([x or 0.0 for x in mine[3:5]], [x or 0.0 for x in other[3:5]], rtol=1e-9)
+    assert {r[2] for r in large} == {"de", "en", "fr", "und"}
+
+
 def test_language_of_awkward_rows_and_of_nothing(spark, docs, awkward):
     got = identify(docs([(i, t, "en") for i, t in awkward]), F.lit(True)).collect()
     assert len(got) == len(awkward) and {r["lang_pred"] for r in got} == {"en", "und"}
