@@ -10,7 +10,7 @@ then verified on the whole sets.
 
 Texts with equal sets are one class from the start. In a bucket of equal parts every class is first held against
 one of them, drawn by a hash of class and part; only classes that verified links have not joined yet are then held against
-each other, inside the bucket's task. So a large group of copies costs one pair per copy and part, and no link between
+each other, a large bucket's as pairs of bounded blocks in tasks of their own. So a large group of copies costs one pair per copy and part, and no link between
 different texts is lost.
 """
 
@@ -34,6 +34,8 @@ LEVEL, SCALE = 80, 100
 LEAST_FREQUENT, MOST_FREQUENT = 100, 1_000_000
 #: Times a task must see a shingle to report it, and classes of which a task remembers that it has given their parts.
 LOCAL_REPEATS, REMEMBERED = 4, 200_000
+#: Classes, and bytes of whole sets, of a bucket that make up a block, on average.
+BLOCK_CLASSES, BLOCK_BYTES = 1024, 8 << 20
 
 FACTS = "kind int, doc_id long, size long, class long"
 PARTS = "part long, class long"
@@ -299,9 +301,30 @@ def unjoined(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return pairs.where(differ).select("a", "b", "rep_a", "rep_b", "shared")
 
 
-def possible_partners(i: int, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> np.ndarray:
-    """Later positions of other groups whose sizes and bit sketches allow a link with position ``i``."""
-    others = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+def in_block_pairs(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """``part, b, ..`` rows with ``pair, block``: a bucket's classes are dealt to blocks, and blocks to all pairs of them.
+
+    ``sums`` has for each part its number of classes ``n`` and the ``total`` of their sizes. Any two classes of a bucket meet
+    in one pair of different blocks, or in the pair of their common block with itself.
+    """
+    fit = F.greatest(F.col("n") / BLOCK_CLASSES, F.col("total") * 8 / BLOCK_BYTES)
+    number = sums.select(F.col("part").alias("of_part"), F.ceil(fit).cast("int").alias("blocks"))
+    dealt = rows.join(number, rows["part"] == F.col("of_part")).drop("of_part")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "part", "b"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("part", F.least("block", "other"), F.greatest("block", "other"))
+    return dealt.withColumn("pair", pair).drop("blocks", "other")
+
+
+def to_compare(blocks: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of a pair of blocks with the first of the later positions that each is compared with."""
+    second = int(np.searchsorted(blocks, blocks[0], side="right"))
+    return [(i, second if second < len(blocks) else i + 1) for i in range(second)]
+
+
+def possible_partners(i: int, first: int, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """Positions from ``first`` on of other groups whose sizes and bit sketches allow a link with position ``i``."""
+    others = np.flatnonzero(labels[first:] != labels[i]) + first
     small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
     others = others[SCALE * small >= LEVEL * large]
     distance = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
@@ -320,30 +343,33 @@ def contested(rows: DataFrame) -> DataFrame:
     """``part, b`` of the classes that sizes and bit sketches allow to link with one of another component in their bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, (part, own, component, size, sketch, lower) in bucket_runs(batches):
+        for starts, (_, block, part, own, component, size, sketch, lower) in bucket_runs(batches):
             marked = np.zeros(len(part), dtype=bool)
             for start, end in zip(starts, np.append(starts[1:], len(part)), strict=True):
                 table = band_sketches(size[start:end], sketch[start:end], lower[start:end])
-                for i in range(end - start - 1):
-                    others = possible_partners(i, component[start:end], size[start:end], table)
+                for i, first in to_compare(block[start:end]):
+                    others = possible_partners(i, first, component[start:end], size[start:end], table)
                     if len(others):
                         marked[start + i] = True
                         marked[start + others] = True
             yield pa.RecordBatch.from_arrays([pa.array(part[marked]), pa.array(own[marked])], names=["part", "b"])
 
-    light = rows.select("part", "b", "component", "size", "sketch", "lower_sketch")
-    return light.repartition("part").sortWithinPartitions("part", "b").mapInArrow(run, "part long, b long")
+    light = rows.select("pair", "block", "part", "b", "component", "size", "sketch", "lower_sketch")
+    dealt = light.repartition("pair").sortWithinPartitions("pair", "block", "b")
+    return dealt.mapInArrow(run, "part long, b long").distinct()
 
 
-def linked_in_bucket(labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, members: np.ndarray) -> list[tuple[int, int]]:
-    """Positions of verified pairs that join the groups of a bucket, at most one fewer than there are groups.
+def linked_in_blocks(
+    blocks: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, members: np.ndarray
+) -> list[tuple[int, int]]:
+    """Positions of verified pairs that join the groups of a pair of blocks, at most one fewer than there are groups.
 
     Groups that a link joins need no more pairs between them.
     """
     labels = labels.copy()
     out = []
-    for i in range(len(labels) - 1):
-        for j in possible_partners(i, labels, sizes, sketches).tolist():
+    for i, first in to_compare(blocks):
+        for j in possible_partners(i, first, labels, sizes, sketches).tolist():
             if labels[j] != labels[i] and sets_link(members[i], members[j]):
                 out.append((i, j))
                 labels[labels == labels[j]] = labels[i]
@@ -353,34 +379,38 @@ def linked_in_bucket(labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray
 def links_within_buckets(buckets: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFrame:
     """Verified ``a, b`` representatives that join classes of a bucket which are not in one component yet.
 
-    Sketches go to buckets that still have several components; whole sets only to their contested classes.
+    Sketches go to buckets that still have several components; whole sets only to their contested classes. No task holds
+    more of a bucket than two blocks.
     """
-    of_class = sets.select("class", "rep").join(joined, F.col("rep") == F.col("node"), "left")
-    placed = written(of_class.select("class", F.coalesce("component", "rep").alias("component")), "placed")
-    rows = buckets.join(placed, buckets["b"] == placed["class"]).select("part", "b", "component")
+    of_class = sets.select("class", "rep", "size").join(joined, F.col("rep") == F.col("node"), "left")
+    of_class = of_class.select("class", "rep", "size", F.coalesce("component", "rep").alias("component"))
+    placed = written(of_class, "placed")
+    sums = (F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    rows = buckets.join(placed, buckets["b"] == placed["class"]).select("part", "b", "component", "size")
     open_parts = (
         rows.groupBy("part")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), *sums)
         .where("low <> high")
-        .select(F.col("part").alias("open_part"))
     )
-    rows = rows.join(open_parts, rows["part"] == F.col("open_part"), "left_semi")
+    rows = in_block_pairs(rows.drop("size"), open_parts)
     sketches = sets.select(F.col("class").alias("of"), "size", "sketch", "lower_sketch")
     left = written(contested(rows.join(sketches, F.col("b") == F.col("of"))), "contested")
-    rows = left.join(placed, left["b"] == placed["class"]).drop("class").join(sets, F.col("b") == sets["class"])
-    rows = rows.select("part", "component", "rep", "size", "members", "sketch", "lower_sketch")
+    rows = left.join(placed, left["b"] == placed["class"]).select("part", "b", "component", "size")
+    rows = in_block_pairs(rows.drop("size"), rows.groupBy("part").agg(*sums))
+    rows = rows.join(sets, F.col("b") == sets["class"])
+    rows = rows.select("pair", "block", "component", "rep", "size", "members", "sketch", "lower_sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, (_, component, rep, size, members, sketch, lower) in bucket_runs(batches):
+        for starts, (_, block, component, rep, size, members, sketch, lower) in bucket_runs(batches):
             found: set[tuple[int, int]] = set()
             for start, end in zip(starts, np.append(starts[1:], len(rep)), strict=True):
                 table = band_sketches(size[start:end], sketch[start:end], lower[start:end])
-                pairs = linked_in_bucket(component[start:end], size[start:end], table, members[start:end])
+                pairs = linked_in_blocks(block[start:end], component[start:end], size[start:end], table, members[start:end])
                 found.update((int(rep[start + i]), int(rep[start + j])) for i, j in pairs)
             columns = [pa.array([pair[k] for pair in sorted(found)], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
-    dealt = rows.repartition("part").sortWithinPartitions("part", "rep")
+    dealt = rows.repartition("pair").sortWithinPartitions("pair", "block", "rep")
     return written(dealt.mapInArrow(run, "a long, b long").distinct(), "bucket-links")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aisleworks.llm.graph import components
-from aisleworks.llm.ngram_join import meetings, most_different, near_copies, parts_of
+from aisleworks.llm.ngram_join import in_block_pairs, meetings, most_different, near_copies, parts_of
 from aisleworks.llm.vector_dedup import near_vectors
 from aisleworks.llm.vector_search import nearest_vectors
 
@@ -110,6 +110,33 @@ def test_meetings_of_buckets_over_many_batches(spark):
         assert sorted(r["b"] for r in got if r["part"] == part and r["kind"] == 1) == (list(range(n)) if n > 2 else [])
 
 
+def test_large_buckets_are_dealt_as_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr("aisleworks.llm.ngram_join.BLOCK_CLASSES", 10)
+    sizes = {1: 3, 2: 100}
+    rows = spark.createDataFrame([(part, b) for part, n in sizes.items() for b in range(n)], "part long, b long")
+    sums = spark.createDataFrame([(part, n, n) for part, n in sizes.items()], "part long, n long, total long")
+    met, pairs = {}, {}
+    for r in in_block_pairs(rows, sums).collect():
+        pairs.setdefault((r["part"], r["pair"]), []).append((r["block"], r["b"]))
+    assert max(map(len, pairs.values())) < 50
+    for (part, _), own in pairs.items():
+        several = len({block for block, _ in own}) > 1
+        for x, a in own:
+            for y, b in own:
+                if a < b and (x != y or not several):
+                    met[part, a, b] = met.get((part, a, b), 0) + 1
+    assert len(met) == sum(n * (n - 1) // 2 for n in sizes.values()) and set(met.values()) == {1}
+
+
+def test_near_copies_of_a_template_over_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr("aisleworks.llm.ngram_join.BLOCK_CLASSES", 4)
+    rnd = random.Random(9)
+    template = [f"t{k}" for k in range(60)]
+    bases = [[f"v{rnd.randrange(500)}" for _ in range(50)] for _ in range(40)]
+    rows = [(2 * n + k, " ".join(template + base[: len(base) - k])) for n, base in enumerate(bases) for k in range(2)]
+    assert sorted(map(tuple, near_copies(docs(rows)).collect()), key=str) == brute_copies(rows)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (200, 199)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
