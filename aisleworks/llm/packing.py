@@ -1,8 +1,8 @@
 """Packing documents into training sequences by shortest-pack-first over the length histogram.
 
 Method: each document's ids are cut into full pieces and a rest; only the histogram of piece lengths
-(at most ``max_tokens`` numbers) reaches the driver. There, lengths are placed longest first, each into the
-packs with most room, and packs of one kind are kept as a pattern with a count. A pattern's slots become
+(at most ``max_tokens`` numbers) reaches the driver. There, lengths are placed longest first, each as often as it fits
+into the packs with most room, and packs of one kind are kept as a pattern with a count. A pattern's slots become
 ranges of ranks: piece number r of its length goes to a known sequence and offset. The rank of a piece is its
 number within its task plus the pieces of that length in earlier tasks, so no task sees all pieces of a length.
 """
@@ -112,8 +112,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: in
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """Patterns (lengths, longest first) with the number of packs of each.
 
-    Open packs are kept by the room they have left; a length goes to the packs with most room, which are split
-    off their pattern if fewer are needed, and to new packs when no pack has room.
+    Open packs are kept by the room they have left; a length goes to the packs with most room, as often as it fits
+    into each, which are split off their pattern if fewer are needed, and to new packs, filled alike, when no pack has room.
     """
     open_packs: dict[int, list[tuple[list[int], int]]] = {}
     closed: list[tuple[list[int], int]] = []
@@ -123,16 +123,18 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[list[int
         while left:
             room = max(open_packs, default=0)
             if room < length:
-                placed.append(([length], left, capacity - length))
-                break
-            pattern, packs = open_packs[room].pop()
-            used = min(packs, left)
-            left -= used
-            if packs > used:
-                open_packs[room].append((pattern, packs - used))
-            if not open_packs[room]:
-                del open_packs[room]
-            placed.append(([*pattern, length], used, room - length))
+                pattern, packs, room = [], left, capacity
+            else:
+                pattern, packs = open_packs[room].pop()
+            each = min(room // length, left)
+            used = min(packs, left // each)
+            left -= used * each
+            if room < capacity:
+                if packs > used:
+                    open_packs[room].append((pattern, packs - used))
+                if not open_packs[room]:
+                    del open_packs[room]
+            placed.append(([*pattern, *[length] * each], used, room - each * length))
             if len(placed) > 2 * capacity:  # merge what this length has made before going on
                 placed = _merged(placed)
         for pattern, packs, room in placed:

@@ -87,3 +87,11 @@ def test_patterns_use_every_length_as_often_as_it_occurs(counts):
             used[length] += packs
     assert dict(used) == {k: v for k, v in counts.items() if v}
     assert len(rank_ranges(patterns)["length"]) == sum(len(p) for p, _ in patterns)
+
+
+def test_pieces_of_one_length_share_sequences():
+    assert pack_histogram({100: 1000}, 1024) == [([100] * 10, 100)]
+    assert sum(packs for _, packs in pack_histogram({1: 5000}, 1024)) == 5
+    mixed = {100: 3000} | {n: 30 for n in range(50, 250)}
+    tokens = sum(n * count for n, count in mixed.items())
+    assert sum(packs for _, packs in pack_histogram(mixed, 1024)) * 1024 < 1.05 * tokens
