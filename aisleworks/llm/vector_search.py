@@ -45,8 +45,10 @@ class SortedLines:
     def _ends(self, at: np.ndarray, side: str) -> np.ndarray:
         return np.searchsorted(self.sorted, np.clip(at, self.least, self.most) + self.shift, side=side)
 
-    def nearest(self, query: np.ndarray, at: np.ndarray, wanted: int, first_radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and distances of what was verified for a query with projections ``at``."""
+    def nearest(
+        self, query: np.ndarray, at: np.ndarray, wanted: int, first_radius: float, others: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and distances of what was verified for a query with projections ``at``; only ``others`` count as found."""
         rows = len(self.vectors)
         needed = math.ceil(COLLISIONS * len(at))
         counts = np.zeros(rows, dtype=np.int64)
@@ -68,7 +70,7 @@ class SortedLines:
                 difference = self.vectors[fresh] - query
                 distance[fresh] = np.sqrt((difference * difference).sum(axis=1))
                 verified[fresh] = True
-            if verified.all() or (distance <= radius / INSIDE).sum() >= wanted:
+            if verified.all() or (others & (distance <= radius / INSIDE)).sum() >= wanted:
                 found = np.flatnonzero(verified)
                 return found, distance[found]
             radius *= GROWTH
@@ -85,10 +87,9 @@ def search_block(data: pa.Table, queries: pa.Table, wanted: int) -> pa.Table:
         index = SortedLines(vectors, lines)
         scale = float(np.sqrt(((vectors - vectors.mean(axis=0)) ** 2).sum(axis=1).mean())) or 1.0
         for query, own, at in zip(points, query_ids, points @ lines, strict=True):
-            # one more than wanted, as the query's own row may be among them
-            rows, distances = index.nearest(query, at, wanted + 1, scale / 8)
-            other = ids[rows] != own
-            rows, distances = rows[other], distances[other]
+            others = ids != own
+            rows, distances = index.nearest(query, at, wanted, scale / 8, others)
+            rows, distances = rows[others[rows]], distances[others[rows]]
             best = np.lexsort((ids[rows], distances))[:wanted]
             found += [(int(own), int(ids[r]), float(d)) for r, d in zip(rows[best], distances[best], strict=True)]
     columns = list(zip(*found, strict=True)) or [(), (), ()]
@@ -103,13 +104,12 @@ def nearest_vectors(
 
     ``is_query`` is a condition on ``vec_id``. Vectors that are null, empty, all zero or hold a null or non-finite
     component, and rows with a null id, take no part; vectors are only compared with those of their own length. A query
-    never finds rows of its own id; repeated rows of a query count once. Ties go to the smaller ``vec_id``; a query without
+    never finds rows of its own id; repeated rows count once. Ties go to the smaller ``vec_id``; a query without
     candidates gives no row, as does an empty table. Other columns are not read.
     """
-    valid = written(
-        checked_vectors(table, id_column, vector_column).where("data IS NOT NULL AND vec_id IS NOT NULL"), "vectors"
-    )
-    queries = valid.where(is_query).distinct()
+    checked = checked_vectors(table, id_column, vector_column).where("data IS NOT NULL AND vec_id IS NOT NULL")
+    valid = written(checked.distinct(), "vectors")
+    queries = valid.where(is_query)
     rows = valid.count()
     block = min(MOST_BLOCK, max(LEAST_BLOCK, -(-rows // BLOCKS)))
     blocks = max(1, -(-rows // block))

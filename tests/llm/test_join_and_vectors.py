@@ -205,3 +205,14 @@ def test_nearest_vectors_recall_and_order(spark):
     assert right >= 0.9 * total
     assert not [r for r in got if r["query_id"] in (400, 401, 402, 403, 404, 405)]
     assert nearest_vectors(spark.createDataFrame([], VECTORS), F.col("vec_id") == 0).count() == 0
+
+
+def test_repeated_vectors_take_no_places(spark):
+    rng = np.random.default_rng(5)
+    rows = [(n, rng.standard_normal(16).tolist()) for n in range(200)]
+    close = min(range(1, 200), key=lambda n: np.linalg.norm(np.subtract(rows[n][1], rows[0][1])))
+    rows += [rows[0]] * 30 + [rows[close]] * 30
+    table = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], VECTORS).repartition(3)
+    got = nearest_vectors(table, F.col("vec_id") == 0, 10).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 11)) and len({r["vec_id"] for r in got}) == 10
+    assert got[0]["vec_id"] == close
