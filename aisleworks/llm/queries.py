@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from aisleworks.llm.common import crc_mod, ship_package, table
 from aisleworks.llm.language_id import identify
+from aisleworks.llm.merkle import document_manifest
 from aisleworks.llm.mixing import mix_sources
 from aisleworks.llm.ngram_join import near_copies
 from aisleworks.llm.packing import pack
 from aisleworks.llm.quality import quality
 from aisleworks.llm.token_counts import token_counts
+from aisleworks.llm.token_files import token_file_round_trip
 from aisleworks.llm.toxicity import held_out_third, toxicity
 from aisleworks.llm.vector_dedup import near_vectors
 from aisleworks.llm.vector_search import nearest_vectors
@@ -64,6 +66,16 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return document_manifest(table(spark, folder, "documents"))
+
+
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    found = token_file_round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    n_tokens = F.floor(F.octet_length("ids") / 4).cast("long")
+    return found.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -86,11 +98,75 @@ QUERIES: dict[str, Query] = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_merkle": op11_merkle,
+    "op13_token_files": op13_token_files,
 }
 QUERIES = {name: with_package(run) for name, run in QUERIES.items()}
 
 #: SQL for DuckDB, where SQL can express the query.
 STATEMENTS: dict[str, str] = {
+    "op11_merkle": """
+        WITH RECURSIVE d AS (
+            SELECT *, coalesce(doc_id::VARCHAR, '') AS key,
+                concat_ws('', coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-'),
+                    coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                    coalesce(octet_length(encode(lang)) || ':' || lang, '-'),
+                    coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-')) AS fields,
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small
+            FROM documents),
+        bits AS (  -- crc32 by its definition: a polynomial division, bit by bit, over the digits of the id
+            SELECT key, 1 AS place, 4294967295::UBIGINT AS crc FROM (SELECT DISTINCT key FROM d)
+            UNION ALL
+            SELECT key, place + 1, list_reduce(range(8)::UBIGINT[], lambda c, i:
+                CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END,
+                xor(crc, ascii(substr(key, place::INT, 1))::UBIGINT)) FROM bits WHERE place <= length(key)),
+        crcs AS (SELECT key, xor(arg_max(crc, place), 4294967295::UBIGINT) AS crc FROM bits GROUP BY key),
+        leaves AS (
+            SELECT doc_id, lang, sha256(fields || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+                sha256(fields || CASE WHEN text IS NULL THEN '-' WHEN crc % 3 = 0
+                    THEN octet_length(encode(small)) || ':' || small ELSE octet_length(encode(text)) || ':' || text END) AS changed
+            FROM d JOIN crcs USING (key)),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS pos,
+                count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+        low(lang, level, pos, n, h) AS (
+            SELECT lang, 0, pos, n, leaf FROM placed
+            UNION ALL
+            SELECT lang, any_value(level) + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos))
+            FROM low WHERE n > 1 GROUP BY lang, pos // 8),
+        subroots AS (
+            SELECT lang, h, level, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+            FROM low WHERE n = 1),
+        high(level, pos, n, h) AS (
+            SELECT 0, pos, n, h FROM subroots
+            UNION ALL
+            SELECT any_value(level) + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos))
+            FROM high WHERE n > 1 GROUP BY pos // 8),
+        steps AS (  -- siblings of every node: those to the left, those to the right
+            SELECT x.lang, x.level, x.pos, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS l,
+                coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS r
+            FROM low x JOIN low y ON x.lang IS NOT DISTINCT FROM y.lang AND x.level = y.level AND x.pos // 8 = y.pos // 8
+            WHERE x.n > 1 GROUP BY ALL),
+        tall AS (
+            SELECT x.level, x.pos, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS l,
+                coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS r
+            FROM high x JOIN high y ON x.level = y.level AND x.pos // 8 = y.pos // 8 WHERE x.n > 1 GROUP BY ALL),
+        climb(lang, leaf_pos, level, pos, proof, h) AS (
+            SELECT lang, pos, 0, pos, '', changed FROM placed
+            UNION ALL
+            SELECT c.lang, c.leaf_pos, c.level + 1, c.pos // 8, proof || l || r, sha256(l || c.h || r)
+            FROM climb c JOIN steps s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.pos = c.pos),
+        onward(lang, leaf_pos, level, pos, proof, h) AS (
+            SELECT c.lang, leaf_pos, 0, s.pos, proof, c.h FROM climb c
+            JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level
+            UNION ALL
+            SELECT c.lang, c.leaf_pos, c.level + 1, c.pos // 8, proof || l || r, sha256(l || c.h || r)
+            FROM onward c JOIN tall t ON t.level = c.level AND t.pos = c.pos),
+        roots AS (SELECT level, h FROM high WHERE n = 1)
+        SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root,
+            o.h = r.h AS verified
+        FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN roots r
+        JOIN onward o ON o.lang IS NOT DISTINCT FROM p.lang AND o.leaf_pos = p.pos AND o.level = r.level""",
     "op3_warc": """
         WITH p AS (
             SELECT page_id, sha1(coalesce(html, '')) AS digest,
