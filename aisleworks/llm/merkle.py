@@ -24,15 +24,10 @@ from aisleworks.llm.common import crc_mod, written
 
 #: Children of a node, levels of a block.
 ARITY, LEVELS = 8, 4
-BLOCK = ARITY**LEVELS
 
 PATH = "array<struct<left: string, right: string>>"
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def sized(value: Column) -> Column:
     """A value with its byte count before it, ``-`` for null."""
     text = value.cast("string")
@@ -125,22 +120,22 @@ def numbered(nodes: DataFrame, group: str, order: list[str], label: str) -> Data
     return placed.select(*fields.names, (F.col("before") + F.col("in_task")).alias("pos"), "nodes")
 
 
-def with_block(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("pos") / BLOCK))
+def with_block(nodes: DataFrame, levels: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("pos") / ARITY**levels))
 
 
-def sorted_nodes(table: pa.Table) -> tuple[list[str], int]:
-    table = table.sort_by("pos")
-    return table["node"].to_pylist(), min(LEVELS, levels_of(table["nodes"][0].as_py()))
+def block_parents(table: pa.Table, levels: int) -> tuple[list[str], list[list[Parent]]]:
+    """The nodes of a block, sorted by place, and the parents above them: fewer levels where the tree has fewer."""
+    nodes = table["node"].to_pylist()
+    return nodes, grown(nodes, min(levels, levels_of(table["nodes"][0].as_py())))
 
 
-def tops(nodes: DataFrame) -> DataFrame:
+def tops(nodes: DataFrame, levels: int) -> DataFrame:
     """The top node of each block of ``tree, block, pos, nodes, node``; its place is the block's number."""
 
     def top(table: pa.Table) -> pa.Table:
-        leaves, levels = sorted_nodes(table)
-        storey = grown(leaves, levels)
-        total = -(-table["nodes"][0].as_py() // BLOCK)
+        leaves, storey = block_parents(table.sort_by("pos"), levels)
+        total = -(-table["nodes"][0].as_py() // ARITY**levels)
         node = storey[-1][0].digest if storey else leaves[0]
         columns = [table["tree"].slice(0, 1).combine_chunks(), table["block"].slice(0, 1).combine_chunks()]
         return pa.table([*columns, pa.array([total], pa.int64()), pa.array([node])], names=["tree", "pos", "nodes", "node"])
@@ -149,24 +144,24 @@ def tops(nodes: DataFrame) -> DataFrame:
     return needed.groupBy("tree", "block").applyInArrow(top, "tree string, pos long, nodes long, node string")
 
 
-def storeys(nodes: DataFrame) -> list[DataFrame]:
+def storeys(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """The written storeys above numbered nodes, the last with one node per tree."""
     found = [nodes]
     while True:
-        above = written(with_block(tops(found[-1])), "storey")
+        above = written(with_block(tops(found[-1], levels), levels), "storey")
         found.append(above)
         if above.agg(F.max("nodes")).first()[0] in (None, 1):
             return found
 
 
-def paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def paths(nodes: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """Per node of a storey its path upwards, from its own block and from the path of the block's top."""
 
     def run(table: pa.Table, top: pa.Table) -> pa.Table:
-        leaves, levels = sorted_nodes(table)
+        table = table.sort_by("pos")
+        leaves, storey = block_parents(table, levels)
         upper = top["path"][0].as_py()
         found = []
-        storey = grown(leaves, levels)
         for pos in range(len(leaves)):
             own = []
             for parents in storey:
@@ -174,7 +169,6 @@ def paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
                 left, right = parents[pos].siblings(slot)
                 own.append({"left": left, "right": right})
             found.append(own + upper)
-        table = table.sort_by("pos")
         kind = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
         return pa.table([table["tree"], table["pos"], table["node"], pa.array(found, kind)], names=["tree", "pos", "node", "path"])
 
@@ -183,19 +177,18 @@ def paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
     return below.cogroup(tops_of).applyInArrow(run, f"tree string, pos long, node string, path {PATH}")
 
 
-def downwards(levels: list[DataFrame], last: DataFrame) -> DataFrame:
+def downwards(above: list[DataFrame], last: DataFrame, levels: int) -> DataFrame:
     """Paths of the storey just above the lowest, from those of the last one."""
     found = last
-    for storey in reversed(levels[1:-1]):
-        found = written(paths(storey, found), "paths")
+    for storey in reversed(above[1:-1]):
+        found = written(paths(storey, found, levels), "paths")
     return found
 
 
-def fold_block(table: pa.Table, top: pa.Table) -> pa.Table:
+def fold_block(table: pa.Table, top: pa.Table, levels: int) -> pa.Table:
     """Proof and folded root of every row of a block of leaves."""
     table = table.sort_by("pos")
-    leaves, levels = sorted_nodes(table)
-    storey = grown(leaves, levels)
+    leaves, storey = block_parents(table, levels)
     upper = [UpperStep(step["left"], step["right"]) for step in top["path"][0].as_py()]
     above = b"".join(step.siblings for step in upper)
     proofs, roots = [], []
@@ -234,7 +227,7 @@ MANIFEST = (
 
 
 def merkle_manifest(
-    docs: DataFrame, leaf: Column, changed: Column, id_column: str = "doc_id", group_column: str = "lang"
+    docs: DataFrame, leaf: Column, changed: Column, id_column: str = "doc_id", group_column: str = "lang", levels: int = LEVELS
 ) -> DataFrame:
     """Per row: ``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified``.
 
@@ -249,15 +242,15 @@ def merkle_manifest(
     )
     # a place of its own keeps many rows that are equal in all else from forming one range
     rows = written(rows.withColumn("place", F.monotonically_increasing_id()), "leaves")
-    leaves = with_block(numbered(rows, "tree", ["doc_id", "node", "changed", "place"], "numbered"))
-    low = storeys(leaves)
+    leaves = with_block(numbered(rows, "tree", ["doc_id", "node", "changed", "place"], "numbered"), levels)
+    low = storeys(leaves, levels)
     subroots = low[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "node")
-    groups = with_block(written(numbered(subroots, "tree", ["name"], "subroots"), "groups"))
-    high = storeys(groups)
+    groups = with_block(written(numbered(subroots, "tree", ["name"], "subroots"), "groups"), levels)
+    high = storeys(groups, levels)
     root = high[-1].select("tree", F.col("pos"), "node", F.array().cast(PATH).alias("path"))
     top = written(root, "root")
     root_row = top.first()  # one row, none for an empty table
-    of_groups = paths(groups, downwards(high, top))
+    of_groups = paths(groups, downwards(high, top, levels), levels)
     # every group once more, now with its path to the root, as the last storey of its own tree
     named = groups.select("pos", F.col("name").alias("tree")).join(of_groups.drop("tree"), "pos")
     last = written(
@@ -270,11 +263,11 @@ def merkle_manifest(
         ),
         "subroot-paths",
     )
-    of_tops = downwards(low, last.select("tree", "pos", F.col("subroot").alias("node"), "path"))
+    of_tops = downwards(low, last.select("tree", "pos", F.col("subroot").alias("node"), "path"), levels)
     named_roots = last.select("tree", "subroot", "root")
     of_blocks = of_tops.select("tree", F.col("pos").alias("block"), "path").join(named_roots, "tree")
-    below = leaves.groupBy("tree", "block")
-    return below.cogroup(of_blocks.groupBy("tree", "block")).applyInArrow(fold_block, MANIFEST)
+    blocks = leaves.groupBy("tree", "block").cogroup(of_blocks.groupBy("tree", "block"))
+    return blocks.applyInArrow(lambda rows, path: fold_block(rows, path, levels), MANIFEST)
 
 
 #: Every third id's row is folded with its text lower-cased.
@@ -282,7 +275,7 @@ TAMPERED = 3
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def document_manifest(docs: DataFrame) -> DataFrame:
+def document_manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """The manifest of ``doc_id, source, lang, n_chars, text`` rows, each third id with its text's A-Z lower-cased.
 
     Each null field is ``-`` in the leaf; a null id counts as empty text where the third is chosen.
@@ -290,4 +283,4 @@ def document_manifest(docs: DataFrame) -> DataFrame:
     before = [sized(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")]
     lowered = F.when(crc_mod("doc_id", TAMPERED) == 0, F.translate("text", CAPITALS, SMALL)).otherwise(F.col("text"))
     leaf, changed = (F.sha2(F.concat(*before, sized(text)).cast("binary"), 256) for text in (F.col("text"), lowered))
-    return merkle_manifest(docs, leaf, changed)
+    return merkle_manifest(docs, leaf, changed, levels=levels)

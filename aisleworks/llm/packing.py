@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 
 from aisleworks.llm.common import bounded_batches, literal_splitter, texts_of, two_columns, written
 
+#: White-space characters in a row from which a run is cut out of its text.
+LONG_SPACE_RUN = 10_000
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, task_rank long"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -53,21 +57,46 @@ class ByteTokenizer:
         self.plain = tiktoken.Encoding("plain", pat_str=words + r"|\s+", mergeable_ranks=ranks, special_tokens={})
         self.special = special
         self.split_special = literal_splitter(*special) if special else None
+        self.ranks = ranks
         self.space_run = re.compile(r"\s\s")
+        self.long_space_run = regex.compile(r"\s{%d,}" % LONG_SPACE_RUN)
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id; special ids have none."""
+        tokens = [b""] * (max([*self.ranks.values(), *self.special.values()]) + 1)
+        for token, number in self.ranks.items():
+            tokens[number] = token
+        return tokens
 
-    def _plain_ids(self, text: str) -> list[int]:
+    def _short_run_ids(self, text: str) -> list[int]:
         return (self.full if self.space_run.search(text) else self.plain).encode_ordinary(text)
 
+    def plain_ids(self, text: str) -> list[int]:
+        """Ids with special strings taken as text.
+
+        Runs of white space are cut out where they are long, as the look-ahead's stack grows with them: all of a
+        run but the character before a word is one pre-token, which the pattern without look-ahead gives too.
+        """
+        if len(text) < LONG_SPACE_RUN or not (runs := list(self.long_space_run.finditer(text))):
+            return self._short_run_ids(text)
+        out: list[int] = []
+        last = 0
+        for run in runs:
+            end = run.end() - (run.end() < len(text))
+            out += self._short_run_ids(text[last : run.start()]) + self.plain.encode_ordinary(text[run.start() : end])
+            last = end
+        return out + self._short_run_ids(text[last:])
+
     def ids(self, text: str) -> list[int]:
         if not self.split_special or not self.split_special.search(text):
-            return self._plain_ids(text)
+            return self.plain_ids(text)
         out: list[int] = []
         last = 0
         for found in self.split_special.finditer(text):
-            out += self._plain_ids(text[last : found.start()])
+            out += self.plain_ids(text[last : found.start()])
             out.append(self.special[found.group()])
             last = found.end()
-        return out + self._plain_ids(text[last:])
+        return out + self.plain_ids(text[last:])
 
 
 _TOKENIZERS: dict[str, ByteTokenizer] = {}
@@ -179,7 +208,7 @@ def pack(
 ) -> DataFrame:
     """Per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    A null or empty text is the end id alone. Repeated rows and repeated ids are packed each. A null id stays
+    A null or empty text is the end id alone; a very long one, of white space too, is cut like any other. Repeated rows and repeated ids are packed each. A null id stays
     null. An empty table gives no row. Other columns are not read. The tokenizer file must be readable at
     ``tokenizer_path`` on every executor. The pieces (numbers only) are written once to the shared folder.
     """

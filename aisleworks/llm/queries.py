@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aisleworks.llm.alignment import tokenizer_alignment
 from aisleworks.llm.common import crc_mod, ship_package, table
 from aisleworks.llm.language_id import identify
 from aisleworks.llm.merkle import document_manifest
@@ -70,6 +71,11 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return document_manifest(table(spark, folder, "documents"))
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    byte_path, piece_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return tokenizer_alignment(table(spark, folder, "documents"), byte_path, piece_path)
+
+
 def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
     found = token_file_round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     n_tokens = F.floor(F.octet_length("ids") / 4).cast("long")
@@ -99,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
     "op11_merkle": op11_merkle,
+    "op12_alignment": op12_alignment,
     "op13_token_files": op13_token_files,
 }
 QUERIES = {name: with_package(run) for name, run in QUERIES.items()}
