@@ -51,7 +51,7 @@ class FrequencyTable:
     def __init__(self, symbols: np.ndarray, frequencies: np.ndarray):
         self.symbols = symbols.astype(np.uint32)
         self.frequency = frequencies.astype(np.uint64)
-        self.bits = int(self.frequency.sum()).bit_length() - 1
+        self.bits = max(0, int(self.frequency.sum()).bit_length() - 1)
         self.below = np.cumsum(self.frequency) - self.frequency
         body = struct.pack("<II", len(self.symbols), self.bits) + self.symbols.tobytes() + self.frequency.astype("<u4").tobytes()
         self.crc = zlib.crc32(body)
@@ -60,23 +60,18 @@ class FrequencyTable:
 
     @classmethod
     def from_counts(cls, symbols: np.ndarray, counts: np.ndarray) -> FrequencyTable:
-        """Counts scaled to a power of two, every counted symbol with 1 at least."""
+        """Counts scaled to a power of two, every counted symbol with 1 at least; without symbols the table is empty."""
         order = np.argsort(symbols, kind="stable")
         symbols, counts = symbols[order], counts[order].astype(np.float64)
         bits = min(24, max(12, len(symbols).bit_length() + 4))
         exact = counts * ((1 << bits) / max(counts.sum(), 1.0))
         whole = np.maximum(1, np.floor(exact)).astype(np.int64)
         spare = (1 << bits) - int(whole.sum())
-        while spare:
-            if spare > 0:
-                share = np.argsort(whole - exact, kind="stable")[:spare]
-                whole[share] += 1
-                spare -= len(share)
-            else:
-                large = np.argsort(-whole, kind="stable")
-                large = large[whole[large] > 1][:-spare]
-                whole[large] -= 1
-                spare += len(large)
+        if spare > 0 and len(whole):  # rounding took less than one from each
+            whole[np.argsort(whole - exact, kind="stable")[:spare]] += 1
+        elif spare < 0:  # what rare symbols were given is taken from frequent ones, in proportion to what they can give
+            given = np.cumsum(whole - 1)
+            whole -= np.diff(np.concatenate([[0], given * -spare // given[-1]]))
         return cls(symbols, whole)
 
     @classmethod
