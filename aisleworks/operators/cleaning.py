@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from aisleworks import schemas
 from aisleworks.functions import clean as c
+from aisleworks.sources.exports import MALFORMED
 
 REASON = "reject_reason"
 
@@ -83,6 +84,8 @@ def _run(
     carry: list[str] | None,
 ) -> Cleaned:
     """``carry`` names raw columns, such as the ingest order, that valid rows take along."""
+    if MALFORMED in raw.columns:
+        rules = [("row does not have the header's fields", F.col(MALFORMED).isNull()), *rules]
     keeps, reason = _judge(rules)
     null = F.lit(None)
     typed = [
@@ -237,7 +240,8 @@ def festival_products(raw: DataFrame, carry: list[str] | None = None) -> DataFra
     """The festival export's two comma lists as ranked (festival, product) rows."""
     r = _Raw(raw)
     ids, names = c.list_items(r["top_product_ids"]), c.list_items(r["top_product_names"])
-    lists = raw.where(r["festival_id"].rlike(c.FESTIVAL_KEY)).select(
+    whole = raw.where(F.col(MALFORMED).isNull()) if MALFORMED in raw.columns else raw
+    lists = whole.where(r["festival_id"].rlike(c.FESTIVAL_KEY)).select(
         F.trim("festival_id").alias("festival_id"), ids.alias("left"), names.alias("right"), *(carry or [])
     )
     pairs = lists.select("festival_id", *(carry or []), F.posexplode(c.paired(F.col("left"), F.col("right"))).alias("pos", "pair"))

@@ -50,7 +50,7 @@ def _history(order: list) -> Window:
     return Window.partitionBy(*KEY).orderBy(*order)
 
 
-def feature_table(
+def selling_days(
     tx: DataFrame,
     date: DataFrame,
     product: DataFrame,
@@ -58,7 +58,7 @@ def feature_table(
     store: DataFrame,
     external: DataFrame,
 ) -> DataFrame:
-    """One row per product, store and selling day, with row-based lags and rolling means."""
+    """One row per product, store and selling day, with that day's calendar and external factors."""
     grain = (
         sales.completed_sales(tx)
         .groupBy(*KEY, "date_id")
@@ -76,7 +76,7 @@ def feature_table(
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     copies = F.coalesce("copies", F.lit(1))
-    rows = (
+    return (
         grain.join(calendar, "date_id")
         .join(goods, "product_id")
         .join(regions, "store_id")
@@ -101,16 +101,32 @@ def feature_table(
             F.coalesce("is_marriage_season", F.lit(False)).cast("int").alias("is_marriage_season"),
         )
     )
+
+
+#: What lags and rolling means look back over: a key's earlier rows, or calendar days, on which nothing may have been sold.
+ROWS, DAYS = "rows", "days"
+
+
+def with_history(rows: DataFrame, by: str = ROWS) -> DataFrame:
+    """Selling days with their lags and rolling means.
+
+    By rows, lag 7 is the seventh selling day back. By days, it is what was sold seven days earlier, none if nothing was, and
+    a mean is of the days in the range on which something was sold.
+    """
     # The factor columns only settle the order of rows that share a day, so reruns agree.
     past = _history(["full_date", *_FACTORS])
     quantity = F.col(TARGET).cast("double")
     zero = F.lit(0.0)
-    lags = {name: F.coalesce(F.lag(quantity, n).over(past), zero) for name, n in _LAGS.items()}
-    means = {
-        name: F.coalesce(F.avg(quantity).over(past.rowsBetween(-n, -1)), zero)
-        for name, n in _ROLLING.items()
-    }
-    return rows.withColumns({**lags, **means}).withColumns(
+    if by == ROWS:
+        lags = {name: F.lag(quantity, n).over(past) for name, n in _LAGS.items()}
+        means = {name: F.avg(quantity).over(past.rowsBetween(-n, -1)) for name, n in _ROLLING.items()}
+    elif by == DAYS:
+        near = _history([F.unix_date("full_date")])
+        lags = {name: F.sum(quantity).over(near.rangeBetween(-n, -n)) for name, n in _LAGS.items()}
+        means = {name: F.avg(quantity).over(near.rangeBetween(-n, -1)) for name, n in _ROLLING.items()}
+    else:
+        raise ValueError(f"by must be {ROWS} or {DAYS}")
+    return rows.withColumns({name: F.coalesce(value, zero) for name, value in {**lags, **means}.items()}).withColumns(
         {
             "day_of_week": coded(F.col("day_name"), DAY_CODES),
             "season_code": coded(F.col("season"), SEASON_CODES),
@@ -118,6 +134,42 @@ def feature_table(
     )
 
 
+def feature_table(
+    tx: DataFrame,
+    date: DataFrame,
+    product: DataFrame,
+    category: DataFrame,
+    store: DataFrame,
+    external: DataFrame,
+    by: str = ROWS,
+) -> DataFrame:
+    """One row per product, store and selling day, with lags and rolling means over rows or calendar days."""
+    return with_history(selling_days(tx, date, product, category, store, external), by)
+
+
+def features_after(features: DataFrame, days: DataFrame, changed: DataFrame) -> DataFrame:
+    """A row-based feature table brought up to date with changed days, instead of built anew.
+
+    ``days`` holds the changed days' ids in ``full_date``, all of them; ``changed`` the selling days that those dates now
+    have, late sales and returns included. Of a key, rows from its first changed day on are computed again, with the 30 rows
+    before that day as their past; keys without a change, and rows before it, are taken as they are.
+    """
+    day_of = days.select("full_date").distinct()
+    plain = [c for c in changed.columns if c in features.columns]
+    # a key is concerned by what it sells on those days now and by what it sold on them before
+    sold = changed.select(*KEY, "full_date").unionByName(features.join(day_of, "full_date", "left_semi").select(*KEY, "full_date"))
+    first = sold.groupBy(*KEY).agg(F.min("full_date").alias("_first"))
+    known = features.join(first, KEY, "left")
+    before = F.col("_first").isNull() | (F.col("full_date") < F.col("_first"))
+    recent = _history([F.desc(c) for c in ["full_date", *_FACTORS]])
+    context = known.where(F.col("_first").isNotNull() & before).withColumn("_age", F.row_number().over(recent))
+    context = context.where(F.col("_age") <= max(*_LAGS.values(), *_ROLLING.values())).select(*plain)
+    later = known.where(F.col("_first").isNotNull() & ~before).join(day_of, "full_date", "left_anti").select(*plain)
+    again = with_history(context.unionByName(later).unionByName(changed.select(*plain))).join(first, KEY)
+    again = again.where(F.col("full_date") >= F.col("_first")).select(features.columns)
+    return known.where(before).select(features.columns).unionByName(again)
+
+
 def feature_vector(features: DataFrame, output: str = "features") -> DataFrame:
     """The model inputs assembled in their fixed order; rows with a missing input are skipped."""
     assembler = VectorAssembler(inputCols=FEATURES, outputCol=output, handleInvalid="skip")

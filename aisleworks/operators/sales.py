@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aisleworks import schemas
 from aisleworks.functions.rounding import MONEY
 
+#: Folder column of facts that lie in a folder a month.
+MONTH = schemas.PARTITIONED["transaction"][0]
+
 
 def completed_sales(tx: DataFrame) -> DataFrame:
     """Sales that were completed and not returned; rows with an unknown flag or status are out."""
@@ -43,11 +47,15 @@ def sales_since(tx: DataFrame, date: DataFrame, cutoff: Column) -> DataFrame:
     """Completed sales on or after ``cutoff``, with ``full_date``.
 
     The lowest date id of the window is implied by the join; stated as a filter it
-    reaches the fact scan, where it prunes files and row groups.
+    reaches the fact scan, where it prunes files and row groups. Facts dealt to folders
+    by month are also pruned by folder, once the subquery has run and before any file is opened.
     """
     window = date.where(F.col("full_date") >= cutoff).select("date_id", "full_date")
     first_id = window.agg(F.min("date_id")).scalar()
-    return completed_sales(tx).where(F.col("date_id") >= first_id).join(window, "date_id")
+    sold = completed_sales(tx).where(F.col("date_id") >= first_id)
+    if MONTH in tx.columns:
+        sold = sold.where(F.col(MONTH) >= window.agg(F.floor(F.min("date_id") / 100).cast("int")).scalar())
+    return sold.join(window, "date_id")
 
 
 def recent_sales(tx: DataFrame, date: DataFrame, days: int) -> DataFrame:

@@ -12,6 +12,7 @@ from aisleworks.operators import alerts, decisions, orders
 from aisleworks.plans.presentation import present
 from aisleworks.plans.reports import within
 from aisleworks.session import materialize, release
+from aisleworks.sources.outbox import post
 from aisleworks.sources.tables import Tables
 
 
@@ -67,22 +68,38 @@ def restock_notify(
     stores: list | None = None,
     as_of: dt.date | str | None = None,
     dry_run: bool = True,
+    outbox: str | None = None,
     **letter,
 ) -> RestockNotice:
     """A restock run plus its routed alerts and supplier messages.
 
-    ``letter`` takes the ``sender`` and ``signature`` printed in the messages.
+    ``letter`` takes the ``sender`` and ``signature`` printed in the messages. Unless it is a dry run, the alerts are
+    written to the table at ``outbox``, each once.
     """
     run = restock_run(tables, forecast, stores, as_of=as_of)
-    routed = alerts.route_alerts(alerts.restock_alerts(run.lines, as_of), dry_run)
+    routed = _posted(alerts.route_alerts(alerts.restock_alerts(run.lines, as_of), dry_run), dry_run, outbox)
     messages = orders.supplier_messages(run.lines, as_of, dry_run=dry_run, **letter)
     return RestockNotice(run, routed, present("supplier_orders", messages))
 
 
+def _posted(routed: DataFrame, dry_run: bool, outbox: str | None) -> DataFrame:
+    if not dry_run:
+        if outbox is None:
+            raise ValueError("name the outbox that alerts are to be written to, or make it a dry run")
+        post(routed, outbox)
+    return routed
+
+
 def expiry_notify(
-    tables: Tables, days_window: int = 30, as_of: dt.date | str | None = None, dry_run: bool = True
+    tables: Tables,
+    days_window: int = 30,
+    as_of: dt.date | str | None = None,
+    dry_run: bool = True,
+    outbox: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Expiring items and the routed alerts about them."""
+    """Expiring items and the routed alerts about them, which are written to ``outbox`` unless it is a dry run."""
     t = tables
     items = decisions.expiry_alerts(t.inventory, t.product, t.category, t.store, as_of, days_window)
-    return present("expiry_alerts", items), alerts.route_alerts(alerts.expiry_alert_rollup(items, as_of), dry_run)
+    return present("expiry_alerts", items), _posted(
+        alerts.route_alerts(alerts.expiry_alert_rollup(items, as_of), dry_run), dry_run, outbox
+    )

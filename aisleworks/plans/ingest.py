@@ -10,29 +10,38 @@ from aisleworks.operators import cleaning
 from aisleworks.session import materialize, materialized, release
 from aisleworks.sources import snapshots
 from aisleworks.sources.exports import INGEST_ORDER, read_export
+from aisleworks.sources.tables import keyed_table, overwrite_rule
 
-#: Key buckets of an overwritten table; a batch rewrites those it touches.
-BUCKETS = 64
+#: Batches set aside in an overwritten table before they are folded into its files.
+COMPACT_EVERY = 16
 
 
-def merge_into(spark: SparkSession, table: str, path: str, batch: DataFrame, order: str | Column, buckets: int = BUCKETS) -> None:
-    """The table's own conflict rule: overwrite for dates and transactions, keep for the rest."""
-    keys, schema = schemas.KEYS[table], schemas.struct(table)
+def merge_into(
+    spark: SparkSession,
+    table: str,
+    path: str,
+    batch: DataFrame,
+    order: str | Column,
+    version: int | None = None,
+    compact_every: int = COMPACT_EVERY,
+) -> None:
+    """The table's own conflict rule: overwrite for dates and transactions, keep for the rest.
+
+    A numbered batch of an overwritten table is set aside and folded into the files with others, every ``compact_every``
+    batches; readers (``read_tables``) merge it in until then. Small files of the other tables are merged as they gather.
+    """
+    target = keyed_table(spark, table, path)
     if table not in schemas.OVERWRITTEN:
-        snapshots.append_new(spark, path, schema, batch, keys, order)
+        snapshots.append_new(target, batch, order)
+        target.merge_small_files()
+        return
+    now, rule = F.current_timestamp().cast("timestamp_ntz"), overwrite_rule(table)
+    if version is None:
+        snapshots.overwrite_touched(target, batch, order, rule, now)
         return
-    snapshots.overwrite_touched(
-        spark,
-        path,
-        schema,
-        batch,
-        keys,
-        order,
-        buckets,
-        keep=schemas.OVERWRITTEN[table],
-        touched="updated_at" if "updated_at" in schema.names else None,
-        now=F.current_timestamp().cast("timestamp_ntz"),
-    )
+    snapshots.add_delta(target, batch, order, version, now)
+    if len(snapshots.deltas(target)) >= compact_every:
+        snapshots.compact(target, rule)
 
 
 def ingest(spark: SparkSession, table: str, export: str, target: str) -> DataFrame:
@@ -60,4 +69,4 @@ def ingest_festival_products(spark: SparkSession, export: str, target: str) -> N
         merge_into(spark, "festival_products", target, written, INGEST_ORDER)
 
 
-__all__ = ["BUCKETS", "ingest", "ingest_festival_products", "merge_into", "release"]
+__all__ = ["ingest", "ingest_festival_products", "merge_into", "release"]

@@ -104,6 +104,9 @@ KEYS: dict[str, list[str]] = {
 #: Tables whose existing rows a new batch overwrites, and the columns it may not touch.
 OVERWRITTEN: dict[str, list[str]] = {"date": ["date_id"], "transaction": ["created_at"]}
 
+#: Folder column of tables whose files are dealt to folders, and the expression that gives it.
+PARTITIONED: dict[str, tuple[str, str]] = {"transaction": ("sale_month", "CAST(FLOOR(date_id / 100) AS INT)")}
+
 
 def struct(table: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[table])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -23,8 +24,11 @@ from aisleworks.operators import (
     taste,
     trends,
 )
-from aisleworks.sources import snapshots
-from driverbind.exports import export_frame
+from aisleworks.session import shared_folder
+from aisleworks.sources import outbox, snapshots
+from aisleworks.sources.exports import MALFORMED, parse_lines
+from aisleworks.sources.keyed_files import KeyedTable
+from driverbind.exports import RAGGED_HEADER, export_frame, ragged_lines
 from driverbind.roles import AS_OF, FESTIVAL_AS_OF, STOCK_AS_OF, Roles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -358,6 +362,21 @@ def alert_outbox(r: Roles):
     return alerts.alert_outbox(alerts.route_alerts(alerts.expiry_alert_rollup(_expiring(r), as_of=STOCK_AS_OF)))
 
 
+@query
+def posted_alerts(r: Roles):
+    """The outbox after two runs of a day, of which the second adds nothing, and the delivery of what went by telegram."""
+    path = _scratch(r, "outbox")
+    routed = alerts.route_alerts(alerts.expiry_alert_rollup(_expiring(r), as_of=STOCK_AS_OF), dry_run=False)
+    for _ in range(2):
+        outbox.post(routed, path)
+    at = F.lit("2026-01-01 08:00:00").cast("timestamp_ntz").alias("attempted_at")
+    tried = outbox.due(r.spark, path).where("channel IN ('telegram', 'whatsapp')")
+    tried = tried.select("alert_key", (F.col("channel") == "telegram").alias("delivered"), at)
+    for _ in range(2):  # an outcome reported again is not another attempt
+        outbox.record_deliveries(tried, path)
+    return outbox.read_outbox(r.spark, path)
+
+
 @query
 def supplier_orders(r: Roles):
     return orders.supplier_orders(_orders(r))
@@ -410,19 +429,51 @@ def rejected_rows(r: Roles):
 
 
 @query
-def insert_if_absent(r: Roles):
-    """Customers seen in orders join the customer table; orders still open bring new ids."""
+def ragged_rows(r: Roles):
+    """Brand lines of which some have too many fields or too few: typed ones, and rejects with their line."""
+    cleaned = cleaning.clean_brand(parse_lines(ragged_lines(r.spark, r.folder), RAGGED_HEADER))
+    nothing = F.lit(None).cast("string")
+    typed = cleaned.valid.select(F.col("brand_id").cast("string"), "brand_name", nothing.alias(cleaning.REASON), nothing.alias("line"))
+    return typed.unionByName(cleaned.rejects.select("brand_id", "brand_name", cleaning.REASON, F.col(MALFORMED).alias("line")))
+
+
+def _scratch(r: Roles, label: str) -> str:
+    return f"{shared_folder(r.spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _customers(r: Roles) -> tuple[DataFrame, DataFrame]:
+    """The customer table and a batch of ids seen in orders, of which those of open orders are new."""
     current = r.raw("customer").select("c_custkey", F.col("c_name").alias("name"))
     key = F.col("o_custkey") + F.when(F.col("o_orderstatus") == "P", 1000000000).otherwise(0)
     batch = r.raw("orders").select(
         key.alias("c_custkey"), F.concat(F.lit("order "), "o_orderkey").alias("name"), "o_orderkey"
     )
-    return snapshots.insert_if_absent(current, batch, ["c_custkey"], order="o_orderkey")
+    return current, batch
 
 
 @query
-def upsert(r: Roles):
-    """Line totals overwrite their orders' amounts; returned lines come in as entries of their own."""
+def insert_if_absent(r: Roles):
+    """Customers seen in orders join the customer table; orders still open bring new ids."""
+    return snapshots.insert_if_absent(*_customers(r), ["c_custkey"], order="o_orderkey")
+
+
+@query
+def insert_in_place(r: Roles):
+    """The same in files, the batch in two parts and the second part twice."""
+    current, batch = _customers(r)
+    table = KeyedTable(r.spark, _scratch(r, "customers"), current.schema, ("c_custkey",))
+    median = batch.agg(F.percentile_approx("o_orderkey", 0.5)).scalar()
+    early, late = batch.where(F.col("o_orderkey") <= median), batch.where(F.col("o_orderkey") > median)
+    for part in (current.withColumn("o_orderkey", F.lit(0)), early, late, late):
+        snapshots.append_new(table, part, "o_orderkey")
+    return table.read(table.data_files())
+
+
+ENTRY_RULE = snapshots.Rule(["created_at"], "updated_at")
+
+
+def _entries(r: Roles) -> tuple[DataFrame, DataFrame]:
+    """Orders as entries, and a batch of their line totals with returned lines as entries of their own."""
     day = F.col("o_orderdate").cast("date")
     current = r.raw("orders").select(
         F.col("o_orderkey").alias("entry"),
@@ -439,6 +490,44 @@ def upsert(r: Roles):
         latest.alias("created_at"),
         latest.alias("updated_at"),
     )
-    return snapshots.upsert(
-        current, batch, ["entry"], F.col("amount"), keep=["created_at"], touched="updated_at", now=F.lit("2026-01-01").cast("date")
-    )
+    return current, batch
+
+
+@query
+def upsert(r: Roles):
+    """Line totals overwrite their orders' amounts; returned lines come in as entries of their own."""
+    now = F.lit("2026-01-01").cast("date")
+    return snapshots.upsert(*_entries(r), ["entry"], F.col("amount"), ENTRY_RULE.keep, ENTRY_RULE.touched, now)
+
+
+def _entry_table(r: Roles, current: DataFrame) -> KeyedTable:
+    month = ("entry_month", "YEAR(created_at) * 100 + MONTH(created_at)")
+    table = KeyedTable(r.spark, _scratch(r, "entries"), current.schema, ("entry",), month)
+    table.append(current)
+    return table
+
+
+@query
+def upsert_in_place(r: Roles):
+    """The same in files that lie in a folder a month, the batch twice."""
+    current, batch = _entries(r)
+    table = _entry_table(r, current)
+    for _ in range(2):
+        seen = batch.where("entry >= 0")  # then entries of their own, which a second time would touch
+        snapshots.overwrite_touched(table, seen, F.col("amount"), ENTRY_RULE, F.lit("2026-01-01").cast("date"))
+    snapshots.overwrite_touched(table, batch.where("entry < 0"), F.col("amount"), ENTRY_RULE, F.lit("2026-01-01").cast("date"))
+    return table.read(table.data_files())
+
+
+@query
+def upsert_by_deltas(r: Roles):
+    """The same with the batch set aside in three parts: two folded in, the third merged by the reader."""
+    current, batch = _entries(r)
+    table = _entry_table(r, current)
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+    for number in range(3):
+        part = batch.where(F.pmod(F.xxhash64("entry"), F.lit(3)) == number)
+        snapshots.add_delta(table, part, F.col("amount"), number, now)
+        if number == 1:
+            snapshots.compact(table, ENTRY_RULE)
+    return snapshots.read_merged(table, ENTRY_RULE)

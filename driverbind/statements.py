@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driverbind.exports import EXPORTS, export_sql
+from driverbind.exports import EXPORTS, RAGGED_LINE, export_sql
 from driverbind.oracle import grouped, half_even, half_up, with_roles
 from driverbind.roles import AS_OF, FESTIVAL_AS_OF, STOCK_AS_OF
 
@@ -486,6 +486,14 @@ statement("route_alerts", f"""
 statement("alert_outbox", f"""
     SELECT {ALERT}, FALSE AS dispatched, TRUE AS dry_run, unnest(string_split({CHANNELS}, ',')) AS channel FROM e_alerts""")
 
+statement("posted_alerts", f"""
+    SELECT sha256(concat_ws('', length(alert_type) || ':' || alert_type, length(priority) || ':' || priority, '-', '-',
+               '10:{STOCK_AS_OF}', length(channel) || ':' || channel)) AS alert_key,
+           {ALERT}, channel, CASE channel WHEN 'telegram' THEN 'sent' ELSE 'pending' END AS state,
+           CASE WHEN channel IN ('telegram', 'whatsapp') THEN 1 ELSE 0 END AS attempts,
+           CASE WHEN channel IN ('telegram', 'whatsapp') THEN '2026-01-01 08:00:00' END AS attempted_at
+    FROM (SELECT *, unnest(string_split({CHANNELS}, ',')) AS channel FROM e_alerts)""")
+
 EXTRA["sup_ord"] = f"""
     SELECT supplier_id, MAX(supplier_name) AS supplier_name, MAX(supplier_phone) AS supplier_phone,
            COUNT(*) AS total_items, {dbl(CENTS)} AS total_value, MIN(order_deadline) AS earliest_deadline,
@@ -712,19 +720,27 @@ def _rejects(table: str) -> str:
 
 statement("rejected_rows", " UNION ALL ".join(_rejects(table) for table in JOBS))
 
-statement("insert_if_absent", """
+statement("ragged_rows", f"""
+    SELECT '' || p_partkey AS brand_id, CASE WHEN p_partkey % 5 = 2 THEN p_brand || ', Ltd' ELSE p_brand END AS brand_name,
+           CASE WHEN p_partkey % 5 < 2 THEN 'row does not have the header''s fields' END AS reject_reason,
+           CASE WHEN p_partkey % 5 < 2 THEN value END AS line
+    FROM (SELECT *, {RAGGED_LINE} AS value FROM part)""")
+
+INSERTED = """
     SELECT c_custkey, c_name AS name FROM customer
     UNION ALL
     SELECT k, 'order ' || MIN(o_orderkey)
     FROM (SELECT o_custkey + CASE WHEN o_orderstatus = 'P' THEN 1000000000 ELSE 0 END AS k, o_orderkey FROM orders)
-    WHERE k NOT IN (SELECT c_custkey FROM customer) GROUP BY k""")
+    WHERE k NOT IN (SELECT c_custkey FROM customer) GROUP BY k"""
+statement("insert_if_absent", INSERTED)
+statement("insert_in_place", INSERTED)
 
 EXTRA["merge_batch"] = """
     SELECT CASE WHEN l_returnflag = 'R' THEN -l_orderkey - 1 ELSE l_orderkey END AS entry,
            SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS amount, MAX(CASE WHEN l_linestatus = 'F' THEN 'F' END) AS status,
            CAST(MAX(l_shipdate) AS DATE) AS day
     FROM lineitem GROUP BY 1"""
-statement("upsert", """
+UPSERTED = """
     SELECT o_orderkey AS entry, CAST(CASE WHEN b.entry IS NOT NULL THEN b.amount ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS DOUBLE) AS amount,
            CASE WHEN b.entry IS NOT NULL THEN b.status ELSE o_orderstatus END AS status,
            CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS created_at,
@@ -732,4 +748,6 @@ statement("upsert", """
     FROM orders LEFT JOIN merge_batch b ON o_orderkey = b.entry
     UNION ALL
     SELECT entry, CAST(amount AS DOUBLE), status, CAST(day AS VARCHAR), CAST(day AS VARCHAR) FROM merge_batch
-    WHERE entry NOT IN (SELECT o_orderkey FROM orders)""")
+    WHERE entry NOT IN (SELECT o_orderkey FROM orders)"""
+for _name in ("upsert", "upsert_in_place", "upsert_by_deltas"):
+    statement(_name, UPSERTED)
