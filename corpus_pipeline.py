@@ -13,65 +13,96 @@ from aisleworks.llm.ngram_join import near_copies
 from aisleworks.llm.packing import pack
 from aisleworks.llm.toxicity import toxicity
 
-#: No SQL: language models, a trained classifier and tokenizers take part. Tests hold the stages against plain versions.
+#: No SQL: language models, a trained classifier and tokenizers take part. Tests check what each stage drops and keeps.
 ORACLE_SQL = None
 
 
+#: Names for what a stage adds while it works; a document's columns are put aside in one column of that kind.
+ROW, KEY, LISTED = "_pipeline_row", "_pipeline_key", "_pipeline_listed"
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """The documents with ``row_key``, a hash of id and text: what a stage decides by text is the same for equal keys."""
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    """Each document as one value, with its id, text and a hash of both: what a stage decides by text is the same for equal keys.
+
+    No other name is left in the frame, so none of the documents' columns can clash with those of a stage.
+    """
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW),
+        "doc_id",
+        "text",
+        *([F.col("lang")] if "lang" in docs.columns else []),
+        *([F.col("source")] if "source" in docs.columns else []),
+        F.xxhash64("doc_id", "text").alias(KEY),
+    )
 
 
-def without(docs: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` is not among ``keys``; null keys take nothing away."""
-    gone = small_or_shuffled(written(keys.toDF("gone").where("gone IS NOT NULL").distinct(), "gone"))
-    return docs.join(gone, F.col(column) == F.col("gone"), "left_anti")
+    listed = small_or_shuffled(written(keys.toDF(LISTED).where(F.col(LISTED).isNotNull()).distinct(), "gone"))
+    return rows.join(listed, F.col(column) == F.col(LISTED), "left_anti")
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    return rows.select(f"{ROW}.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Drops texts without letters and texts that no learnt language accounts for."""
+    """Drops texts without letters and texts that no learnt language accounts for.
+
+    Null, empty and letterless texts go; rows that are equal in id and text share their fate; texts of any length count whole.
+    An empty table stays empty. Columns of any name are returned as they came.
+    """
     rows = keyed(docs)
-    found = identify(rows, F.lit(True), id_column="row_key")
-    return without(rows, found.where("rejected").select("doc_id"), "row_key").select(docs.columns)
+    found = identify(rows, F.lit(True), id_column=KEY)
+    return documents(without(rows, found.where("rejected").select("doc_id"), KEY))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Drops texts that score as toxic."""
+    """Drops texts that score as toxic.
+
+    A null or empty text scores as one without listed words; rows that are equal in id and text share their fate; texts of
+    any length count whole. Without labels nothing goes. Columns of any name are returned as they came.
+    """
     rows = keyed(docs)
-    found = toxicity(rows, table(spark, folder, "labels"), result_column="row_key")
-    return without(rows, found.where("predicted = 1").select("doc_id"), "row_key").select(docs.columns)
+    found = toxicity(rows, table(spark, folder, "labels"), result_column=KEY)
+    return documents(without(rows, found.where("predicted = 1").select("doc_id"), KEY))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Keeps the document with the smallest id of each group; of rows with equal ids the one with the smallest key.
 
-    Rows with a null id have no group and stay.
+    Rows with a null id have no group and stay. Columns of any name are returned as they came.
     """
-    copies = near_copies(docs)
-    kept = without(docs, copies.where("doc_id <> component_id").select("doc_id"), "doc_id")
-    rows = keyed(kept)
-    repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = written(repeated.select("doc_id"), "repeated")
+    rows = keyed(docs)
+    copies = near_copies(rows.select("doc_id", "text"))
+    kept = without(rows, copies.where("doc_id <> component_id").select("doc_id"), "doc_id")
+    counted = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias(KEY)).where(F.col(KEY) > 1)
+    repeated = written(counted.select("doc_id"), "repeated")
     once = without(kept, repeated, "doc_id")
-    again = small_or_shuffled(repeated.select(F.col("doc_id").alias("again")))
-    several = rows.join(again, F.col("doc_id") == F.col("again"), "left_semi")
-    first = several.groupBy("doc_id").agg(*[F.min_by(c, "row_key").alias(c) for c in docs.columns if c != "doc_id"])
-    return once.select(docs.columns).unionByName(first.select(docs.columns))
+    several = kept.join(small_or_shuffled(repeated.toDF(LISTED)), F.col("doc_id") == F.col(LISTED), "left_semi")
+    first = several.groupBy("doc_id").agg(F.min_by(ROW, KEY).alias(ROW))
+    return documents(once.select(ROW).unionByName(first.select(ROW)))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Each document as often as the mix takes it, in whole documents (the one at a source's cut if half of it is taken)."""
+    """Each document as often as the mix takes it, in whole documents (the one at a source's cut if half of it is taken).
+
+    Documents without words are not in the mix. Columns of any name are returned as they came.
+    """
     rows = keyed(docs)
-    taken = mix_sources(rows, id_column="row_key")
+    taken = mix_sources(rows, id_column=KEY)
     share = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)
-    times = taken.groupBy(F.col("doc_id").alias("key")).agg(F.round(F.avg(share)).cast("int").alias("times"))
+    times = taken.groupBy(F.col("doc_id").alias(LISTED)).agg(F.round(F.avg(share)).cast("int").alias("times"))
     times = small_or_shuffled(written(times.where("times > 0"), "times"))
-    repeated = rows.join(times, F.col("row_key") == F.col("key"))
-    return repeated.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    repeated = rows.join(times, F.col(KEY) == F.col(LISTED))
+    return documents(repeated.select(ROW, F.explode(F.sequence(F.lit(1), F.col("times")))))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Packed pieces of every document that the mix repeats or takes once."""
+    """Packed pieces of every document that the mix repeats or takes once; other columns are not read.
+
+    A null or empty text would be the end id alone; texts of any length are cut.
+    """
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
