@@ -50,6 +50,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Characters up to which a chunk between white space is kept by a worker's table of chunks already seen. Longer ones, such
+#: as paragraphs of a script without spaces or encoded data, hardly come twice; so a table's bytes are bounded by its entries.
+KEPT_CHARACTERS = 48
+
 #: Rows of a few numbers up to which a table is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 

@@ -28,10 +28,13 @@ from aisleworks.llm.common import bounded_batches, mix64, texts_of, written
 ORDER = 5
 START, END = 1, 2
 UNDETERMINED = "und"
-#: n-grams of the full order up to which a language's model is broadcast; with more, all models stay tables and are joined.
-MOST_GRAMS = 2_000_000
+#: n-grams of the full order up to which models are broadcast, of a language and of all; with more, all models stay tables
+#: and are joined.
+MOST_GRAMS, MOST_IN_ALL = 2_000_000, 8_000_000
 #: Distinct chunks a learning task holds before it emits counts, and chunks whose scores a worker keeps.
 HELD_CHUNKS, KEPT_CHUNKS = 400_000, 400_000
+#: Characters of kept chunks in all, after which they are forgotten too.
+KEPT_CHARACTERS_IN_ALL = 16 << 20
 #: Chunks whose symbols are laid out in arrays at once.
 SLICE = 25_000
 #: Quantile of the learning texts' cross-entropy that counts as their bulk.
@@ -270,6 +273,7 @@ class ChunkScorer:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.characters = 0
         self.rows: list[np.ndarray] = []
         self.table = np.zeros((0, len(self.models) + 1))
 
@@ -282,13 +286,14 @@ class ChunkScorer:
                 values = log_probabilities(symbols[first], model)[inverse]
                 new[:, k] = np.bincount(owner, weights=values, minlength=len(chunks))
             new[:, -1] = np.bincount(owner, minlength=len(chunks))
+        self.characters += sum(map(len, chunks))
         self.place.update(zip(chunks, range(len(self.table), len(self.table) + len(chunks)), strict=True))
         self.table = np.concatenate([self.table, new])
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Per text the cross-entropy under each model, and the number of symbols in the last column."""
         cut = [text.split() for text in texts]
-        if len(self.place) > KEPT_CHUNKS:
+        if len(self.place) > KEPT_CHUNKS or self.characters > KEPT_CHARACTERS_IN_ALL:
             self.clear()
         new = list(set().union(*cut) - self.place.keys())
         for start in range(0, len(new), SLICE):
@@ -401,7 +406,8 @@ def identify(
     )
     counts = written(gram_counts(rows.where("learns AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")), "grams")
     kinds = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
-    if (kinds.agg(F.max("kinds")).first()[0] or 0) > MOST_GRAMS:
+    most_kinds, all_kinds = kinds.agg(F.coalesce(F.max("kinds"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    if most_kinds > MOST_GRAMS or all_kinds > MOST_IN_ALL:
         tables = ModelTables(counts)
         alphabets = tables.alphabets
         values = written(scored_by_joins(rows, tables), "entropies")

@@ -1,8 +1,9 @@
 """Text quality by weak labels.
 
 Method: overlapping heuristics (shares of capitals, of symbols, of repeated words and lines, word lengths and more) vote
-good or bad or not at all, at limits read from labelled rows. Expectation-maximisation estimates their accuracies without
-those labels, and the posterior labels train a linear scorer on hashed word shapes and their binned shares of the text.
+good or bad or not at all, at limits read from labelled rows. Expectation-maximisation estimates their accuracies, and that
+of the given labels, which start it and vote like the others; the posterior labels train a linear scorer on hashed
+word shapes and their binned shares of the text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aisleworks.llm.common import bounded_batches, texts_of, two_columns, written
+from aisleworks.llm.common import KEPT_CHARACTERS, bounded_batches, texts_of, two_columns, written
 from aisleworks.llm.weak_labels import Hits, fitted_scorer, learning_rows
 
 STATISTICS = ("capitals", "symbols", "digits", "symbol words", "repeats", "distinct", "length", "lines", "words")
@@ -47,7 +48,9 @@ class Shapes:
             letters = sum(map(str.isalpha, chunk))
             capitals = sum(map(str.isupper, chunk))
             digits = sum(map(str.isdigit, chunk))
-            found = self.known[chunk] = (shape(chunk), letters, capitals, digits, len(chunk) - letters - digits)
+            found = (shape(chunk), letters, capitals, digits, len(chunk) - letters - digits)
+            if len(chunk) <= KEPT_CHARACTERS:
+                self.known[chunk] = found
         return found
 
 

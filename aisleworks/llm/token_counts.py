@@ -12,19 +12,19 @@ in a table of bounded size per worker; the arrays only hold chunks not in it.
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
-from aisleworks.llm.common import bounded_batches, literal_splitter, texts_of, two_columns
+from aisleworks.llm.common import KEPT_CHARACTERS, bounded_batches, literal_splitter, texts_of, two_columns
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Chunks whose counts a worker keeps; the table is emptied when it is full.
-KEPT_CHUNKS = 1_200_000
+KEPT_CHUNKS = 1_000_000
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -60,11 +60,18 @@ class MergeTable:
         self.special = [t["content"] for t in spec["added_tokens"]]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
+        self.library = Tokenizer.from_file(path)
+        self.byte_of = {symbol: byte for byte, symbol in symbols.items()}
 
     def pre_tokens(self, chunk: str) -> list[bytes]:
-        """Pre-tokens of a chunk without white space: composed, lower-cased by character, cut by the pattern."""
-        lowered = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return [word.encode("utf-8") for word in self.words.findall(lowered)]
+        """Pre-tokens of a chunk without white space: composed, lower-cased by character, cut by the pattern.
+
+        Beyond ASCII the library's own tables of letters and cases are asked, which differ from Python's for newer characters.
+        """
+        if chunk.isascii():
+            return [word.encode("ascii") for word in self.words.findall(chunk.lower())]
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+        return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in pieces]
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Symbols left of each pre-token when all merges are done."""
@@ -152,9 +159,14 @@ class ChunkCounter:
                 cut.append(self._chunks(text))
         if len(self.kept) > KEPT_CHUNKS:
             self.kept.clear()
-        self._learn(set().union(*cut) - self.kept.keys())
+        fresh = set().union(*cut) - self.kept.keys()
+        self._learn(fresh)
         look = self.kept.__getitem__
-        return [sum(map(look, chunks)) + more for chunks, more in zip(cut, special, strict=True)]
+        totals = [sum(map(look, chunks)) + more for chunks, more in zip(cut, special, strict=True)]
+        for chunk in fresh:
+            if len(chunk) > KEPT_CHARACTERS:
+                del self.kept[chunk]
+        return totals
 
 
 _COUNTERS: dict[str, ChunkCounter] = {}

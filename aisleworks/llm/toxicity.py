@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aisleworks.llm.common import bounded_batches, crc_mod, texts_of, two_columns, written
+from aisleworks.llm.common import KEPT_CHARACTERS, bounded_batches, crc_mod, texts_of, two_columns, written
 from aisleworks.llm.weak_labels import Hits, fitted_scorer, learning_rows
 
 #: Share of toxic rows from which a feature is in a lexicon, and voters that each kind of feature is dealt to.
@@ -48,9 +48,12 @@ def feature_rows(rows: DataFrame) -> DataFrame:
             for text in texts_of(batch.column(0)):
                 found: set[int] = set()
                 for chunk in set(text.split()):
-                    if chunk not in known:
-                        known[chunk] = chunk_features(chunk)
-                    found.update(known[chunk])
+                    hit = known.get(chunk)
+                    if hit is None:
+                        hit = chunk_features(chunk)
+                        if len(chunk) <= KEPT_CHARACTERS:
+                            known[chunk] = hit
+                    found.update(hit)
                 out.append(sorted(found))
             if len(known) > KEPT_CHUNKS // 4:
                 known.clear()
@@ -88,7 +91,9 @@ def scored(rows: DataFrame, features: np.ndarray, weights: np.ndarray, bias: flo
                 for chunk in set(text.split()):
                     hit = known.get(chunk)
                     if hit is None:
-                        hit = known[chunk] = tuple(f for f in chunk_features(chunk) if f in weight_of)
+                        hit = tuple(f for f in chunk_features(chunk) if f in weight_of)
+                        if len(chunk) <= KEPT_CHARACTERS:
+                            known[chunk] = hit
                     if hit:
                         found.update(hit)
                 margins.append(sum(map(weight_of.__getitem__, sorted(found))) + bias)
@@ -114,7 +119,7 @@ def toxicity(
 
     Labels meet documents by ``id_column``; the result's ``doc_id`` has the values of ``result_column`` if that is given.
     ``learns`` is a condition on ``doc_id`` of the labels; labels that are null or neither 0 nor 1 teach nothing. A null
-    or empty text has the score of a text without listed words. If there is nothing to learn from, all scores are
+    or empty text has the score of a text without listed words; texts of any length count whole. If there is nothing to learn from, all scores are
     low. Equal texts have equal scores; an empty table gives no row. Other columns are not read.
     """
     texts = two_columns(docs, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -74,7 +74,11 @@ def make_record(page_id: int | None, url: str | None, payload: bytes | None, dig
 
 def parse_record(data: memoryview, start: int) -> tuple[dict[str, str], bytes]:
     """Header fields and payload of the record at ``start`` of a plain frame."""
-    head_end = bytes(data[start : start + 65536]).index(b"\r\n\r\n")
+    reach = 65536
+    while (head_end := bytes(data[start : start + reach]).find(b"\r\n\r\n")) < 0:  # a url may be of any length
+        if start + reach >= len(data):
+            raise ValueError("a record's head has no end")
+        reach *= 4
     head = bytes(data[start : start + head_end]).decode("utf-8").split("\r\n")
     fields = dict(line.split(": ", 1) for line in head[1:])
     body = start + head_end + 4
@@ -252,7 +256,7 @@ def archive_round_trip(
     """Writes every page to bundles and reads all records back.
 
     Per page: ``page_id, payload_bytes, payload_digest, record_type, refers_to``, where bytes and digest are those of
-    the payload read back (a revisit's is its response's). A null html is an empty payload; a null url is replaced by
+    the payload read back (a revisit's is its response's). A null html is an empty payload; a url may be of any length, a null one is replaced by
     the record's own id; of copies the largest page id is the response, and rows that repeat that id with that payload
     are responses too; rows with a null id revisit unless all copies have null ids. Other columns are not read. An
     empty table gives no row. ``folder`` must be shared by all executors; by default a new one below spark.checkpoint.dir.

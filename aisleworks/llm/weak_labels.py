@@ -20,20 +20,22 @@ MOST_FEATURES, LEAST_ROWS = 8192, 4
 LEAST_DEVIATION = 5.0
 #: Correlation of two voters' residuals, given the label, from which they count as dependent.
 DEPENDENT = 0.3
-#: How often a given label is taken to be right.
-GIVEN_ACCURACY = 0.999
+#: How often a given label is taken to be right before its accuracy is estimated.
+FIRST_ACCURACY = 0.9
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, label: Column, learns: Column) -> DataFrame:
     """``text, y`` of at most ``MOST_LEARNING`` labelled rows of ``doc_id, text`` documents.
 
-    Labels that are null or not 0 or 1 teach nothing; of several labels of an id the largest holds.
+    Labels that are null or not 0 or 1 teach nothing; of several labels of an id the largest holds, of several texts of an id
+    the one of the smallest hash, so the bound is on rows however often an id is repeated.
     """
     named = labels.select(F.col("doc_id").alias("of"), label.cast("int").alias("y"), learns.alias("learns"))
     usable = named.where("learns AND of IS NOT NULL AND y IN (0, 1)").groupBy("of").agg(F.max("y").alias("y"))
     chosen = usable.orderBy(F.xxhash64(F.lit(11), "of"), "of").limit(MOST_LEARNING)
     # at most MOST_LEARNING rows of two numbers
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("of")).select("text", "y")
+    taught = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("of"))
+    return taught.groupBy("of").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def selected_features(rows: DataFrame) -> np.ndarray:
@@ -87,18 +89,20 @@ def collected(rows: DataFrame, features: np.ndarray, extra: list[str]) -> tuple[
 
 
 def label_posteriors(votes: np.ndarray, given: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of label 1 from votes (1, -1, or 0 for none), the voters' accuracies, and their dependence weights.
+    """Posteriors of label 1 from votes (1, -1, or 0 for none), the voters' accuracies, and their dependence weights, the given
+    label's last in both.
 
-    Each voter has a distribution over its three votes given the true label, estimated by expectation-maximisation.
-    The ``given`` labels of the rows start it and stay one more voter, of known accuracy, so a few wrong labels can be
-    outvoted. Voters whose residuals are correlated given the label share one voter's weight; the
-    model is then fitted again with these weights.
+    Each voter has a distribution over its three votes given the true label, estimated by expectation-maximisation. The
+    ``given`` labels of the rows only start it: they are one more voter, whose accuracy is estimated like that of the others,
+    so wrong labels are outvoted where the voters agree. Voters whose residuals are correlated given the label share
+    one voter's weight; the model is then fitted again with these weights.
     """
+    own = np.where(given == 1, 1, -1)
+    votes = np.column_stack([votes, own])
     rows, voters = votes.shape
     indicator = np.stack([votes == v for v in (-1, 0, 1)]).astype(np.float64)
     weight = np.ones(voters)
-    anchor = np.where(given == 1, 1.0, -1.0) * np.log(GIVEN_ACCURACY / (1 - GIVEN_ACCURACY))
-    posterior = 1 / (1 + np.exp(-anchor))
+    posterior = np.where(own == 1, FIRST_ACCURACY, 1 - FIRST_ACCURACY)
     table = np.full((2, 3, voters), 1 / 3)
     for _ in range(2):
         for _ in range(rounds):
@@ -107,7 +111,7 @@ def label_posteriors(votes: np.ndarray, given: np.ndarray, rounds: int = 40) ->
                 table[y] = counts / counts.sum(axis=0)
             share = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
             ratio = np.einsum("vnm,vm->n", indicator, (np.log(table[1]) - np.log(table[0])) * weight)
-            posterior = 1 / (1 + np.exp(-np.clip(ratio + anchor + np.log(share / (1 - share)), -40, 40)))
+            posterior = 1 / (1 + np.exp(-np.clip(ratio + np.log(share / (1 - share)), -40, 40)))
         expected = np.stack([table[y][2] - table[y][0] for y in (0, 1)])
         residual = votes - (np.outer(1 - posterior, expected[0]) + np.outer(posterior, expected[1]))
         spread = np.sqrt((residual**2).mean(axis=0)) + 1e-9
