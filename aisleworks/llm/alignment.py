@@ -30,6 +30,8 @@ BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 STRETCH = 1 << 19
 #: Weight at which a worker forgets its windows: about the bytes they take.
 KEPT_WEIGHT = 96 << 20
+#: The lower half of a pair's number: the second side's id.
+LOW = (1 << 32) - 1
 #: Links from which a group's pairs are made from its distinct ids.
 LARGE_GROUP = 1 << 16
 #: Linked id pairs up to which their counts are broadcast (17 bytes each); more are joined by a shuffle.
@@ -49,7 +51,10 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def summed(owner: np.ndarray, pair: np.ndarray, time: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of each owner, ascending, with their times added up, and how many each owner has."""
-    order = np.lexsort((pair, owner))
+    if len(pair) and owners < 1 << 15 and int((pair & LOW).max()) < 1 << 16 and int(pair.max() >> 32) < 1 << 16:
+        order = np.argsort(owner << 32 | pair >> 32 << 16 | pair & LOW)  # as one number: quicker than by two keys
+    else:
+        order = np.lexsort((pair, owner))
     owner, pair, time = owner[order], pair[order], time[order]
     fresh = np.ones(len(pair), dtype=bool)
     fresh[1:] = (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])
@@ -58,6 +63,44 @@ def summed(owner: np.ndarray, pair: np.ndarray, time: np.ndarray, owners: int) -
     return pair[begins], total, np.bincount(owner[begins], minlength=owners)
 
 
+def alike(a: np.ndarray, b: np.ndarray, starts: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A first window for each distinct one, and each window's place among these.
+
+    Windows of up to four tokens with ids of 16 bits are told apart as numbers; others stand for themselves.
+    """
+    count = len(sizes[0])
+    firsts, place = [], np.empty(count, dtype=np.int64)
+    rest = np.ones(count, dtype=bool)
+    known = 0
+    if count and max(int(a.max()), int(b.max())) < 1 << 16:
+        for n, m in ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1)):
+            at = np.flatnonzero((sizes[0] == n) & (sizes[1] == m))
+            packed = np.zeros(len(at), dtype=np.uint64)
+            for ids, start, size in ((a, starts[0], n), (b, starts[1], m)):
+                for k in range(size):
+                    packed = packed << np.uint64(16) | ids[start[at] + k].astype(np.uint64)
+            _, first, inverse = np.unique(packed, return_index=True, return_inverse=True)
+            firsts.append(at[first])
+            place[at] = known + inverse
+            known += len(first)
+            rest[at] = False
+    others = np.flatnonzero(rest)
+    place[others] = known + np.arange(len(others))
+    return np.concatenate([*firsts, others]), place
+
+
+def tuple_keys(a: np.ndarray, b: np.ndarray, starts: list[np.ndarray], sizes: list[np.ndarray]) -> list[bytes]:
+    """Each window's two id tuples as one value: the first side's ids, a number that is no id, the second side's ids."""
+    n, m = sizes
+    stops = np.cumsum(n + m + 1)
+    begins = stops - n - m - 1
+    flat = np.full(stops[-1] if len(stops) else 0, 0xFFFFFFFF, dtype=np.uint32)
+    flat[spread(begins, n)] = a[spread(starts[0], n)]
+    flat[spread(begins + n + 1, m)] = b[spread(starts[1], m)]
+    data = flat.tobytes()
+    return [data[x:y] for x, y in zip((4 * begins).tolist(), (4 * stops).tolist(), strict=True)]
+
+
 class Pool:
     """A numpy array that grows at its end."""
 
@@ -130,6 +173,8 @@ class Sides:
         self.a_spaced, self.b_spaced = (
             np.array([t.startswith(b" ") for t in tokens], dtype=bool) for tokens in (self.a_token, self.b_token)
         )
+        self.letters = [np.frombuffer(b"".join(tokens), np.uint8) for tokens in (self.a_token, self.b_token)]
+        self.letters_start = [np.cumsum(sizes) - sizes for sizes in (self.a_size, self.b_size)]
         # pieces that join nothing to a space after it allow cutting there
         self.cuttable = not any(b" " in t.lstrip(b" ") for t in self.b_token)
 
@@ -152,18 +197,43 @@ class Sides:
         return [*parts, text[start:]]
 
     def ids(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of both sides of ``" " + text``, none where either side's bytes differ from it."""
+        """Ids of both sides of ``" " + text``."""
+        if len(text) <= STRETCH:
+            return self.bytes.plain_ids(" " + text), self.pieces.encode(text, num_threads=1)
         a: list[int] = []
         b: list[int] = []
         for number, part in enumerate(self.stretches(text)):
             spaced = " " + part if number == 0 else part
             a += self.bytes.plain_ids(spaced)
             b += self.pieces.encode(spaced[1:], num_threads=1)
-        whole = (" " + text).encode()
-        if b"".join([self.a_token[i] for i in a]) != whole or b"".join([self.b_token[i] for i in b]) != whole:
-            return [], []
         return a, b
 
+    def spelled(self, found: list[tuple[list[int], list[int]]], texts: list[str | None]) -> tuple[list, np.ndarray, np.ndarray]:
+        """The same ids, without those of texts that either side's bytes differ from, and each side's in one array."""
+        wanted = [(" " + text).encode() if text else b"" for text in texts]
+        flat = [flat_ids([f[side] for f in found]) for side in (0, 1)]
+        if all(self._spells(side, flat[side], [len(f[side]) for f in found], wanted) for side in (0, 1)):
+            return found, *flat
+        sides = self.a_token, self.b_token
+        found = [
+            f if all(b"".join([tokens[i] for i in ids]) == w for tokens, ids in zip(sides, f, strict=True)) else ([], [])
+            for f, w in zip(found, wanted, strict=True)
+        ]
+        return found, *[flat_ids([f[side] for f in found]) for side in (0, 1)]
+
+    def _spells(self, side: int, ids: np.ndarray, counts: list[int], wanted: list[bytes]) -> bool:
+        """Whether the ids spell every text, given how many ids each text has."""
+        size = (self.a_size, self.b_size)[side][ids]
+        ends, stops = np.concatenate([[0], np.cumsum(size)]), np.cumsum([0, *counts])
+        if (np.diff(ends[stops]) != [len(w) for w in wanted]).any():
+            return False
+        spelled = self.letters[side][spread(self.letters_start[side][ids], size)]
+        return np.array_equal(spelled, np.frombuffer(b"".join(wanted), np.uint8))
+
+
+def flat_ids(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=sum(map(len, ids)))
+
 
 class WindowMemory:
     """Groups, links, texts and pairs of windows by their id tuples."""
@@ -173,13 +243,13 @@ class WindowMemory:
         self.empty()
 
     def empty(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.number: dict[bytes, int] = {}
         self.texts: list[str] = []
         self.groups, self.links, self.pair_start, self.pair_size = Pool(), Pool(), Pool(), Pool()
         self.pair, self.time = Pool(), Pool()
         self.weight = 0
 
-    def learn(self, keys: list[tuple[bytes, bytes]], groups: Groups, first: np.ndarray, sizes: np.ndarray) -> None:
+    def learn(self, keys: list[bytes], groups: Groups, first: np.ndarray, sizes: np.ndarray) -> None:
         """Adds windows, given by their first group and number of groups in a batch."""
         chosen = spread(first, sizes)
         owner = np.repeat(np.arange(len(keys)), sizes)
@@ -205,9 +275,8 @@ class Aligner:
 
     def align(self, texts: list[str | None]) -> list[list]:
         """Columns ``n_a, n_b, n_groups, n_links, groups, pairs, times``, a row per text."""
-        found = [self.sides.ids(text) if text else ([], []) for text in texts]
+        found, a, b = self.sides.spelled([self.sides.ids(text) if text else ([], []) for text in texts], texts)
         a_count, b_count = (np.array([len(f[side]) for f in found], dtype=np.int64) for side in (0, 1))
-        a, b = (np.fromiter(chain.from_iterable(f[side] for f in found), dtype=np.uint32) for side in (0, 1))
         # both sides spell the same bytes, so ends agree across the whole batch
         a_bytes, b_bytes = np.cumsum(self.sides.a_size[a]), np.cumsum(self.sides.b_size[b])
         at = np.searchsorted(b_bytes, a_bytes)
@@ -239,23 +308,18 @@ class Aligner:
         memory = self.memory
         if memory.weight > KEPT_WEIGHT:
             memory.empty()
-        a_data, b_data = groups.a.tobytes(), groups.b.tobytes()
-        a_stops, b_stops = (4 * groups.a_end[anchors]).tolist(), (4 * groups.b_end[anchors]).tolist()
-        keys = list(
-            zip(
-                [a_data[x:y] for x, y in zip([0, *a_stops], a_stops, strict=False)],
-                [b_data[x:y] for x, y in zip([0, *b_stops], b_stops, strict=False)],
-                strict=True,
-            )
-        )
+        ends = [groups.a_end[anchors], groups.b_end[anchors]]
+        starts = [np.concatenate([[0], end[:-1]]) for end in ends]
+        distinct, place = alike(groups.a, groups.b, starts, [end - start for end, start in zip(ends, starts, strict=True)])
+        keys = tuple_keys(groups.a, groups.b, [s[distinct] for s in starts], [(e - s)[distinct] for e, s in zip(ends, starts, strict=True)])
         found = list(map(memory.number.get, keys))
-        fresh = {keys[place]: place for place, number in enumerate(found) if number is None}
+        fresh = {keys[index]: index for index, number in enumerate(found) if number is None}
         if fresh:
-            places = np.fromiter(fresh.values(), dtype=np.int64)
+            places = distinct[np.fromiter(fresh.values(), dtype=np.int64)]
             firsts = np.concatenate([[0], anchors[:-1] + 1])[places]
             memory.learn(list(fresh), groups, firsts, anchors[places] + 1 - firsts)
             found = list(map(memory.number.__getitem__, keys))
-        return np.array(found, dtype=np.int64)
+        return np.array(found, dtype=np.int64)[place]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -280,7 +344,7 @@ def aligned_groups(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align, task, rows = aligner(byte_path, piece_path), TaskContext.get().partitionId(), 0
-        for batch in bounded_batches(batches, 1 << 20):
+        for batch in bounded_batches(batches, 2 << 20):
             columns = align.align(batch.column(1).to_pylist())
             size = batch.num_rows
             numbers = [pa.array(c, pa.int64()) for c in columns[:4]]
