@@ -29,7 +29,7 @@ BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Characters from which a text is tokenised in stretches, cut where a space follows another character.
 STRETCH = 1 << 19
 #: Weight at which a worker forgets its windows: about the bytes they take.
-KEPT_WEIGHT = 96 << 20
+KEPT_WEIGHT = 64 << 20
 #: The lower half of a pair's number: the second side's id.
 LOW = (1 << 32) - 1
 #: Links from which a group's pairs are made from its distinct ids.
@@ -344,7 +344,7 @@ def aligned_groups(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align, task, rows = aligner(byte_path, piece_path), TaskContext.get().partitionId(), 0
-        for batch in bounded_batches(batches, 2 << 20):
+        for batch in bounded_batches(batches, 3 << 19):
             columns = align.align(batch.column(1).to_pylist())
             size = batch.num_rows
             numbers = [pa.array(c, pa.int64()) for c in columns[:4]]

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -21,9 +22,35 @@ from aisleworks.session import shared_folder
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders named within ``temporary_tables`` blocks, the innermost block's last.
+_SCOPES: list[list[str]] = []
+
+
 def run_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name in the folder that all executors share."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new folder name in the folder that all executors share; inside ``temporary_tables`` it goes when the block ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators wrote to the shared folder within it.
+
+    An operator's result may still read its tables, so it has to be written, elsewhere, before the block ends.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 _SHIPPED: set[str] = set()
@@ -39,9 +66,9 @@ def ship_package(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(shutil.make_archive(str(archive), "zip", root, "aisleworks"))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: lineage is cut by files that outlive executors."""
-    path = run_folder(df.sparkSession, label)
+    path = path or run_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

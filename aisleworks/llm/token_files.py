@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aisleworks.llm.common import bounded_batches, run_folder, texts_of, two_columns, written
+from aisleworks.llm.common import bounded_batches, delete_folder, run_folder, texts_of, two_columns, written
 
 #: Ids of a block, ids between two checkpoints of a block, and interleaved states of a full block.
 BLOCK_IDS, CHECKPOINT_IDS, LANES = 1 << 18, 1 << 16, 256
@@ -400,7 +400,8 @@ def write_token_files(
     readable at ``tokenizer_path`` on every executor, ``folder`` a place that all executors share.
     """
     spark = docs.sparkSession
-    tokens = written(tokenised(two_columns(docs, id_column, text_column), tokenizer_path, end_id), "token-ids")
+    aside = run_folder(spark, "token-ids")
+    tokens = written(tokenised(two_columns(docs, id_column, text_column), tokenizer_path, end_id), "token-ids", aside)
     table = shared_table(tokens)
     files, path = fs.FileSystem.from_uri(folder)
     files.create_dir(path, recursive=True)
@@ -432,6 +433,7 @@ def write_token_files(
 
     order = ["doc_id", "crc", "n", "task", "row"]
     tokens.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
+    delete_folder(spark, aside)
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aisleworks.llm.language_id import ORDER, identify, kneser_ney, log_probabilities, predicted_symbols
 from aisleworks.llm.quality import quality
 from aisleworks.llm.toxicity import toxicity
-from aisleworks.llm.weak_labels import label_posteriors
+from aisleworks.llm.weak_labels import label_posteriors, learning_rows
 
 ENGLISH = "the of and to in that with which there their would from have this should thing".split()
 GERMAN = "der die und das nicht mit auch eine werden über schön straße zwischen haben".split()
@@ -155,4 +155,34 @@ def test_label_model_outvotes_wrong_labels_and_shares_weight():
     given = np.where(rng.random(3000) < 0.005, ~truth, truth).astype(float)
     posterior, accuracy, weight = label_posteriors(votes, given)
     assert ((posterior > 0.5) == truth).mean() > 0.99
-    assert np.all(np.abs(accuracy - 0.9) < 0.03) and weight[0] < 0.5 < weight[3]
+    assert np.all(np.abs(accuracy[:-1] - 0.9) < 0.03) and accuracy[-1] > 0.98 and weight[0] < 0.5 < weight[3]
+
+
+def test_wrong_labels_are_mostly_outvoted_and_their_accuracy_is_estimated():
+    rng = np.random.default_rng(3)
+    truth = rng.random(3000) < 0.2
+    votes = np.stack([np.where(rng.random(3000) < 0.4, np.where(rng.random(3000) < 0.85, truth, ~truth) * 2 - 1, 0) for _ in range(14)], axis=1)
+    flipped = rng.random(3000) < 0.1
+    posterior, accuracy, _ = label_posteriors(votes.astype(np.int8), np.where(flipped, ~truth, truth).astype(float))
+    right = (posterior > 0.5) == truth
+    assert right[flipped].mean() > 0.8 and right.mean() > 0.97
+    assert abs(accuracy[-1] - 0.9) < 0.02 and np.abs(accuracy[:-1] - 0.85).max() < 0.06
+
+
+def test_learning_rows_are_bounded_however_often_an_id_is_repeated(spark, docs):
+    rows = [(1, f"text {n}") for n in range(300)] + [(2, "two"), (3, None)]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0), (9, 1, 1)], LABELS)
+    taught = learning_rows(docs(rows).select("doc_id", "text"), labels, F.col("toxic"), F.lit(True)).collect()
+    assert len(taught) == 3 and sorted(r["y"] for r in taught) == [0, 0, 1]
+    assert taught == learning_rows(docs(rows).select("doc_id", "text"), labels, F.col("toxic"), F.lit(True)).collect()
+
+
+def test_very_long_texts_are_scored_whole(spark, docs):
+    rows, labels = labelled(docs, spark, ["idiot", "moron", "trash", "scumbag"])
+    long = [(5000, "x" * 5_000_000), (5001, " " * 3_000_000), (5002, "the of and " * 200_000 + "idiot moron trash scumbag")]
+    table = spark.createDataFrame(labels, LABELS)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity(docs(rows + long), table, F.lit(True)).collect()}
+    assert (got[5000], got[5001], got[5002]) == (0, 0, 1)
+    assert quality(docs(rows + long), table, F.lit(True)).count() == len(rows) + 3
+    named = identify(docs([(n, t, "en") for n, t in rows] + [(n, t, None) for n, t in long]), F.lit(True)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in named if r["doc_id"] >= 5000} == {5000: "en", 5001: "und", 5002: "en"}

@@ -1,4 +1,8 @@
+from pathlib import Path
+
 import corpus_pipeline
+from aisleworks.llm.common import temporary_tables
+from aisleworks.session import shared_folder
 from tests.llm.test_classifiers import LABELS, labelled
 
 
@@ -29,6 +33,34 @@ def test_stages_keep_columns_and_take_effect(spark, docs, awkward, tmp_path):
     assert {r["doc_id"] for r in packed if r["doc_id"] is not None} == ids["mixing"]
 
 
+def test_columns_of_any_name_come_through_as_they_were(spark, awkward, tmp_path):
+    names = ["row_key", "key", "time", "times", "gone", "again", "listed", "y", "of", "hash", "size", "taken", "part", "of row"]
+    base = [(i, t, "en", "abc"[n % 3], 1) for n, (i, t) in enumerate(awkward)]
+    more = [(2000 + n, " ".join(f"word{(n * 7 + k) % 50}" for k in range(30)), "en", "s", 1) for n in range(40)]
+    docs = [(*r, *[f"{c} of {r[0]}" for c in names]) for r in base + more]
+    shape = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in names)
+    spark.createDataFrame(docs, shape).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        kept = at.collect()
+        assert kept and all(r[c] == f"{c} of {r['doc_id']}" for r in kept for c in names)
+
+
+def test_stages_leave_nothing_but_their_documents(spark, docs, awkward, tmp_path):
+    docs([(i, t, "en", "s") for i, t in awkward]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    shared = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    with temporary_tables(spark):
+        corpus_pipeline.run(spark, str(tmp_path)).write.parquet(f"{tmp_path}/packed")
+        left = {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before}
+        assert left == {"mixing", "pieces"}  # what the last stage reads and what it wrote
+    assert set(shared.iterdir()) == before and spark.read.parquet(f"{tmp_path}/packed").count() > 0
+
+
 def test_an_empty_table_passes_all_stages(spark, docs, tmp_path):
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")

@@ -35,6 +35,22 @@ def test_special_strings(text):
     assert IDS.ids(text) == LIBRARY[BYTES].encode(text, add_special_tokens=False).ids
 
 
+def test_every_character_counts_as_in_the_library():
+    """All code points, each between letters, counted through many rows of a few thousand characters."""
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for begin in range(0, len(points), 40_000):
+        texts = [f"ab{chr(c)}cd" for c in points[begin : begin + 40_000]]
+        expected = [len(e.ids) for e in LIBRARY[WORDS].encode_batch_fast(texts, add_special_tokens=False)]
+        got = COUNTER.count(texts)
+        assert got == expected, [(hex(ord(t[2])), g, e) for t, g, e in zip(texts, got, expected, strict=True) if g != e][:5]
+
+
+def test_long_chunks_are_counted_and_not_kept():
+    text = "w" * 100_000 + " short " + "é" * 5000
+    assert COUNTER.count([text]) == [len(LIBRARY[WORDS].encode(text, add_special_tokens=False).ids)]
+    assert "short" in COUNTER.kept and max(map(len, COUNTER.kept)) <= 48
+
+
 def test_token_counts_of_awkward_rows(spark, docs, awkward):
     got = sorted(map(tuple, token_counts(docs(awkward), WORDS, limit=10).collect()), key=str)
     expected = []

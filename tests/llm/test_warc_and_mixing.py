@@ -25,6 +25,16 @@ def test_round_trip_with_awkward_rows(spark):
     assert archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_urls_of_any_length(spark):
+    pages = spark.createDataFrame([(n, "http://é/" + "u" * size, "x", "d", 1) for n, size in enumerate((10, 65_000, 70_000, 200_000))], PAGES)
+    assert {r["page_id"]: r["payload_bytes"] for r in archive_round_trip(pages).collect()} == dict.fromkeys(range(4), 1)
+
+
+def test_a_head_without_end_is_noticed():
+    with pytest.raises(ValueError):
+        parse_record(memoryview(b"WARC/1.1\r\n" + b"x" * 300_000), 0)
+
+
 def test_index_reads_single_records(spark, tmp_path):
     folder = f"file://{tmp_path}"
     writer = BundleWriter(f"{folder}/bundles", "000000-1")
