@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleworks.llm.common import ship_package, small_or_shuffled, table, written
+from aisleworks.llm.common import delete_folder, run_folder, ship_package, small_or_shuffled, table, temporary_tables, written
 from aisleworks.llm.language_id import identify
 from aisleworks.llm.mixing import mix_sources
 from aisleworks.llm.ngram_join import near_copies
@@ -116,9 +116,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again by the next."""
+    """All stages over ``documents``; each stage's rows are written and read again by the next.
+
+    What a stage wrote besides goes when its rows are written, and these go when the next stage's are.
+    """
     ship_package(spark)
-    docs = table(spark, folder, "documents")
+    docs, before = table(spark, folder, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, folder), name.replace(" ", "-"))
+        place = run_folder(spark, name.replace(" ", "-"))
+        with temporary_tables(spark):
+            docs = written(stage(spark, docs, folder), name, place)
+        if before is not None:
+            delete_folder(spark, before)
+        before = place
     return STAGES[-1][1](spark, docs, folder)
