@@ -66,15 +66,20 @@ class MergeTable:
     def pre_tokens(self, chunk: str) -> list[bytes]:
         """Pre-tokens of a chunk without white space: composed, lower-cased by character, cut by the pattern.
 
-        Beyond ASCII the library's own tables of letters and cases are asked, which differ from Python's for newer characters.
+        From U+0250 on the library's own tables of letters and cases are asked, which differ from Python's for newer characters;
+        before it no character composes with another.
         """
-        if chunk.isascii():
-            return [word.encode("ascii") for word in self.words.findall(chunk.lower())]
+        if chunk.isascii() or max(chunk) < "\u0250":
+            return [word.encode("utf-8") for word in self.words.findall(chunk.lower())]
         pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
         return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in pieces]
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Symbols left of each pre-token when all merges are done."""
+        return np.bincount(self.merged(words)[1], minlength=len(words))
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols left when all merges are done and the pre-token each belongs to; a pre-token's are together, in order."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         symbols = self.byte_id[data]
@@ -82,14 +87,14 @@ class MergeTable:
         filled = lengths > 0
         symbols[ends[filled]] = self.last_byte_id[data[ends[filled]]]
         owner = np.repeat(np.arange(len(words)), lengths)
-        counts = np.zeros(len(words), dtype=np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = [(symbols[:0], owner[:0])]
         while len(symbols):
             rank, result = self._pair_ranks(symbols, owner)
             best = np.full(len(words), NO_RANK)
             np.minimum.at(best, owner, rank)
             active = best[owner] != NO_RANK
             if not active.all():  # finished pre-tokens leave the arrays
-                counts += np.bincount(owner[~active], minlength=len(words))
+                done.append((symbols[~active], owner[~active]))
                 symbols, owner, rank, result = symbols[active], owner[active], rank[active], result[active]
                 if not len(symbols):
                     break
@@ -98,7 +103,7 @@ class MergeTable:
             kept = np.ones(len(symbols), dtype=bool)
             kept[chosen + 1] = False
             symbols, owner = symbols[kept], owner[kept]
-        return counts
+        return tuple(np.concatenate(parts) for parts in zip(*done, strict=True))
 
     def _pair_ranks(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank = np.full(len(symbols), NO_RANK)

@@ -12,10 +12,10 @@ the index of a task that ended well names its file, so a lost or repeated attemp
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +25,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aisleworks.llm.common import bounded_batches, delete_folder, run_folder, texts_of, two_columns, written
+from aisleworks.llm.common import (
+    KEPT_CHARACTERS,
+    bounded_batches,
+    delete_folder,
+    literal_splitter,
+    run_folder,
+    texts_of,
+    two_columns,
+    written,
+)
+from aisleworks.llm.token_counts import MergeTable
 
 #: Ids of a block, ids between two checkpoints of a block, and interleaved states of a full block.
-BLOCK_IDS, CHECKPOINT_IDS, LANES = 1 << 18, 1 << 16, 256
+BLOCK_IDS, CHECKPOINT_IDS, LANES = 1 << 19, 1 << 17, 512
 #: States lie in [LOW, LOW << 32) and shed words of 32 bits.
 LOW_BITS = 31
 LOW = np.uint64(1 << LOW_BITS)
 WORD = np.uint64(32)
 #: Blocks that a reading task takes.
-READ_BLOCKS = 16
+READ_BLOCKS = 8
 #: Marks at the start of a table, a block and a file's footer.
 TABLE_MARK, BLOCK_MARK, FOOTER_MARK = b"AWT1", b"AWB1", b"AWF1"
-#: Longest chunk whose ids a worker keeps, and bytes that the kept chunks may take.
-KEPT_CHARACTERS, KEPT_BYTES = 40, 96 << 20
+#: Bytes that the chunks a worker keeps may take.
+KEPT_BYTES = 160 << 20
+
+#: How ids lie between the stages where the vocabulary allows; else in four bytes.
+NARROW = "<u2"
 
 TOKENS = "doc_id long, task int, row long, n long, crc long, ids binary"
 INDEX = "part int, file string, block int, first long, ids long"
@@ -267,17 +280,15 @@ class FileReader:
 class ChunkIds:
     """Ids of texts as the tokenizers library gives them; what lies between white space is looked up once.
 
-    The vocabulary drops white space and joins nothing across it, so a text's ids are those of its chunks in a row.
-    Ids of short chunks are kept up to ``KEPT_BYTES``; long chunks go to the library each time.
+    The vocabulary drops white space and joins nothing across it, so a text's ids are those of its chunks in a row. Chunks not
+    seen before are merged together as arrays, which gives the library's ids in a fraction of its time; those that hold a
+    special string go to the library itself. Ids of short chunks are kept up to ``KEPT_BYTES``, of others for their batch.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.table = MergeTable(path)
+        self.wide = self.table.size + len(self.table.special) >= 1 << 16
+        self.special = literal_splitter(*self.table.special) if self.table.special else None
         self.spaces = regex.compile(r"\s+")
         self.odd_space = regex.compile(r"[\x1c-\x1f]")
         self._empty()
@@ -285,57 +296,70 @@ class ChunkIds:
     def _empty(self) -> None:
         self.number: dict[str, int] = {}
         self.flat, self.filled = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-        self.weight = 0
+        self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int32)
+        self.weight, self.long = 0, False
 
     def _chunks(self, text: str) -> list[str]:
         # str.split() also cuts at four separators that the vocabulary's pattern takes for symbols
         return self.spaces.split(text) if self.odd_space.search(text) else text.split()
 
     def _learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(sizes.sum()))
+        words: list[bytes] = []
+        counts = []
+        whole: dict[int, list[int]] = {}
+        for place, chunk in enumerate(chunks):
+            if self.special and "<|" in chunk and self.special.search(chunk):
+                whole[place] = self.table.library.encode(chunk, add_special_tokens=False).ids
+                counts.append(0)
+            else:
+                found = self.table.pre_tokens(chunk)
+                words += found
+                counts.append(len(found))
+        symbols, word = self.table.merged(words)
+        flat = symbols[np.argsort(word, kind="stable")].astype(np.uint32)
+        per_word = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))])
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        sizes = np.diff(per_word[bounds])
+        begins = per_word[bounds[:-1]]
+        if whole:
+            extra = np.array([i for ids in whole.values() for i in ids], dtype=np.uint32)
+            at = len(flat)
+            for place, ids in whole.items():
+                begins[place], sizes[place] = at, len(ids)
+                at += len(ids)
+            flat = np.concatenate([flat, extra])
         first = len(self.number)
-        while first + len(found) > len(self.sizes):
+        while first + len(chunks) > len(self.sizes):
             self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
         while self.filled + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.starts[first : first + len(found)] = self.filled + np.cumsum(sizes) - sizes
-        self.sizes[first : first + len(found)] = sizes
+        self.starts[first : first + len(chunks)] = self.filled + begins
+        self.sizes[first : first + len(chunks)] = sizes
         self.flat[self.filled : self.filled + len(flat)] = flat
         self.filled += len(flat)
         self.number.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-        self.weight += 4 * len(flat) + sum(170 + 2 * len(c) for c in chunks)
+        characters = sum(map(len, chunks))
+        self.weight += 4 * len(flat) + 2 * characters + 165 * len(chunks)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if self.weight > KEPT_BYTES:
+        """Each text's ids."""
+        if self.weight > KEPT_BYTES or self.long:
             self._empty()
         cut = [self._chunks(text) for text in texts]
         fresh = set().union(*cut) - self.number.keys()
-        short = sorted(c for c in fresh if len(c) <= KEPT_CHARACTERS)
-        for begin in range(0, len(short), 4096):
-            self._learn(short[begin : begin + 4096])
-        long = {c for c in fresh if len(c) > KEPT_CHARACTERS}
-        return [self._whole(chunks, long) if long and not long.isdisjoint(chunks) else self._gathered(chunks) for chunks in cut]
-
-    def _gathered(self, chunks: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.number.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        sizes = self.sizes[at]
+        short = [c for c in fresh if len(c) <= KEPT_CHARACTERS]
+        if short:
+            self._learn(short)
+        if len(short) < len(fresh):  # long ones come last and make the next batch start afresh
+            self._learn([c for c in fresh if len(c) > KEPT_CHARACTERS])
+            self.long = True
+        counts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(counts.sum()))
+        sizes = self.sizes[at].astype(np.int64)
         ends = np.cumsum(sizes)
-        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + sizes, sizes)]
-
-    def _whole(self, chunks: list[str], long: set[str]) -> np.ndarray:
-        """A text with long chunks: stretches of kept chunks and, between them, long ones from the library."""
-        parts, stretch = [], []
-        for chunk in chunks:
-            if chunk in long:
-                ids = self.library.encode(chunk, add_special_tokens=False).ids
-                parts += [self._gathered(stretch), np.array(ids, dtype=np.uint32)]
-                stretch = []
-            else:
-                stretch.append(chunk)
-        return np.concatenate([*parts, self._gathered(stretch)])
+        flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + sizes, sizes)]
+        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return [flat[x:y] for x, y in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, ChunkIds] = {}
@@ -352,16 +376,18 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task, rows = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        narrow = not tokens.wide and end_id < 1 << 16
         for batch in bounded_batches(batches):
-            found = [np.append(ids, np.uint32(end_id)).astype("<u4") for ids in tokens.ids(texts_of(batch.column(1)))]
-            data = [ids.tobytes() for ids in found]
+            found = [np.append(ids, np.uint32(end_id)) for ids in tokens.ids(texts_of(batch.column(1)))]
+            crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in found]
+            data = [ids.astype(NARROW if narrow else "<u4").tobytes() for ids in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
                     pa.array([task] * len(data), pa.int32()),
                     pa.array(range(rows, rows + len(data)), pa.int64()),
                     pa.array(map(len, found), pa.int64()),
-                    pa.array(map(zlib.crc32, data), pa.int64()),
+                    pa.array(crcs, pa.int64()),
                     pa.array(data, pa.binary()),
                 ],
                 names=["doc_id", "task", "row", "n", "crc", "ids"],
@@ -371,21 +397,26 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     return docs.mapInArrow(run, TOKENS)
 
 
+def stored_ids(data: pa.Scalar, count: int) -> np.ndarray:
+    """Ids of a row between the stages, by the bytes each takes."""
+    return np.frombuffer(data.as_buffer(), NARROW if len(data.as_buffer()) == 2 * count else "<u4")
+
+
 def shared_table(tokens: DataFrame) -> FrequencyTable:
     """The frequency table of all ids. What reaches the driver is a number per id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for data in batch.column(0):
-                seen = np.bincount(np.frombuffer(data.as_buffer(), "<u4"))
+            for data, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                seen = np.bincount(stored_ids(data, n))
                 if len(seen) > len(total):
                     total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
                 total[: len(seen)] += seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    per_id = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    per_id = tokens.select("ids", "n").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return FrequencyTable.from_counts(np.array([r["id"] for r in per_id], dtype=np.int64), np.array([r["n"] for r in per_id]))
 
 
@@ -416,8 +447,8 @@ def write_token_files(
             if out is None and batch.num_rows:
                 name = f"{part:07d}-{context.taskAttemptId()}.ids"
                 out = FileWriter(f"{folder}/files", name, FrequencyTable.from_data(shared.value))
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(5), strict=True):
-                out.add(doc_id, np.frombuffer(data.as_buffer(), "<u4"))
+            for doc_id, n, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(5), strict=True):
+                out.add(doc_id, stored_ids(data, n).astype(np.uint32))
         blocks = out.close() if out else []
         number, first, ids = zip(*blocks, strict=True) if blocks else ((), (), ())
         yield pa.RecordBatch.from_arrays(
