@@ -19,8 +19,9 @@ from pyspark.sql.types import StructType
 
 #: Hidden folders of a table: key ranges by file, replacements under way, their new files, and batches not yet merged in.
 RANGES, PENDING, STAGED, DELTAS = "_key_ranges", "_pending", "_staged", "_deltas"
-#: Stretches into which a batch's sorted keys are cut to be compared with the files' ranges.
-SPANS = 512
+#: Stretches, at least and at most, into which a batch's sorted keys are cut to be compared with the files' ranges, and keys
+#: of a stretch between these bounds.
+LEAST_SPANS, MOST_SPANS, SPAN_KEYS = 8, 512, 64
 #: Rows of a file, and files of ranges after which they are written as one.
 FILE_ROWS, RANGE_FILES = 4_000_000, 40
 #: Bytes below which a file counts as small, and small files that are worth merging.
@@ -155,7 +156,8 @@ class KeyedTable:
             return []
         key = F.struct(*[F.col(k).cast(self.schema[k].dataType).alias(k) for k in self.keys])
         kept = batch.select(key.alias("key")).where(" AND ".join(f"key.`{k}` IS NOT NULL" for k in self.keys)).distinct()
-        stretch = kept.repartitionByRange(SPANS, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("low"), F.max("key").alias("high"))
+        spans = min(MOST_SPANS, max(LEAST_SPANS, kept.count() // SPAN_KEYS))
+        stretch = kept.repartitionByRange(spans, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("low"), F.max("key").alias("high"))
         spans = sorted((tuple(r["low"]), tuple(r["high"])) for r in stretch.collect())
         highs = [high for _, high in spans]
         out = []

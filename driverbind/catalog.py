@@ -24,8 +24,10 @@ from aisleworks.operators import (
     taste,
     trends,
 )
-from aisleworks.session import shared_folder
-from aisleworks.sources import outbox, snapshots
+from aisleworks import schemas
+from aisleworks.plans.presentation import presented
+from aisleworks.session import materialize, release, shared_folder
+from aisleworks.sources import outbox, rollup, snapshots
 from aisleworks.sources.exports import MALFORMED, parse_lines
 from aisleworks.sources.keyed_files import KeyedTable
 from driverbind.exports import RAGGED_HEADER, export_frame, ragged_lines
@@ -33,6 +35,7 @@ from driverbind.roles import AS_OF, FESTIVAL_AS_OF, STOCK_AS_OF, Roles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+FEATURE_HISTORY = ["lag_7d_qty", "lag_14d_qty", "lag_30d_qty", "rolling_7d_avg", "rolling_30d_avg"]
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -64,6 +67,42 @@ def category_trends(r: Roles):
     return trends.category_trends(r.transaction(), r.date(), r.product(), r.category())
 
 
+def _kept_facts(r: Roles) -> DataFrame:
+    """The daily grain of a fact table that was merged into twice, in the shape of facts.
+
+    A first load has every line as not returned and lacks some; a second batch brings those lines and the returns. Lines of
+    one number are told apart by what else they hold, equal ones summed.
+    """
+    told = ["transaction_id", "date_id", "store_id", "product_id", "payment_mode", "transaction_status", "is_return"]
+    tx = r.transaction().groupBy(*told).agg(
+        F.sum("quantity_sold").cast("int").alias("quantity_sold"), F.sum("final_sale_value").cast("decimal(18,2)").alias("final_sale_value")
+    )
+    tx = tx.withColumn("transaction_id", F.concat_ws("-", *told))
+    name, kind = schemas.PARTITIONED["transaction"]
+    facts = KeyedTable(r.spark, _scratch(r, "facts"), tx.schema, ("transaction_id",), (name, kind))
+    kept = rollup.rollup_table(r.spark, _scratch(r, "rollup"), tx)
+    missing = F.col("payment_mode") == "1-URGENT"
+    first = tx.where(~missing).withColumn("is_return", F.lit(False))
+    second = tx.where(missing | F.col("is_return"))
+    for batch in (first, second):
+        days = materialize(rollup.changed_days(facts, batch), "changed-days")
+        snapshots.overwrite_touched(facts, batch, F.col("final_sale_value"), snapshots.Rule())
+        rollup.refresh(kept, r.spark.read.schema(tx.schema).parquet(facts.path), days)
+        release(days)
+    return rollup.as_facts(kept.read(kept.data_files()))
+
+
+@query
+def category_trends_kept(r: Roles):
+    """The report from a daily grain that merges kept up to date; the facts are not read."""
+    return trends.category_trends(_kept_facts(r), r.date(), r.product(), r.category())
+
+
+@query
+def store_trends_kept(r: Roles):
+    return trends.store_trends(_kept_facts(r), r.date(), r.store())
+
+
 @query
 def store_trends(r: Roles):
     return trends.store_trends(r.transaction(), r.date(), r.store())
@@ -146,6 +185,29 @@ def feature_table(r: Roles):
     return _features(r)
 
 
+@query
+def feature_table_by_days(r: Roles):
+    """Lags and means over calendar days in place of selling days."""
+    found = features.feature_table(**r.forecast_tables(), by=features.DAYS)
+    return found.select("product_id", "store_id", "full_date", *FEATURE_HISTORY)
+
+
+@query
+def feature_table_grown(r: Roles):
+    """The row-based table built for early days, then brought up to date with later ones and with late sales of old days."""
+    others = r.forecast_tables()
+    tx, date = others.pop("tx"), others["date"]
+    late = F.col("payment_mode") == "5-LOW"  # some sales of every day arrive last
+    cut = date.agg(F.percentile_approx("date_id", 0.9)).scalar()
+    early = F.col("date_id") <= cut
+    grown = features.feature_table(tx.where(early & ~late), **others)
+    for seen, days in ((tx.where(~late), ~early & ~late), (tx, late)):
+        changed = tx.where(days).select("date_id").distinct().join(date.select("date_id", "full_date"), "date_id")
+        on_days = features.selling_days(seen, **others).join(changed.select("full_date").distinct(), "full_date", "left_semi")
+        grown = features.features_after(materialize(grown, "features"), changed, on_days)
+    return grown
+
+
 @query
 def feature_vector(r: Roles):
     """The assembled vector, read back as its length and a position-weighted sum."""
@@ -308,6 +370,17 @@ def expiry_alerts(r: Roles):
     return _expiring(r)
 
 
+@query
+def expiry_alerts_in_order(r: Roles):
+    """The report with its row positions."""
+    return presented("expiry_alerts", _expiring(r))
+
+
+@query
+def category_trends_in_order(r: Roles):
+    return presented("category_trends", trends.category_trends(r.transaction(), r.date(), r.product(), r.category()))
+
+
 @query
 def low_margin_products(r: Roles):
     return decisions.low_margin_products(r.product(), r.category(), r.supplier())
@@ -371,9 +444,10 @@ def posted_alerts(r: Roles):
         outbox.post(routed, path)
     at = F.lit("2026-01-01 08:00:00").cast("timestamp_ntz").alias("attempted_at")
     tried = outbox.due(r.spark, path).where("channel IN ('telegram', 'whatsapp')")
-    tried = tried.select("alert_key", (F.col("channel") == "telegram").alias("delivered"), at)
+    tried = materialize(tried.select("alert_key", (F.col("channel") == "telegram").alias("delivered"), at), "outcomes")
     for _ in range(2):  # an outcome reported again is not another attempt
         outbox.record_deliveries(tried, path)
+    release(tried)
     return outbox.read_outbox(r.spark, path)
 
 
@@ -525,9 +599,9 @@ def upsert_by_deltas(r: Roles):
     current, batch = _entries(r)
     table = _entry_table(r, current)
     now = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
-    for number in range(3):
-        part = batch.where(F.pmod(F.xxhash64("entry"), F.lit(3)) == number)
-        snapshots.add_delta(table, part, F.col("amount"), number, now)
+    own, large = F.col("entry") < 0, F.col("amount") > 100_000
+    for number, part in enumerate([own, ~own & large, ~own & ~large]):
+        snapshots.add_delta(table, batch.where(part), F.col("amount"), number, now)
         if number == 1:
             snapshots.compact(table, ENTRY_RULE)
     return snapshots.read_merged(table, ENTRY_RULE)
