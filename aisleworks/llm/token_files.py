@@ -48,7 +48,7 @@ READ_BLOCKS = 8
 #: Marks at the start of a table, a block and a file's footer.
 TABLE_MARK, BLOCK_MARK, FOOTER_MARK = b"AWT1", b"AWB1", b"AWF1"
 #: Bytes that the chunks a worker keeps may take.
-KEPT_BYTES = 160 << 20
+KEPT_BYTES = 110 << 20
 
 #: How ids lie between the stages where the vocabulary allows; else in four bytes.
 NARROW = "<u2"
@@ -371,13 +371,18 @@ def encoder(path: str) -> ChunkIds:
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    """Frees what a reused worker kept of an earlier stage."""
+    _ENCODERS.clear()
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Ids of each document with the end id, its task and its number there, in the scan's own order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task, rows = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         narrow = not tokens.wide and end_id < 1 << 16
-        for batch in bounded_batches(batches):
+        for batch in bounded_batches(batches, 1 << 20):
             found = [np.append(ids, np.uint32(end_id)) for ids in tokens.ids(texts_of(batch.column(1)))]
             crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in found]
             data = [ids.astype(NARROW if narrow else "<u4").tobytes() for ids in found]
@@ -406,6 +411,7 @@ def shared_table(tokens: DataFrame) -> FrequencyTable:
     """The frequency table of all ids. What reaches the driver is a number per id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for data, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -441,6 +447,7 @@ def write_token_files(
     shared = spark.sparkContext.broadcast(table.data)  # 8 bytes per id of the vocabulary
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         context = TaskContext.get()
         part, out = context.partitionId(), None
         for batch in batches:
@@ -487,6 +494,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     dealt = index.join(starts, "part").repartition(tasks, "file", run).sortWithinPartitions("file", "block")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         table = FrequencyTable.from_data(shared.value)
         reader = FileReader(f"{folder}/files", {table.crc: table})
         for batch in batches:
