@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,19 @@ DEFAULT_CHANNELS = ["dashboard"]
 CRITICAL_ITEMS_SHOWN = 5
 HIGH_ITEMS_SHOWN = 10
 EXPIRY_ITEMS_SHOWN = 5
+#: Texts of alerts; words in braces are filled in.
+CRITICAL_TITLE = "🔴 CRITICAL: {n} products stockout risk at {store}"
+CRITICAL_MESSAGE = (
+    "Store {store} has {n} products that will stock out before supplier delivery. Top item: {product} (stock: {stock}, "
+    "order {quantity} units from {supplier} by {deadline})."
+)
+HIGH_TITLE = "🟠 HIGH: {n} restock orders needed today"
+HIGH_MESSAGE = "{n} products across stores need restock orders today. Estimated total order value: ₹{total}."
+WEEK_TITLE, WEEK_MESSAGE = (
+    "🔴 EXPIRY: {n} products expire within 7 days!",
+    "₹{total} at risk. Apply 40–50% discount IMMEDIATELY. Top item: {product} at {store}.",
+)
+FORTNIGHT_TITLE, FORTNIGHT_MESSAGE = "🟠 EXPIRY: {n} products expire in 8–15 days", "₹{total} at risk. Apply 25–35% discount this week."
 # ----------------------------------------------------------------------------
 
 
@@ -32,9 +46,10 @@ def _ordered_items(place: str, columns: list[str]) -> Column:
     return F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_item"])
 
 
-def _text(*parts: Column | str) -> Column:
-    """Concatenation in which a missing value reads ``None`` instead of erasing the text."""
-    return F.concat(*[F.coalesce(p, F.lit("None")) if isinstance(p, Column) else F.lit(p) for p in parts])
+def _text(wording: str, **values: Column) -> Column:
+    """The wording with its words in braces filled in; a missing value reads ``None`` instead of erasing the text."""
+    pieces = re.split(r"\{(\w+)\}", wording)
+    return F.concat(*[F.coalesce(values[p], F.lit("None")) if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
 
 
 def _alert(alert_type: str, priority: str | Column, title: Column, message: Column, store: Column, today: Column):
@@ -62,12 +77,16 @@ def critical_restock_alerts(orders: DataFrame, as_of: dt.date | str | None = Non
         .agg(_ordered_items("_place", ORDER_COLUMNS).alias("data"))
     )
     n, store, top = F.col("n").cast("string"), F.col("store_id").cast("string"), F.col("data")[0]
-    title = _text("🔴 CRITICAL: ", n, " products stockout risk at ", store)
+    title = _text(CRITICAL_TITLE, n=n, store=store)
     message = _text(
-        "Store ", store, " has ", n, " products that will stock out before supplier delivery. Top item: ",
-        top["product_name"], " (stock: ", top["current_stock"].cast("string"), ", order ",
-        quantity_text(top["restock_qty"]), " units from ", top["supplier_name"], " by ",
-        top["order_deadline"].cast("string"), ").",
+        CRITICAL_MESSAGE,
+        n=n,
+        store=store,
+        product=top["product_name"],
+        stock=top["current_stock"].cast("string"),
+        quantity=quantity_text(top["restock_qty"]),
+        supplier=top["supplier_name"],
+        deadline=top["order_deadline"].cast("string"),
     )
     return counts.join(shown, "store_id").select(
         *_alert("RESTOCK", "CRITICAL", title, message, store, as_date(as_of))
@@ -85,11 +104,8 @@ def high_restock_alert(orders: DataFrame, as_of: dt.date | str | None = None) ->
         _ordered_items("_place", ORDER_COLUMNS)
     )
     n = F.col("n").cast("string")
-    title = _text("🟠 HIGH: ", n, " restock orders needed today")
-    message = _text(
-        n, " products across stores need restock orders today. Estimated total order value: ₹",
-        grouped_integer(F.col("total")), ".",
-    )
+    title = _text(HIGH_TITLE, n=n)
+    message = _text(HIGH_MESSAGE, n=n, total=grouped_integer(F.col("total")))
     return totals.withColumn("data", data.scalar()).select(
         *_alert("RESTOCK", "HIGH", title, message, F.lit(None).cast("string"), as_date(as_of))
     )
@@ -130,16 +146,9 @@ def expiry_alert_rollup(items: DataFrame, as_of: dt.date | str | None = None) ->
     )
     critical = F.col("priority") == "CRITICAL"
     n, total, top = F.col("n").cast("string"), grouped_integer(F.col("total")), F.col("data")[0]
-    title = F.when(critical, _text("🔴 EXPIRY: ", n, " products expire within 7 days!")).otherwise(
-        _text("🟠 EXPIRY: ", n, " products expire in 8–15 days")
-    )
-    message = F.when(
-        critical,
-        _text(
-            "₹", total, " at risk. Apply 40–50% discount IMMEDIATELY. Top item: ",
-            top["product_name"], " at ", top["store_name"], ".",
-        ),
-    ).otherwise(_text("₹", total, " at risk. Apply 25–35% discount this week."))
+    filled = {"n": n, "total": total, "product": top["product_name"], "store": top["store_name"]}
+    title = F.when(critical, _text(WEEK_TITLE, **filled)).otherwise(_text(FORTNIGHT_TITLE, **filled))
+    message = F.when(critical, _text(WEEK_MESSAGE, **filled)).otherwise(_text(FORTNIGHT_MESSAGE, **filled))
     return totals.join(shown, "priority").select(
         *_alert("EXPIRY", F.col("priority"), title, message, F.lit(None).cast("string"), as_date(as_of))
     )
