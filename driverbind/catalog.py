@@ -77,7 +77,7 @@ def _kept_facts(r: Roles) -> DataFrame:
     tx = r.transaction().groupBy(*told).agg(
         F.sum("quantity_sold").cast("int").alias("quantity_sold"), F.sum("final_sale_value").cast("decimal(18,2)").alias("final_sale_value")
     )
-    tx = tx.withColumn("transaction_id", F.concat_ws("-", *told))
+    tx = materialize(tx.withColumn("transaction_id", F.concat_ws("-", *told)), "lines")
     name, kind = schemas.PARTITIONED["transaction"]
     facts = KeyedTable(r.spark, _scratch(r, "facts"), tx.schema, ("transaction_id",), (name, kind))
     kept = rollup.rollup_table(r.spark, _scratch(r, "rollup"), tx)
@@ -575,17 +575,17 @@ def upsert(r: Roles):
 
 
 def _entry_table(r: Roles, current: DataFrame) -> KeyedTable:
-    month = ("entry_month", "YEAR(created_at) * 100 + MONTH(created_at)")
-    table = KeyedTable(r.spark, _scratch(r, "entries"), current.schema, ("entry",), month)
+    year = ("entry_year", "YEAR(created_at)")
+    table = KeyedTable(r.spark, _scratch(r, "entries"), current.schema, ("entry",), year)
     table.append(current)
     return table
 
 
 @query
 def upsert_in_place(r: Roles):
-    """The same in files that lie in a folder a month, the batch twice."""
+    """The same in files that lie in a folder a year, the batch twice."""
     current, batch = _entries(r)
-    table = _entry_table(r, current)
+    table, batch = _entry_table(r, current), materialize(batch, "batch")
     for _ in range(2):
         seen = batch.where("entry >= 0")  # then entries of their own, which a second time would touch
         snapshots.overwrite_touched(table, seen, F.col("amount"), ENTRY_RULE, F.lit("2026-01-01").cast("date"))
@@ -597,7 +597,7 @@ def upsert_in_place(r: Roles):
 def upsert_by_deltas(r: Roles):
     """The same with the batch set aside in three parts: two folded in, the third merged by the reader."""
     current, batch = _entries(r)
-    table = _entry_table(r, current)
+    table, batch = _entry_table(r, current), materialize(batch, "batch")
     now = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
     own, large = F.col("entry") < 0, F.col("amount") > 100_000
     for number, part in enumerate([own, ~own & large, ~own & ~large]):
