@@ -12,10 +12,12 @@ the index of a task that ended well names its file, so a lost or repeated attemp
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +26,18 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, normalizers
 
 from aisleworks.llm.common import (
     KEPT_CHARACTERS,
     bounded_batches,
     delete_folder,
-    literal_splitter,
     run_folder,
     texts_of,
     two_columns,
     written,
 )
-from aisleworks.llm.token_counts import MergeTable
+from aisleworks.llm.token_counts import byte_symbols
 
 #: Ids of a block, ids between two checkpoints of a block, and interleaved states of a full block.
 BLOCK_IDS, CHECKPOINT_IDS, LANES = 1 << 19, 1 << 17, 512
@@ -43,6 +45,8 @@ BLOCK_IDS, CHECKPOINT_IDS, LANES = 1 << 19, 1 << 17, 512
 LOW_BITS = 31
 LOW = np.uint64(1 << LOW_BITS)
 WORD = np.uint64(32)
+#: Symbols below this are found by a table of their places.
+DENSE_SYMBOLS = 1 << 22
 #: Blocks that a reading task takes.
 READ_BLOCKS = 8
 #: Marks at the start of a table, a block and a file's footer.
@@ -50,6 +54,39 @@ TABLE_MARK, BLOCK_MARK, FOOTER_MARK = b"AWT1", b"AWB1", b"AWF1"
 #: Bytes that the chunks a worker keeps may take.
 KEPT_BYTES = 110 << 20
 
+#: Kinds of characters that the pattern below tells apart.
+SPACE, LETTER, DIGIT, SYMBOL = range(4)
+#: What is looked up once: words, chunks that the library cuts into words, and chunks that hold a special string.
+WORDS, CHUNKS, WITH_SPECIAL = range(3)
+#: The steps before the model that ``ChunkIds`` takes over as arrays.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def kind_of(character: str) -> int:
+    found = (k for k, p in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}")) if regex.match(p, character))
+    return next(found, SYMBOL)
+
+
+#: Kind of each character below U+0100, and of each byte, as far as it is a character by itself.
+LATIN_KINDS = np.array([kind_of(chr(c)) for c in range(256)], dtype=np.uint8)
+KINDS = np.where(np.arange(256) < 128, LATIN_KINDS, SYMBOL).astype(np.uint8)
+LOWER = np.array([b + 32 if ord("A") <= b <= ord("Z") else b for b in range(256)], dtype=np.uint8)
+#: Letters that end an abbreviation after an apostrophe, and the second letters of the longer ones.
+ONE_LETTER = np.isin(np.arange(256), list(b"stmd"))
+SECOND_LETTER = np.array([{ord("r"): ord("e"), ord("v"): ord("e"), ord("l"): ord("l")}.get(b, 0) for b in range(256)], dtype=np.uint8)
+BYTE_SYMBOLS = {byte: symbol for byte, symbol in byte_symbols().items() if byte != ord(" ")}
+
 #: How ids lie between the stages where the vocabulary allows; else in four bytes.
 NARROW = "<u2"
 
@@ -69,7 +106,8 @@ class FrequencyTable:
         body = struct.pack("<II", len(self.symbols), self.bits) + self.symbols.tobytes() + self.frequency.astype("<u4").tobytes()
         self.crc = zlib.crc32(body)
         self.data = TABLE_MARK + struct.pack("<I", self.crc) + body
-        self._slots: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self._owners: np.ndarray | None = None
+        self._numbers: np.ndarray | None = None
 
     @classmethod
     def from_counts(cls, symbols: np.ndarray, counts: np.ndarray) -> FrequencyTable:
@@ -95,37 +133,49 @@ class FrequencyTable:
         symbols = np.frombuffer(data, "<u4", count, 16)
         return cls(symbols, np.frombuffer(data, "<u4", count, 16 + 4 * count))
 
-    def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each value below the sum of frequencies: the symbol, its frequency, and the value's place in its range."""
-        if self._slots is None:
-            owner = np.repeat(np.arange(len(self.symbols)), self.frequency.astype(np.int64))
-            place = np.arange(len(owner), dtype=np.uint64) - self.below[owner]
-            self._slots = self.symbols[owner], self.frequency[owner], place
-        return self._slots
+    def owners(self) -> np.ndarray:
+        """For each value below the sum of frequencies: the number of the symbol whose range holds it."""
+        if self._owners is None:
+            number = np.arange(len(self.symbols), dtype=np.uint16 if len(self.symbols) <= 1 << 16 else np.uint32)
+            self._owners = np.repeat(number, self.frequency.astype(np.int64))
+        return self._owners
+
+    def numbers(self, ids: np.ndarray) -> np.ndarray:
+        """The number of each id's symbol in the table."""
+        most = int(self.symbols[-1]) if len(self.symbols) else 0
+        if most >= DENSE_SYMBOLS:
+            return np.searchsorted(self.symbols, ids)
+        if self._numbers is None:
+            self._numbers = np.zeros(most + 1, dtype=np.int32)
+            self._numbers[self.symbols] = np.arange(len(self.symbols))
+        return self._numbers[ids]
 
 
 def encode_block(ids: np.ndarray, table: FrequencyTable) -> bytes:
     """One block: head, a checkpoint per ``CHECKPOINT_IDS`` ids, and the words."""
     lanes = min(LANES, max(1, len(ids) // LANES))
     every = CHECKPOINT_IDS // lanes  # steps between checkpoints
-    at = np.searchsorted(table.symbols, ids)
+    at = table.numbers(ids)
     frequency, below = table.frequency[at], table.below[at]
-    bits, limit = np.uint64(table.bits), np.uint64(LOW_BITS + 32 - table.bits)
+    bits = np.uint64(table.bits)
+    most = frequency << np.uint64(LOW_BITS + 32 - table.bits)  # from here on a state sheds a word first
     state = np.full(lanes, LOW)
     words: list[np.ndarray] = []
     emitted = 0
     checkpoints = []
     for step in range((len(ids) - 1) // lanes, -1, -1):
-        f, b = frequency[step * lanes : (step + 1) * lanes], below[step * lanes : (step + 1) * lanes]
+        here = slice(step * lanes, (step + 1) * lanes)
+        f = frequency[here]
         x = state[: len(f)]
-        full = x >= f << limit
-        if full.any():
+        full = np.flatnonzero(x >= most[here])
+        if len(full):
             shed = x[full]
             words.append(shed.astype(np.uint32))
             emitted += len(shed)
             x[full] = shed >> WORD
         times = x // f
-        x[:] = (times << bits) + (x - times * f) + b
+        x += times * ((np.uint64(1) << bits) - f)  # times << bits, and the rest of the division
+        x += below[here]
         if step % every == 0:
             first = step * lanes
             crc = zlib.crc32(ids[first : first + every * lanes].astype("<u4").tobytes())
@@ -153,20 +203,25 @@ class Block:
         at = 28 + checkpoint * self.mark_size
         place, crc = struct.unpack_from("<II", self.data, at)
         state = np.frombuffer(self.data, "<u8", self.lanes, at + 8).astype(np.uint64)
-        symbol, frequency, offset = self.table.slots()
+        owners, frequency, below = self.table.owners(), self.table.frequency, self.table.below
         bits, low_bits = np.uint64(self.table.bits), np.uint64((1 << self.table.bits) - 1)
         first = checkpoint * self.stretch
         out = np.empty(min(self.stretch, self.count - first), dtype=np.uint32)
         for begin in range(0, len(out), self.lanes):
             part = out[begin : begin + self.lanes]
             x = state[: len(part)]
-            slot = (x & low_bits).astype(np.int64)
-            part[:] = symbol[slot]
-            x[:] = frequency[slot] * (x >> bits) + offset[slot]
+            slot = x & low_bits
+            number = owners[slot.view(np.int64)]
+            part[:] = number
+            x >>= bits
+            x *= frequency[number]
+            x += slot
+            x -= below[number]
             short = np.flatnonzero(x < LOW)
             if len(short):
                 x[short] = x[short] << WORD | self.words[place : place + len(short)].astype(np.uint64)
                 place += len(short)
+        out = self.table.symbols[out]
         if zlib.crc32(out.astype("<u4").tobytes()) != crc:
             raise ValueError("decoded ids differ from their checksum")
         return out
@@ -277,88 +332,177 @@ class FileReader:
         return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
+def stretches(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``sizes[i]`` values of ``flat`` from ``starts[i]`` on, for every i in a row."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
+
+
 class ChunkIds:
-    """Ids of texts as the tokenizers library gives them; what lies between white space is looked up once.
+    """Ids of texts as the tokenizers library gives them; each distinct word goes through the library's model once.
 
-    The vocabulary drops white space and joins nothing across it, so a text's ids are those of its chunks in a row. Chunks not
-    seen before are merged together as arrays, which gives the library's ids in a fraction of its time; those that hold a
-    special string go to the library itself. Ids of short chunks are kept up to ``KEPT_BYTES``, of others for their batch.
+    For a vocabulary that composes, lower-cases and cuts at white space and classes of characters, texts of a batch are cut
+    into words together, as arrays over their bytes, and a text's ids are those of its words in a row. Chunks between white
+    space with characters beyond U+00FF are cut into words by the library, those with a special string go through it whole. Ids
+    of short words and chunks are kept up to ``KEPT_BYTES``, of others for their batch. For other vocabularies the library takes
+    whole texts.
     """
 
     def __init__(self, path: str):
-        self.table = MergeTable(path)
-        self.wide = self.table.size + len(self.table.special) >= 1 << 16
-        self.special = literal_splitter(*self.table.special) if self.table.special else None
-        self.spaces = regex.compile(r"\s+")
-        self.odd_space = regex.compile(r"[\x1c-\x1f]")
+        with open(path, encoding="utf-8") as source:
+            spec = json.load(source)
+        self.library = Tokenizer.from_file(path)
+        vocabulary, added = self.library.get_vocab(), spec["added_tokens"]
+        self.wide = max(vocabulary.values(), default=0) >= 1 << 16
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.known_cuts = (
+            (spec["normalizer"], spec["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
+            and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+            and not any(regex.search(r"\s", t["content"]) for t in added)
+            and bool(suffix)
+            and all(symbol + suffix in vocabulary for symbol in byte_symbols().values())
+        )
+        self.special = re.compile(b"|".join(re.escape(t["content"].encode("utf-8")) for t in added)) if added else None
+        bare = {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.model = Tokenizer.from_str(json.dumps(spec | bare))
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self._empty()
 
     def _empty(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[bytes, int] = {}
         self.flat, self.filled = np.zeros(1 << 16, dtype=np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int32)
-        self.weight, self.long = 0, False
-
-    def _chunks(self, text: str) -> list[str]:
-        # str.split() also cuts at four separators that the vocabulary's pattern takes for symbols
-        return self.spaces.split(text) if self.odd_space.search(text) else text.split()
-
-    def _learn(self, chunks: list[str]) -> None:
-        words: list[bytes] = []
-        counts = []
-        whole: dict[int, list[int]] = {}
-        for place, chunk in enumerate(chunks):
-            if self.special and "<|" in chunk and self.special.search(chunk):
-                whole[place] = self.table.library.encode(chunk, add_special_tokens=False).ids
-                counts.append(0)
-            else:
-                found = self.table.pre_tokens(chunk)
-                words += found
-                counts.append(len(found))
-        symbols, word = self.table.merged(words)
-        flat = symbols[np.argsort(word, kind="stable")].astype(np.uint32)
-        per_word = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))])
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        sizes = np.diff(per_word[bounds])
-        begins = per_word[bounds[:-1]]
-        if whole:
-            extra = np.array([i for ids in whole.values() for i in ids], dtype=np.uint32)
-            at = len(flat)
-            for place, ids in whole.items():
-                begins[place], sizes[place] = at, len(ids)
-                at += len(ids)
-            flat = np.concatenate([flat, extra])
-        first = len(self.number)
-        while first + len(chunks) > len(self.sizes):
+        self.weight = 0
+
+    def _units(self, data: bytes) -> tuple[np.ndarray, pa.Array, bool]:
+        """Where words, and chunks that the library cuts, begin in ``data``, which ends with white space; lower-cased words
+        and unchanged chunks; whether there are such chunks."""
+        raw = np.frombuffer(data, dtype=np.uint8)
+        kind, lower = KINDS[raw], LOWER[raw]
+        start = kind == DIGIT
+        lead = np.flatnonzero((raw & 0xFE) == 0xC2)  # of the two bytes of U+0080 to U+00FF
+        if len(lead):
+            after = raw[lead + 1]
+            kind[lead] = kind[lead + 1] = found = LATIN_KINDS[(raw[lead] & 3) << 6 | after & 63]
+            lower[lead[(raw[lead] == 0xC3) & (after <= 0x9E) & (after != 0x97)] + 1] += 32  # \u00c0 to \u00de but \u00d7
+            start[lead] = found == DIGIT
+        start[0] = True
+        start[1:] |= kind[1:] != kind[:-1]
+        start &= kind != SPACE
+        quote = np.flatnonzero(raw == ord("'"))
+        quote = quote[start[quote]]
+        quote = quote[kind[quote + 1] == LETTER]
+        if len(quote):  # 's 't 'm 'd 're 've 'll, where a run of symbols would begin
+            one, two = lower[quote + 1], lower[quote + 2]
+            size = np.where(ONE_LETTER[one], 1, np.where((two == SECOND_LETTER[one]) & (two > 0), 2, 0))
+            quote, size = quote[size > 0], size[size > 0]
+            start[quote + 1] = False
+            end = quote + 1 + size
+            start[end[kind[end] == LETTER]] = True
+        odd = np.flatnonzero(raw >= 0xC4)
+        if self.special:
+            odd = np.concatenate([odd, np.array([m.start() for m in self.special.finditer(data)], dtype=np.int64)])
+        if len(odd):
+            spaces = np.flatnonzero(kind == SPACE)
+            chunk = np.unique(np.searchsorted(spaces, odd))
+            begin = np.where(chunk > 0, spaces[chunk - 1] + 1, 0)
+            edges = np.zeros(len(raw), dtype=np.int8)
+            edges[begin] = 1
+            edges[spaces[chunk]] = -1
+            inside = np.cumsum(edges, dtype=np.int8).astype(bool)
+            lower[inside] = raw[inside]
+            start[inside] = False
+            start[begin] = True
+        kept = kind != SPACE
+        spelled = lower[kept]
+        offsets = np.append(np.flatnonzero(start[kept]), len(spelled)).astype(np.int32)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(spelled)]
+        return np.flatnonzero(start), pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers), len(odd) > 0
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, spelled in the vocabulary's byte symbols, and how many each has."""
+        ids, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        for begin in range(0, len(words), 1 << 13):
+            part = [words[begin : begin + (1 << 13)]]
+            coded = self.model.encode_batch_fast(part, is_pretokenized=True, add_special_tokens=False)[0]
+            ids.append(np.array(coded.ids, dtype=np.uint32))
+            sizes.append(np.diff(np.flatnonzero(self.ends_word[ids[-1]]), prepend=-1))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _merged_chunks(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks, which the library cuts into words."""
+        text = self.normalizer.normalize_str(b"\n".join(units).decode("utf-8"))
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(text)
+        ends = np.cumsum([len(chunk) + 1 for chunk in text.split("\n")])
+        chunk = np.searchsorted(ends, np.array([begin for _, (begin, _) in pieces], dtype=np.int64), side="right")
+        distinct = {word: n for n, word in enumerate(dict.fromkeys(word for word, _ in pieces))}
+        at = np.array([distinct[word] for word, _ in pieces], dtype=np.int64)
+        flat, sizes = self._merged(list(distinct))
+        found = stretches(flat, (np.cumsum(sizes) - sizes)[at], sizes[at])
+        return found, np.bincount(chunk, weights=sizes[at], minlength=len(units)).astype(np.int64)
+
+    def _learn(self, units: list[bytes], way: int, first: int) -> None:
+        """Ids of units, numbered from ``first`` on."""
+        if way == WORDS:
+            words = b" ".join(units).decode("latin-1").translate(BYTE_SYMBOLS).split(" ")
+            flat, sizes = self._merged(words)
+        elif way == CHUNKS:
+            flat, sizes = self._merged_chunks(units)
+        else:
+            coded = [self.library.encode(unit.decode("utf-8"), add_special_tokens=False).ids for unit in units]
+            flat, sizes = np.concatenate(coded).astype(np.uint32), np.array([len(ids) for ids in coded])
+        while first + len(units) > len(self.sizes):
             self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
         while self.filled + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.starts[first : first + len(chunks)] = self.filled + begins
-        self.sizes[first : first + len(chunks)] = sizes
+        self.starts[first : first + len(units)] = self.filled + np.cumsum(sizes) - sizes
+        self.sizes[first : first + len(units)] = sizes
         self.flat[self.filled : self.filled + len(flat)] = flat
         self.filled += len(flat)
-        self.number.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-        characters = sum(map(len, chunks))
-        self.weight += 4 * len(flat) + 2 * characters + 165 * len(chunks)
+
+    def _way(self, unit: bytes) -> int:
+        if self.special and self.special.search(unit):
+            return WITH_SPECIAL
+        return CHUNKS if max(unit) >= 0xC4 else WORDS
+
+    def _numbers(self, units: list[bytes], odd: bool) -> np.ndarray:
+        """Each unit's number; those of long units are given again after the batch."""
+        numbers = np.fromiter(map(self.number.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        groups: dict[tuple[bool, int], list[int]] = {}
+        for i in np.flatnonzero(numbers < 0).tolist():
+            way = self._way(units[i]) if odd else WORDS
+            groups.setdefault((len(units[i]) > KEPT_CHARACTERS, way), []).append(i)
+        first, kept = len(self.number), self.filled
+        for (long, way), places in sorted(groups.items()):
+            found = [units[i] for i in places]
+            self._learn(found, way, first)
+            numbers[places] = np.arange(first, first + len(found))
+            if not long:
+                self.number.update(zip(found, range(first, first + len(found)), strict=True))
+                self.weight += sum(map(len, found)) + 165 * len(found) + 4 * (self.filled - kept)
+                kept = self.filled
+            first += len(found)
+        self.filled = kept  # what long units filled is still read by this batch
+        return numbers
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids."""
-        if self.weight > KEPT_BYTES or self.long:
+        if not self.known_cuts:
+            return [np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=np.uint32) for t in texts]
+        if not texts:
+            return []
+        if self.weight > KEPT_BYTES:
             self._empty()
-        cut = [self._chunks(text) for text in texts]
-        fresh = set().union(*cut) - self.number.keys()
-        short = [c for c in fresh if len(c) <= KEPT_CHARACTERS]
-        if short:
-            self._learn(short)
-        if len(short) < len(fresh):  # long ones come last and make the next batch start afresh
-            self._learn([c for c in fresh if len(c) > KEPT_CHARACTERS])
-            self.long = True
-        counts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(counts.sum()))
+        lines = [text.encode("utf-8") for text in texts]
+        begins, units, odd = self._units(b"\n".join([*lines, b""]))
+        coded = units.dictionary_encode()
+        at = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), odd)[coded.indices.to_numpy()]
         sizes = self.sizes[at].astype(np.int64)
-        ends = np.cumsum(sizes)
-        flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + sizes, sizes)]
-        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        flat = stretches(self.flat, self.starts[at], sizes)
+        line_ends = np.cumsum([len(line) + 1 for line in lines])
+        stops = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.searchsorted(begins, line_ends)])]
         return [flat[x:y] for x, y in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
 
 
@@ -382,7 +526,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task, rows = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         narrow = not tokens.wide and end_id < 1 << 16
-        for batch in bounded_batches(batches, 1 << 20):
+        for batch in bounded_batches(batches):
             found = [np.append(ids, np.uint32(end_id)) for ids in tokens.ids(texts_of(batch.column(1)))]
             crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in found]
             data = [ids.astype(NARROW if narrow else "<u4").tobytes() for ids in found]
@@ -413,12 +557,12 @@ def shared_table(tokens: DataFrame) -> FrequencyTable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoders()
         total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for data, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen = np.bincount(stored_ids(data, n))
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
-                total[: len(seen)] += seen
+        for batch in bounded_batches(batches, 1 << 20):
+            rows = zip(batch.column(0), batch.column(1).to_pylist(), strict=True)
+            seen = np.bincount(np.concatenate([stored_ids(data, n) for data, n in rows]))
+            if len(seen) > len(total):
+                total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
+            total[: len(seen)] += seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 

@@ -254,6 +254,37 @@ def test_chunk_ids_equal_the_library(texts):
     assert [x.tolist() for x in WORD_IDS.ids(texts)] == [WORD_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def library_ids(library, texts):
+    return [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_chunk_ids_cut_every_latin_character_and_abbreviation_as_the_library():
+    latin = [chr(c) for c in range(0x250)]
+    texts = [f"a{c}b{c}{c} 1{c}2'{c} {c}'s{c}" for c in latin] + [f"<|endoftext|>{c}<|x <|startoftext|>{c}" for c in latin]
+    marks = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'S", "'Re", "'r", "'l", "'", "''", "é'", ".'", "1'", " '"]
+    texts += [a + b + c for a in marks for b in marks for c in ("", "t", "é", "'", "²", "ſ", " e")]
+    assert [x.tolist() for x in WORD_IDS.ids(texts)] == library_ids(WORD_LIBRARY, texts)
+    texts = ["Слово, слово-СЛОВО! ΣΑΣ a\u0301É\u3000x \u3000 don’t İI\u0307 中文,中文", "\u0301a \u2028", "слово İ’s 12½ "]
+    assert [x.tolist() for x in WORD_IDS.ids(texts)] == library_ids(WORD_LIBRARY, texts)
+    texts = ["", *[w * 30 for w in ("ab", "é", "中", "<|endoftext|>")], "ab"]  # some too long to be kept
+    for _ in range(2):
+        assert [x.tolist() for x in WORD_IDS.ids(texts)] == library_ids(WORD_LIBRARY, texts)
+
+
+def test_a_word_goes_through_the_model_once_whatever_stands_beside_it(monkeypatch):
+    encoder, learned = ChunkIds(WORDS), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda units, *more: (learned.extend(units), learn(units, *more)))
+    for texts in (["Stock, stock. (stock) stock's"], ["STOCK; stock-'s"]):
+        assert [x.tolist() for x in encoder.ids(texts)] == library_ids(WORD_LIBRARY, texts)
+    assert learned.count(b"stock") == 1
+
+
+def test_ids_of_other_vocabularies_come_from_the_whole_library():
+    texts = ["Two words, 12 3", "", "a\u00a0\u4e2d <|endoftext|>"]
+    assert [x.tolist() for x in ChunkIds(BYTES).ids(texts)] == library_ids(Tokenizer.from_file(BYTES), texts)
+
+
 def expected_files(rows):
     """Start, length and checksum per row from the library alone, in id order; rows of one id by checksum and length."""
     coded = []
