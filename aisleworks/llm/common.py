@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleworks.session import shared_folder
+from aisleworks.session import shared_folder, ship_package  # noqa: F401
 
 #: White space between words, as every word contract of this package has it.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -53,19 +49,6 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to Python workers that would not find it: those started elsewhere than in its root."""
-    root = Path(__file__).resolve().parents[2]
-    found = str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root
-    if not found and spark.sparkContext.applicationId not in _SHIPPED:
-        _SHIPPED.add(spark.sparkContext.applicationId)
-        archive = Path(tempfile.mkdtemp()) / "aisleworks"
-        spark.sparkContext.addPyFile(shutil.make_archive(str(archive), "zip", root, "aisleworks"))
-
-
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: lineage is cut by files that outlive executors."""
     path = path or run_folder(df.sparkSession, label)
