@@ -11,12 +11,15 @@ from __future__ import annotations
 import json
 import uuid
 from bisect import bisect_left
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from aisleworks.session import CODEC, short_lived_shuffles
+
 #: Hidden folders of a table: key ranges by file, replacements under way, their new files, and batches not yet merged in.
 RANGES, PENDING, STAGED, DELTAS = "_key_ranges", "_pending", "_staged", "_deltas"
 #: Stretches, at least and at most, into which a batch's sorted keys are cut to be compared with the files' ranges, and keys
@@ -24,6 +27,8 @@ RANGES, PENDING, STAGED, DELTAS = "_key_ranges", "_pending", "_staged", "_deltas
 LEAST_SPANS, MOST_SPANS, SPAN_KEYS = 8, 512, 64
 #: Rows of a file, and files of ranges after which they are written as one.
 FILE_ROWS, RANGE_FILES = 4_000_000, 40
+#: Rows that are merged at a time, so that the disk their shuffles take is bounded.
+SLICE_ROWS = 24_000_000
 #: Bytes below which a file counts as small, and small files that are worth merging.
 SMALL_BYTES, SMALL_FILES = 32 << 20, 16
 
@@ -81,6 +86,7 @@ class KeyedTable:
     keys: tuple[str, ...]
     partition: tuple[str, str] | None = None
     file_rows: int = FILE_ROWS
+    slice_rows: int = SLICE_ROWS
 
     @property
     def folder(self) -> Folder:
@@ -112,10 +118,12 @@ class KeyedTable:
         if self.partition:
             column, rule = self.partition
             rows, order = rows.withColumn(column, F.expr(rule)), [column, *order]
-        writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", self.file_rows)
+        writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").option("compression", CODEC)
+        writer = writer.option("maxRecordsPerFile", self.file_rows)
         if self.partition:
             writer = writer.partitionBy(self.partition[0])
-        writer.parquet(self.folder.at(name))
+        with short_lived_shuffles(self.spark):
+            writer.parquet(self.folder.at(name))
 
     # --- key ranges ---------------------------------------------------------
     def ranges(self) -> dict[str, Row]:
@@ -149,16 +157,12 @@ class KeyedTable:
                 again.coalesce(1).write.parquet(self.folder.at(RANGES))
         return known
 
-    def touched(self, batch: DataFrame) -> list[str]:
+    def touched(self, batch: DataFrame, spans: list[tuple] | None = None) -> list[str]:
         """The data files whose range meets a key of the batch's; a few more where keys between two of the batch's lie there."""
         ranges = [(name, tuple(r["low"]), tuple(r["high"])) for name, r in self.ranges().items() if r["low"] is not None]
         if not ranges:
             return []
-        key = F.struct(*[F.col(k).cast(self.schema[k].dataType).alias(k) for k in self.keys])
-        kept = batch.select(key.alias("key")).where(" AND ".join(f"key.`{k}` IS NOT NULL" for k in self.keys)).distinct()
-        spans = min(MOST_SPANS, max(LEAST_SPANS, kept.count() // SPAN_KEYS))
-        stretch = kept.repartitionByRange(spans, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("low"), F.max("key").alias("high"))
-        spans = sorted((tuple(r["low"]), tuple(r["high"])) for r in stretch.collect())
+        spans = self.stretches(batch) if spans is None else spans
         highs = [high for _, high in spans]
         out = []
         for name, low, high in ranges:
@@ -167,18 +171,49 @@ class KeyedTable:
                 out.append(name)
         return sorted(out)
 
+    def stretches(self, batch: DataFrame) -> list[tuple]:
+        """Lowest and highest keys of stretches, about equally long, into which the batch's sorted keys are cut."""
+        with short_lived_shuffles(self.spark):
+            key = F.struct(*[F.col(k).cast(self.schema[k].dataType).alias(k) for k in self.keys])
+            kept = batch.select(key.alias("key")).where(" AND ".join(f"key.`{k}` IS NOT NULL" for k in self.keys)).distinct()
+            spans = min(MOST_SPANS, max(LEAST_SPANS, kept.count() // SPAN_KEYS))
+            stretch = kept.repartitionByRange(spans, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("low"), F.max("key").alias("high"))
+            return sorted((tuple(r["low"]), tuple(r["high"])) for r in stretch.collect())
+
+    def slices(self, spans: list[tuple], rows: int) -> list[Column]:
+        """Conditions on the keys that cut rows into stretches of keys, of ``slice_rows`` rows or so; each row meets one."""
+        count = min(-(-rows // self.slice_rows), len(spans))
+        cuts = [spans[len(spans) * k // count][0] for k in range(1, count)] if count > 1 else []
+        if not cuts:
+            return [F.lit(True)]
+        kinds = [self.schema[k].dataType for k in self.keys]
+        keys = [F.col(k).cast(kind) for k, kind in zip(self.keys, kinds)]
+        # a single key is compared as it is, which a scan can use to leave rows out
+        key = keys[0] if len(keys) == 1 else F.struct(*keys)
+        at = [[F.lit(v).cast(kind) for v, kind in zip(cut, kinds)] for cut in cuts]
+        at = [values[0] if len(keys) == 1 else F.struct(*values) for values in at]
+        missing = F.lit(False)
+        for k in keys:
+            missing = missing | k.isNull()
+        inner = [~missing & (key >= low) & (key < high) for low, high in zip(at, at[1:])]
+        return [missing | (key < at[0]), *inner, ~missing & (key >= at[-1])]
+
     # --- changes ------------------------------------------------------------
     def append(self, rows: DataFrame) -> None:
         """Adds files with the rows."""
-        self._replace(rows, [], [])
+        self._replace([rows], [], [])
+
+    def replace(self, rows: DataFrame | Iterable[DataFrame], old: list[str], merged: list[str] | None = None) -> None:
+        """Puts files with the rows in the place of ``old`` ones; ``merged`` names delta folders that are done with.
 
-    def replace(self, rows: DataFrame, old: list[str], merged: list[str] | None = None) -> None:
-        """Puts files with the rows in the place of ``old`` ones; ``merged`` names delta folders that are done with."""
-        self._replace(rows, old, merged or [])
+        Rows given as several tables are written one after the other and take their place together.
+        """
+        self._replace([rows] if isinstance(rows, DataFrame) else rows, old, merged or [])
 
-    def _replace(self, rows: DataFrame, old: list[str], merged: list[str]) -> None:
+    def _replace(self, parts: Iterable[DataFrame], old: list[str], merged: list[str]) -> None:
         change = uuid.uuid4().hex
-        self.write(rows, f"{STAGED}/{change}")
+        for rows in parts:
+            self.write(rows, f"{STAGED}/{change}")
         if not old and self.spark.read.schema(self.schema).parquet(self.folder.at(f"{STAGED}/{change}")).isEmpty():
             self.folder.delete(f"{STAGED}/{change}")
             return

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from aisleworks.operators import sales
+from aisleworks.session import short_lived_shuffles
 from aisleworks.sources.keyed_files import KeyedTable
 
 SCHEMA = "date_id int, product_id string, store_id string, units bigint, revenue decimal(28,2), sales bigint"
@@ -47,7 +48,8 @@ def refresh(rollup: KeyedTable, tx: DataFrame, days: DataFrame) -> None:
     """
     rollup.recover()
     wanted = days.select("date_id").distinct()
-    span = wanted.agg(F.min("date_id"), F.max("date_id")).first()
+    with short_lived_shuffles(rollup.spark):
+        span = wanted.agg(F.min("date_id"), F.max("date_id")).first()
     if span[0] is None:
         return
     within = tx.where(F.col("date_id").between(*span))

@@ -121,11 +121,19 @@ def overwrite_touched(table: KeyedTable, batch: DataFrame, order: str | Column,
     """Upserts the batch into the table, reading and rewriting the files whose range meets the batch's keys.
 
     Batches set aside before are folded in first. A replay after a failure overwrites the same rows with the same values.
+    Many rows are merged by stretches of keys, so that one stretch is shuffled at a time, and take their place together.
     """
     table.recover()
     compact(table, rule)
-    old = table.touched(batch)
-    merged = upsert(table.read(old), batch, list(table.keys), order, rule.keep, rule.touched, now)
+    rows = batch.count()
+    many = rows + sum(r["rows"] for r in table.ranges().values()) > table.slice_rows
+    spans = table.stretches(batch) if many else None
+    old = table.touched(batch, spans)
+    slices = table.slices(spans, rows + sum(table.ranges()[name]["rows"] for name in old)) if many else [F.lit(True)]
+    stored = table.read(old)
+    merged = (
+        upsert(stored.where(part), batch.where(part), list(table.keys), order, rule.keep, rule.touched, now) for part in slices
+    )
     table.replace(merged, old)
 
 
