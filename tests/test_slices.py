@@ -73,11 +73,12 @@ def test_parts_are_one_table(spark):
     release(table)
 
 
-def test_kept_reports_leave_the_grain_alone(spark, monkeypatch):
+@pytest.mark.parametrize("name", ["category_trends", "store_trends"])
+def test_kept_reports_leave_the_grain_alone(spark, monkeypatch, name):
     shared = Path(shared_folder(spark))
-    whole = sorted(map(str, catalog.QUERIES["store_trends"](spark, FOLDER).collect()))
+    whole = sorted(map(str, catalog.QUERIES[name](spark, FOLDER).collect()))
     before = {p.name for p in shared.iterdir()} if shared.exists() else set()
     monkeypatch.setattr(catalog, "SLICE_ROWS", 2000)
-    found = catalog.QUERIES["store_trends_kept"](spark, FOLDER)
+    found = catalog.QUERIES[f"{name}_kept"](spark, FOLDER)
     assert {p.name.split("-")[0] for p in shared.iterdir() if p.name not in before} == {"rollup"}
     assert sorted(map(str, found.collect())) == whole
